@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe
+from tagloom.llm import bpe, layout, overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": overlap.p1_found,
+    "p1_report": overlap.p1_report,
+    "p2_found": layout.p2_found,
+    "p2_copies": layout.p2_copies,
     "p6_ids": bpe.p6_ids,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, layout, lookalike, overlap
+from tagloom.llm import bpe, layout, lookalike, overlap, packing, sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": overlap.p1_found,
@@ -15,7 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_copies": layout.p2_copies,
     "p4_found": lookalike.p4_found,
     "p4_tokens": lookalike.p4_tokens,
+    "p5_found": sampling.p5_found,
+    "p5_report": sampling.p5_report,
+    "p5_sample": sampling.p5_sample,
     "p6_ids": bpe.p6_ids,
+    "p7_packed": packing.p7_packed,
+    "p7_report": packing.p7_report,
 }
 
 ORACLES: dict[str, str] = {}

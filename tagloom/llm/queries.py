@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, layout, lookalike, overlap, packing, sampling
+from tagloom.llm import bpe, layout, lookalike, overlap, packing, sampling, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": overlap.p1_found,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": bpe.p6_ids,
     "p7_packed": packing.p7_packed,
     "p7_report": packing.p7_report,
+    "p8_found": truncation.p8_found,
+    "p8_report": truncation.p8_report,
 }
 
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,8 @@ around the rarest words of the text (by counts over all training texts).  Passag
 of the training texts around the same words are sharded by that word; each shard builds one
 Aho-Corasick automaton over its passages and scans its windows.  A match counts when lengths and
 positions allow the pair and when the parity signatures of the two bags of words differ in no more
-bits than the allowed edits can cause; matched intervals are merged into the coverage of the
+bits than the allowed edits can cause (a window is only sent where a bitmap of fixed size may hold
+its middle words as part of a passage); matched intervals are merged into the coverage of the
 evaluation record, and an exact edit distance decides.
 
 Equal texts are one class on either side; they are expanded only in the pairs that come out.  The
@@ -46,6 +47,10 @@ PAD = "\x01"
 HOT_WINDOWS = 200_000
 SHARD_WINDOWS = 250_000
 PAIRS_AT_ONCE = 2_000_000
+#: Passages and windows are written in a smaller alphabet of two-byte letters; it only admits candidates.
+LETTERS = 1900
+#: Bits of the table of passage middles: a fixed size, whatever the number of passages.
+BITS = 1 << 22
 TIMES = 5  # at most one edit for every TIMES words of the longer text
 
 
@@ -86,6 +91,10 @@ def _points(code: str) -> np.ndarray:
     return np.where(x > 0xDFFF, x - SURROGATES, x) - FIRST
 
 
+def _letters(points: np.ndarray) -> str:
+    return (points % LETTERS + 0x80).astype(np.uint32).tobytes().decode("utf-32-le")
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: np.ndarray | None = None
     for b in batches:
@@ -105,12 +114,16 @@ def word_counts(cls: DataFrame) -> np.ndarray:
     return counts
 
 
-def _signature(points: np.ndarray) -> tuple[int, int]:
-    """The parity of 128 groups of words."""
-    bits = (points * 2654435761 >> 7) & 127
-    n = np.bincount(bits, minlength=128) & 1
-    a, b = np.packbits(n.astype(np.uint8)).view(np.int64)
-    return int(a), int(b)
+def _signatures(points: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, the parity of 64 groups of its words."""
+    out = np.zeros(rows, np.uint64)
+    np.bitwise_xor.at(out, row, np.left_shift(np.uint64(1), ((points * 2654435761 >> 7) & 63).astype(np.uint64)))
+    return out.view(np.int64)
+
+
+def _middle(left: np.ndarray, at: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where the bitmap keeps an anchor with its neighbours; -1 stands for a neighbour outside the passage."""
+    return (((left + 2) * 1000003 + (at + 2)) * 1000003 + (right + 2) * 2654435761 >> 9) % BITS
 
 
 def passages_of(points: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -133,20 +146,22 @@ def _passages(counts, salts):
             rows = []
             for cls, code in zip(b["cls"], b["code"]):
                 points = _points(code)
-                a, c = _signature(points)
-                m = len(points)
+                m, text = len(points), _letters(points)
+                sig = int(_signatures(points, np.zeros(m, np.int64), 1)[0])
                 for lo, hi, at in passages_of(points, n_of):
                     p = int(points[at])
                     if n_of[p]:  # a word that no training text has cannot be in a match
-                        rows += [(p, s, cls, code[lo:hi], lo, at - lo, m, a, c) for s in range(salts_of[p])]
-            yield pd.DataFrame(rows, columns=["anchor", "salt", "ecls", "passage", "lo", "off", "m", "s1", "s2"])
+                        left, right = int(points[at - 1]) if at > lo else -1, int(points[at + 1]) if at + 1 < hi else -1
+                        mid = int(_middle(np.int64(left), np.int64(p), np.int64(right)))
+                        rows += [(p, s, mid, cls, text[lo:hi], lo, at - lo, m, sig) for s in range(salts_of[p])]
+            yield pd.DataFrame(rows, columns=["anchor", "salt", "mid", "ecls", "passage", "lo", "off", "m", "sig"])
 
     return run
 
 
-def _windows(anchors, salts, shards: int):
+def _windows(bitmap, anchors, salts, shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        is_anchor, salts_of = anchors.value, salts.value
+        bits, is_anchor, salts_of = np.unpackbits(bitmap.value), np.unpackbits(anchors.value), salts.value
         for b in batches:
             if not len(b):
                 continue
@@ -156,15 +171,22 @@ def _windows(anchors, salts, shards: int):
             row = np.repeat(np.arange(len(codes)), n)
             pos = np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)
             keep = np.flatnonzero(is_anchor[points])
-            sig = np.array([_signature(p) for p in np.split(points, np.cumsum(n)[:-1])])
-            r, q = row[keep], pos[keep]
+            r, q, p = row[keep], pos[keep], points[keep]
+            none = np.full(len(keep), -1)
+            left = np.where(q > 0, points[np.maximum(keep - 1, 0)], -1)
+            right = np.where(q + 1 < n[r], points[np.minimum(keep + 1, len(points) - 1)], -1)
+            may = np.zeros(len(keep), bool)
+            for x, y in ((left, right), (left, none), (none, right), (none, none)):
+                may |= bits[_middle(x, p, y)] > 0
+            r, q, p = r[may], q[may], p[may]
             gap = PAD * REACH
-            padded = [gap + c + gap for c in codes]
+            letters, ends = _letters(points), np.cumsum(n).tolist()
+            padded = [gap + letters[e - k : e] + gap for e, k in zip(ends, n.tolist())]
             cls = b["cls"].to_numpy()[r]
             yield pd.DataFrame({
-                "shard": _shard(points[keep], cls % salts_of[points[keep]], shards).astype(np.int32),
-                "tcls": cls, "pos": q.astype(np.int32), "n": n[r].astype(np.int32), "s1": sig[r, 0], "s2": sig[r, 1],
-                "win": [padded[i][p : p + 2 * REACH + 1] for i, p in zip(r.tolist(), q.tolist())],
+                "shard": _shard(p, cls % salts_of[p], shards).astype(np.int32), "tcls": cls, "at": q << 32 | n[r],
+                "sig": _signatures(points, row, len(codes))[r],
+                "win": [padded[i][x : x + 2 * REACH + 1] for i, x in zip(r.tolist(), q.tolist())],
             })
 
     return run
@@ -201,10 +223,9 @@ def _matches(_: tuple, win: pd.DataFrame, pas: pd.DataFrame) -> pd.DataFrame:
     at = np.minimum(np.searchsorted(groups, g), len(groups) - 1)
     ok = (off >= 0) & (groups[at] == g)
     w, at = w[ok], at[ok]
-    tcls, pos, n = (win[c].to_numpy() for c in ("tcls", "pos", "n"))
-    t1, t2 = win["s1"].to_numpy(), win["s2"].to_numpy()
+    tcls, tsig, pos, n = win["tcls"].to_numpy(), win["sig"].to_numpy(), win["at"].to_numpy() >> 32, win["at"].to_numpy() & 0xFFFFFFFF
     ecls, m, lo, aoff, span = (pas[c].to_numpy() for c in ("ecls", "m", "lo", "off", "size"))
-    e1, e2 = pas["s1"].to_numpy(), pas["s2"].to_numpy()
+    esig = pas["sig"].to_numpy()
     out, total = [], np.cumsum(size[at])
     start = 0
     while start < len(at):  # in blocks of about PAIRS_AT_ONCE pairs
@@ -214,7 +235,7 @@ def _matches(_: tuple, win: pd.DataFrame, pas: pd.DataFrame) -> pd.DataFrame:
         i = np.repeat(w[start:end], s)
         j = np.repeat(first[at[start:end]], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
         d = np.maximum(n[i], m[j]) // TIMES
-        fits = (np.bitwise_count(t1[i] ^ e1[j]).astype(np.int32) + np.bitwise_count(t2[i] ^ e2[j]) <= 2 * d) & (np.abs(n[i] - m[j]) <= d) & (np.abs(pos[i] - lo[j] - aoff[j]) <= d)
+        fits = (np.bitwise_count((tsig[i] ^ esig[j]).view(np.uint64)) <= 2 * d) & (np.abs(n[i] - m[j]) <= d) & (np.abs(pos[i] - lo[j] - aoff[j]) <= d)
         i, j = i[fits], j[fits]
         out.append(pd.DataFrame({"tcls": tcls[i], "ecls": ecls[j], "lo": lo[j], "hi": (lo + span)[j], "m": m[j]}))
         start = end
@@ -229,22 +250,27 @@ def _merged(intervals):
     return F.aggregate(F.array_sort(intervals), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda s: s["n"])
 
 
+def _hashes(code: str, name: str) -> list:
+    return [F.xxhash64(code).alias(f"{name}1"), F.xxhash64(F.lit(1), F.reverse(code)).alias(f"{name}2")]
+
+
 def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(tcode, ecode, ecls, coverage, distance) of the pairs of classes; train and evaluation: (cls, code)."""
+    """(t1, t2, e1, e2, coverage, distance) of the pairs of classes, named by hashes of their texts; train and evaluation: (cls, code)."""
     sc = train.sparkSession.sparkContext
     counts = word_counts(train)
     salts = np.maximum(1, -(-counts // HOT_WINDOWS)).astype(np.int32)
     b_counts, b_salts = sc.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)), sc.broadcast(salts)
     passages = stage(
-        evaluation.mapInPandas(_passages(b_counts, b_salts), "anchor int, salt int, ecls long, passage string, lo int, off int, m int, s1 long, s2 long"),
+        evaluation.mapInPandas(_passages(b_counts, b_salts), "anchor int, salt int, mid int, ecls long, passage string, lo int, off int, m int, sig long"),
         "p1-passages",
     )
-    used = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    is_anchor = np.zeros(CODES, bool)
-    is_anchor[used["anchor"].to_numpy(np.int64)] = True
+    is_anchor, bits = np.zeros(CODES, bool), np.zeros(BITS, bool)
+    is_anchor[passages.select("anchor").distinct().toPandas()["anchor"].to_numpy(np.int64)] = True
+    bits[passages.select("mid").distinct().toPandas()["mid"].to_numpy(np.int64)] = True
     shards = int(counts[is_anchor].sum() // SHARD_WINDOWS) + 2 * sc.defaultParallelism
-    windows = train.mapInPandas(_windows(sc.broadcast(is_anchor), b_salts, shards), "shard int, tcls long, pos int, n int, s1 long, s2 long, win string")
-    placed = passages.withColumn("shard", (((F.col("anchor").cast("long") * 40503 + F.col("salt").cast("long") * 2654435761).bitwiseAND(0x7FFFFFFF)) % shards).cast("int"))
+    send = lambda x: sc.broadcast(np.packbits(x))
+    windows = train.mapInPandas(_windows(send(bits), send(is_anchor), b_salts, shards), "shard int, tcls long, at long, sig long, win string")
+    placed = passages.drop("mid").withColumn("shard", (((F.col("anchor").cast("long") * 40503 + F.col("salt").cast("long") * 2654435761).bitwiseAND(0x7FFFFFFF)) % shards).cast("int"))
     hits = windows.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_matches, MATCH)
     pairs = hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), _merged(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
     t, e = train.select(F.col("cls").alias("tcls"), F.col("code").alias("tcode")), evaluation.select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"))
@@ -253,7 +279,7 @@ def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
         t.join(e.join(pairs, "ecls"), "tcls")
         .withColumn("distance", F.levenshtein("tcode", "ecode"))
         .where(F.col("distance") <= most)
-        .select("tcode", "ecode", F.round(F.col("covered") / F.col("m"), 6).alias("coverage"), "distance")
+        .select(*_hashes("tcode", "t"), *_hashes("ecode", "e"), F.round(F.col("covered") / F.col("m"), 6).alias("coverage"), "distance")
     )
 
 
@@ -265,8 +291,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tcls, ecls = stage(classes(train), "p1-train-classes"), stage(classes(evaluation), "p1-eval-classes")
     found = stage(overlapping_classes(tcls, ecls), "p1-pairs")
-    named = found.join(evaluation.select(F.col("idx").alias("idx_e"), F.col("code").alias("ecode")).distinct(), "ecode").drop("ecode")
-    return named.join(train.select(F.col("idx").alias("idx_t"), F.col("code").alias("tcode")), "tcode").drop("tcode").distinct()
+    named = found.join(evaluation.select(F.col("idx").alias("idx_e"), *_hashes("code", "e")).distinct(), ["e1", "e2"]).drop("e1", "e2")
+    return named.join(train.select(F.col("idx").alias("idx_t"), *_hashes("code", "t")), ["t1", "t2"]).drop("t1", "t2").distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

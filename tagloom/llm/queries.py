@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, layout, lookalike, overlap, packing, sampling, truncation
+from tagloom.llm import bpe, layout, lookalike, overlap, packing, redaction, sampling, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": overlap.p1_found,
     "p1_report": overlap.p1_report,
     "p2_found": layout.p2_found,
     "p2_copies": layout.p2_copies,
+    "p3_found": redaction.p3_found,
+    "p3_redacted": redaction.p3_redacted,
     "p4_found": lookalike.p4_found,
     "p4_tokens": lookalike.p4_tokens,
     "p5_found": sampling.p5_found,

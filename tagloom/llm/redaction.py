@@ -34,8 +34,10 @@ from tagloom.llm.boosting import BoostedTrees
 from tagloom.plans.staging import table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 12000
 MAX_WORDS = 6
+#: Words seen this often outside of names and never inside one are not proposed.
+NEVER_LEAST = 40
 
 PIECE = re.compile(r"[^\W\d_]+(?:[̀-ͯ­​-‏⁠﻿]+[^\W\d_]*|['’ʼ](?!s\b|S\b)[^\W\d_]+|-[^\W\d_]{2,})*|\d+|\S")
 _WORD = re.compile(r"[^\W_]+")
@@ -69,7 +71,15 @@ _POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}\b|\d{5}\b)"
 TAIL = re.compile(rf"(?: ?, ?(?P<code>{_POST})(?P<t1> {_TOWN})?| ?, ?(?P<town>{_TOWN})(?P<code2>,? {_POST})?)", re.I)
 
 
+#: What a text must have for the costlier patterns to be tried.
+_MAY_MAIL = re.compile(r"@|[\(\[\{] ?at\b|\bdot\b|\bat [\w-]+\.\w", re.I)
+_MAY_NUMBER = re.compile(r"\d[\d ().+/‐-―-]{4,}\d|[A-Za-z] ?\d{2}", re.I)
+_MAY_ADDRESS = re.compile(rf"\b{_STREET}|(?:weg|straße|strasse|gasse|platz|allee)\b|\b(?:rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via|rua)\b", re.I)
+
+
 def _email_spans(text: str) -> Iterator[tuple[int, int]]:
+    if not _MAY_MAIL.search(text):
+        return
     for m in EMAIL.finditer(text):
         # starts: every piece of the local part; ends: every label that can close a domain
         starts = [m.start("local") + x.start() for x in re.finditer(r"\w[^\s]*", m["local"])]
@@ -80,6 +90,8 @@ def _email_spans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _number_spans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    if not _MAY_NUMBER.search(text):
+        return
     for m in pattern.finditer(text):
         s, e = m.span()
         if sum(c.isdigit() for c in m[0]) >= 5 or re.search(r"[A-Za-z]", m[0]):
@@ -100,6 +112,8 @@ def _number_spans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
 
 
 def _address_spans(text: str) -> Iterator[tuple[int, int]]:
+    if not _MAY_ADDRESS.search(text):
+        return
     for m in HEAD.finditer(text):
         yield m.span()
         t = TAIL.match(text, m.end())
@@ -116,7 +130,7 @@ def _address_spans(text: str) -> Iterator[tuple[int, int]]:
 class Pieces:
     """A text cut into words, numbers and marks."""
 
-    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends")
+    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends", "like")
 
     def __init__(self, text: str):
         self.text = text
@@ -129,21 +143,20 @@ class Pieces:
         self.caseless = letters > 3 and (upper <= 0.03 * letters or lower <= 0.03 * letters)
         self.starts = {s: i for i, (s, _) in enumerate(self.spans)}
         self.ends = {e: i for i, (_, e) in enumerate(self.spans)}
+        self.like: list[bool] = []
 
-
-def _name_like(p: Pieces, i: int, common: set[str]) -> bool:
-    w = p.words[i]
-    if not w[0].isalpha() or p.low[i] in TITLES:
-        return False
-    if p.caseless:
-        return p.low[i] not in common
-    return w[0].isupper()
+    def mark(self, common: set[str], never: set[str]) -> None:
+        """Finds the name-like words: capitalised and not known to be none, in a caseless text any uncommon one."""
+        if self.caseless:
+            self.like = [w[0].isalpha() and w not in TITLES and w not in never and w not in common for w in self.low]
+        else:
+            self.like = [w[0].isupper() and x not in never and x not in TITLES for w, x in zip(self.words, self.low)]
 
 
-def _name_spans(p: Pieces, common: set[str]) -> Iterator[tuple[int, int]]:
-    """(first, last) pieces of every stretch that may be a name."""
+def _name_spans(p: Pieces) -> Iterator[tuple[int, int]]:
+    """(first, last) pieces of every stretch that may be a name; ``p`` is marked."""
     n = len(p.words)
-    like = [_name_like(p, i, common) for i in range(n)]
+    like = p.like
     for i in range(n):
         if not like[i]:
             continue
@@ -225,6 +238,7 @@ class Statistics:
 
     def __init__(self):
         self.common: set[str] = set()
+        self.never: set[str] = set()
         self.odds: dict[str, dict] = {}
         self.given: set[str] = set()
         self.family: set[str] = set()
@@ -237,20 +251,24 @@ class Statistics:
                 lows.update(w for w in p.words if w.islower())
         self.common = {w for w, n in lows.items() if n >= 2}
         counts: dict[str, dict] = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        gold: list[set] = []
         for p, spans in rows:
             inside = np.zeros(len(p.words), bool)
-            gold = set()
+            gold.append(set())
             for s, e, kind in spans:
                 if kind == "NAME" and s in p.starts and e in p.ends:
                     inside[p.starts[s] : p.ends[e] + 1] = True
-                    gold.add((p.starts[s], p.ends[e]))
+                    gold[-1].add((p.starts[s], p.ends[e]))
             for i, w in enumerate(p.low):
                 if w[0].isalpha():
                     hit = int(inside[i])
                     for name, key in (("word", w), ("end3", w[-3:]), ("end5", w[-5:])):
                         counts[name][key][hit] += 1
-            for i, j in _name_spans(p, self.common):
-                hit = int((i, j) in gold)
+        self.never = {w for w, (no, yes) in counts["word"].items() if no >= NEVER_LEAST and not yes}
+        for (p, _), g in zip(rows, gold):
+            p.mark(self.common, self.never)
+            for i, j in _name_spans(p):
+                hit = int((i, j) in g)
                 for name, key in self._contexts(p, i, j):
                     counts[name][key][hit] += 1
         for name, table_ in counts.items():
@@ -272,7 +290,7 @@ class Statistics:
         at = [o["word"].get(w, 0.0) if "word" in o else 0.0 for w in real]
         first, last = real[0], real[-1]
         n = len(p.words)
-        like = lambda k: float(0 <= k < n and _name_like(p, k, self.common))
+        like = lambda k: float(0 <= k < n and p.like[k])
         after = j + 1 if j + 1 < n and p.words[j + 1] != "." else j + 2
         return [
             len(words), sum(len(w) == 1 for w in words), sum(w in PARTICLES for w in words), sum(w in SUFFIXES for w in words), "-" in last, "," in p.words[i : j + 1],
@@ -443,7 +461,8 @@ class Detector:
 
     def _candidates(self, kind: str, p: Pieces) -> tuple[list[tuple[int, int]], list[list[float]]]:
         if kind == "NAME":
-            found = list(dict.fromkeys(_name_spans(p, self.statistics.common)))
+            p.mark(self.statistics.common, self.statistics.never)
+            found = list(dict.fromkeys(_name_spans(p)))
             return [(p.spans[i][0], p.spans[j][1]) for i, j in found], [self.statistics.features(p, i, j) for i, j in found]
         if kind == "EMAIL":
             spans = list(dict.fromkeys(_email_spans(p.text)))
@@ -488,10 +507,9 @@ class Detector:
 
 def trained(train: DataFrame, names: DataFrame, rows: int = SAMPLE_ROWS) -> Detector:
     """Fits a detector on ``rows`` rows of the labelled split and the list of name words (fixed size)."""
-    sample = (
-        train.where(F.size("tokens") > 0).select("idx", "tokens", "ner_tags").dropDuplicates(["idx"])
-        .orderBy(F.xxhash64("idx"), "idx").limit(rows).toPandas()
-    )
+    ids = train.where(F.size("tokens") > 0).select("idx").distinct().orderBy(F.xxhash64("idx"), "idx").limit(rows)
+    # at most ``rows`` ids, so the broadcast is bounded by the parameter
+    sample = train.select("idx", "tokens", "ner_tags").join(F.broadcast(ids), "idx").toPandas().drop_duplicates("idx").sort_values("idx")
     tagged = [x for x in map(_tagged, sample["tokens"], sample["ner_tags"]) if x]
     parts = names.where(F.col("name_part").isNotNull()).toPandas()
     of = lambda kind: {w for x in parts.loc[parts["part_kind"] == kind, "name_part"] for w in _WORD.findall(x.lower())}

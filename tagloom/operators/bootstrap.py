@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.plans.numbering import numbered
+from tagloom.plans.staging import stage
+
 #: Resamples of the registered queries and of the published procedure.
 QUERY_RESAMPLES = 200
 RESAMPLES = 1000
@@ -21,25 +24,13 @@ def portable(x: Column, salt: int) -> Column:
     return ((x.cast("long") % _P) * 48271 + F.lit(salt * 40692 + 12345)) % _P * 16807 % _P
 
 
-def numbered(pairs: DataFrame) -> DataFrame:
-    """Adds a dense ``k`` from 0 in the order of ``idx``: offsets of range partitions, no global window."""
-    parts = pairs.repartitionByRange("idx").sortWithinPartitions("idx").withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_k", F.monotonically_increasing_id() - F.col("_p").cast("long") * (1 << 33))
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_o")
-    return parts.join(F.broadcast(offsets), "_p").withColumn("k", F.col("_k") + F.col("_o")).drop("_p", "_k", "_o")
-
-
 def resampled(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(b, diff): mean difference of each resample with replacement, for pairs (idx, fa, fb).
 
     Which row a draw picks depends on (b, k) alone, so how often each row is drawn is counted first and
     joined by row number; the draws of all resamples are spread over the cluster.
     """
-    from tagloom.plans.staging import stage
-
-    rows = stage(numbered(pairs).select("k", (F.col("fa") - F.col("fb")).alias("d")), "bootstrap-pairs")
+    rows = stage(numbered(pairs, "idx").select("k", (F.col("fa") - F.col("fb")).alias("d")), "bootstrap-pairs")
     n = rows.count()
     if not n:
         return rows.select(F.lit(0).cast("long").alias("b"), F.col("d").alias("diff")).limit(0)

@@ -235,23 +235,19 @@ def _(spark, d):
 _QUOTA = "CAST(greatest(1, round_even(n / CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE) * 30, 0)) AS INT)"
 
 
-@query(
-    "smp01_quotas",
-    f"""WITH RECURSIVE {_ERR}, n AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL),
+_QUOTAS = f"""WITH RECURSIVE {_ERR}, n AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL),
     q0 AS (SELECT model, error_type, n, {_QUOTA} AS quota, list_position(['FN_PER', 'FN_EMAIL', 'FP_PER', 'FP_EMAIL'], error_type) AS o FROM n),
     q AS (SELECT 0 AS step, * FROM q0 UNION ALL
       SELECT step + 1, model, error_type, n, CASE WHEN total > 30 AND top > 1 AND row_number() OVER (PARTITION BY model ORDER BY quota DESC, o) = 1 THEN quota - 1 ELSE quota END, o
-      FROM (SELECT *, sum(quota) OVER (PARTITION BY model) AS total, max(quota) OVER (PARTITION BY model) AS top FROM q) WHERE step < 4)
-    SELECT model, error_type, n, quota FROM q WHERE step = 4""",
-)
+      FROM (SELECT *, sum(quota) OVER (PARTITION BY model) AS total, max(quota) OVER (PARTITION BY model) AS top FROM q) WHERE step < 4)"""
+
+
+@query("smp01_quotas", f"{_QUOTAS} SELECT model, error_type, n, quota FROM q WHERE step = 4")
 def _(spark, d):
     return errors.quotas(_errors(spark, d))
 
 
-@query(
-    "smp01_sample_sizes",
-    None,
-)
+@query("smp01_sample_sizes", f"{_QUOTAS} SELECT model, error_type, least(n, quota) AS n FROM q WHERE step = 4")
 def _(spark, d):
     """The drawn errors by bucket, in the order of a portable hash of the place."""
     rank = bootstrap.portable(F.col("idx") * 31 + F.col("s"), 42)

@@ -16,7 +16,7 @@ def instances(rows: DataFrame) -> DataFrame:
     kind = lambda x: F.when(x["label"] == "PER", "PER").otherwise("EMAIL")
     side = lambda name, a, b: F.transform(F.array_except(a, b), lambda x: F.struct(F.concat(F.lit(name), kind(x)).alias("error_type"), x["s"].alias("s"), x["e"].alias("e"), bio.span_text("tokens", x).alias("text")))
     errors = F.concat(side("FN_", "gold_spans", "pred_spans"), side("FP_", "pred_spans", "gold_spans"))
-    return rows.select("model", "idx", "tokens", F.explode(errors).alias("x")).select("model", "idx", "tokens", "x.*")
+    return rows.select("model", "idx", "tokens", F.explode_outer(errors).alias("x")).where("x is not null").select("model", "idx", "tokens", "x.*")
 
 
 def buckets(errors: DataFrame) -> DataFrame:

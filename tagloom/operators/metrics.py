@@ -25,7 +25,8 @@ def matched_counts(rows: DataFrame) -> DataFrame:
 
 def span_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, label, tp, fp, fn) with strict matching."""
-    each = matched_counts(rows).select(*by, F.explode("counts").alias("c")).select(*by, "c.*")
+    # the outer form, for the inner one puts a filter with a copy of the whole expression below the projection
+    each = matched_counts(rows).select(*by, F.explode_outer("counts").alias("c")).where("c is not null").select(*by, "c.*")
     return each.groupBy(*by, "label").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
 
 

@@ -15,13 +15,18 @@ from tagloom.plans.staging import stage
 QUERY_RESAMPLES = 200
 RESAMPLES = 1000
 _P = 2147483647
-#: The portable pseudo-random number as SQL text: arithmetic modulo a prime, the same in any engine.
-PORTABLE_SQL = f"((((({{x}}) % {_P}) * 48271 + {{salt}} * 40692 + 12345) % {_P}) * 16807 % {_P})"
+# The portable pseudo-random number as SQL text: integer arithmetic modulo a prime, the same in any
+# engine.  Squares keep draws of different salts apart; every product stays below 2^63.
+_A = f"((({{x}}) % {_P} * 48271 + {{salt}} * 40692 + 12345) % {_P})"
+_B = f"(({_A} * {_A} + {{salt}} * 7919 + 1) % {_P})"
+PORTABLE_SQL = f"(({_B} * {_B} + {_A} * 16807) % {_P})"
 
 
 def portable(x: Column, salt: int) -> Column:
     """A pseudo-random integer below 2^31 - 1 of an integer and a salt."""
-    return ((x.cast("long") % _P) * 48271 + F.lit(salt * 40692 + 12345)) % _P * 16807 % _P
+    a = (x.cast("long") % _P * 48271 + F.lit(salt * 40692 + 12345)) % _P
+    b = (a * a + F.lit(salt * 7919 + 1)) % _P
+    return (b * b + a * 16807) % _P
 
 
 def resampled(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
@@ -56,4 +61,4 @@ def exact_resampled(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 42
         rng = np.random.RandomState(seed)
         return pd.DataFrame({"b": range(resamples), "diff": [float(d[rng.randint(0, len(d), len(d))].mean()) for _ in range(resamples)]})
 
-    return pairs.groupBy(F.lit(1)).applyInPandas(run, "b long, diff double")
+    return pairs.select("idx", "fa", "fb", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "b long, diff double")

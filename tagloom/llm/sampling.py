@@ -35,6 +35,7 @@ def categories(rows: DataFrame) -> DataFrame:
 
 def wants(cats: DataFrame, targets: DataFrame) -> DataFrame:
     """The targets with the wanted and the available rows of each leaf."""
+    targets = targets.select("target_set", *LEAF, "target_per_mille", "min_rows", "sample_per_mille")
     total = cats.agg(F.count(F.lit(1)).alias("n_rows"))
     available = cats.where(F.col(LEAF[0]).isNotNull() & F.col(LEAF[1]).isNotNull()).groupBy(*LEAF).agg(F.count(F.lit(1)).alias("available"))
     leaves = targets.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")

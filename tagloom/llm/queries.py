@@ -27,4 +27,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_report": truncation.p8_report,
 }
 
-ORACLES: dict[str, str] = {}
+_KEYED = r"""k AS (
+  SELECT 'train_injected' AS table_name, idx AS id, sequence, tokens FROM train_injected UNION ALL
+  SELECT 'raw_examples', raw_id, payload ->> '$.sequence', list_transform(json_extract(payload, '$.tokens[*]'), lambda x: x ->> '$')
+  FROM (SELECT * FROM raw_examples WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'),
+g AS (SELECT DISTINCT table_name, id, regexp_replace(lower(sequence), '[^\p{L}\p{N}]+', '', 'g') AS ks,
+  regexp_replace(lower(coalesce(array_to_string(tokens, ''), '')), '[^\p{L}\p{N}]+', '', 'g') AS kt FROM k WHERE sequence <> '' AND id IS NOT NULL)"""
+
+_WANTS = """c AS (SELECT DISTINCT ON (idx) idx, lower(regexp_replace(entity_density_bucket, '^\\s+|\\s+$', '', 'g')) AS b, least(n_email_spans, 2) AS m FROM train_injected WHERE idx IS NOT NULL ORDER BY idx),
+n AS (SELECT count(*) AS n FROM c), a AS (SELECT b, m, count(*) AS available FROM c WHERE b IS NOT NULL AND m IS NOT NULL GROUP BY b, m),
+w AS (SELECT t.target_set, t.entity_density_bucket, t.n_email_spans, coalesce(a.available, 0) AS available, CAST(floor(n * sample_per_mille / 1000.0) AS BIGINT) AS s, t.min_rows, t.target_per_mille
+  FROM sample_targets t CROSS JOIN n LEFT JOIN a ON a.b = t.entity_density_bucket AND a.m = t.n_email_spans),
+q AS (SELECT *, greatest(min_rows, CAST(floor(s * target_per_mille / 1000.0) AS BIGINT)) AS wanted FROM w)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"WITH {_KEYED}, m AS (SELECT *, min(id) OVER (PARTITION BY table_name, ks, kt) AS keep_id FROM g) SELECT table_name, keep_id, id AS copy_id FROM m WHERE id <> keep_id",
+    "p2_copies": f"WITH {_KEYED} SELECT table_name, min(id) AS keep_id, count(DISTINCT id) AS copies FROM g GROUP BY table_name, ks, kt",
+    "p5_found": f"WITH {_WANTS} SELECT target_set, entity_density_bucket, n_email_spans FROM q WHERE available < wanted",
+}

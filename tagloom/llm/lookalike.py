@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +100,6 @@ def _latin(c: str) -> str | None:
     return None if base not in TO_LATIN else unicodedata.normalize("NFC", TO_LATIN[base] + "".join(marks))
 
 
-@lru_cache(maxsize=100_000)
 def repair(token: str) -> tuple[str, str, tuple[str, ...]]:
     """The form without letters of another script repaired, the form with them, and the words the second needs the corpus to have."""
     if token.isascii():
@@ -131,8 +130,12 @@ def repair(token: str) -> tuple[str, str, tuple[str, ...]]:
 
 
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, tuple] = {}
     for b in batches:
-        both = [repair(t) for t in b["token"]]
+        known = known if len(known) < 100_000 else {}
+        for t in set(b["token"]) - known.keys():
+            known[t] = repair(t)
+        both = [known[t] for t in b["token"]]
         yield b.assign(safe=[x[0] for x in both], form=[x[1] for x in both], needed=[list(x[2]) for x in both])
 
 

@@ -19,14 +19,15 @@ rows of one id count once; an empty training split leaves every text as it is, a
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -525,7 +526,7 @@ def _key(value: str) -> str:
 
 def _found(detector):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = detector.value
+        d = pickle.loads(detector.value)
         for b in batches:
             rows = []
             for field, texts in (("sequence", b["sequence"].fillna("")), ("tokens", b["tokens"].map(lambda x: "" if x is None else " ".join(t or "" for t in x)))):
@@ -562,7 +563,7 @@ def _masked(tokens, spans: list[tuple[int, int, str]]) -> list[str]:
 
 def _redacted(detector):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = detector.value
+        d = pickle.loads(detector.value)
         for b in batches:
             texts = b["sequence"].fillna("").tolist()
             masked = []
@@ -583,7 +584,8 @@ def _redacted(detector):
 def _inputs(spark: SparkSession, sf_dir: str):
     detector = trained(table(spark, sf_dir, "train_injected"), table(spark, sf_dir, "name_parts"))
     rows = table(spark, sf_dir, "test_injected").where(F.col("idx").isNotNull()).select("idx", "sequence", "tokens")
-    return spark.sparkContext.broadcast(detector), rows
+    # by value, so a worker needs no copy of the package
+    return spark.sparkContext.broadcast(cloudpickle.dumps(detector)), rows
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

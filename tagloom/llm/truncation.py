@@ -7,7 +7,7 @@ no longer copy was kept (most cuts in practice), the end of the text decides, ag
 all texts:
 
 * a broken character, a table row without its last bar, an answer whose braces never close;
-* running text without a closing mark, in a source that does set them.  A source that never sets
+* running text, or a labelled line that is usually followed by an answer, without a closing mark, in a source that does set them.  A source that never sets
   one is told from a source with a field limit by the lengths of its open texts: those of a field
   limit pile up below one size in characters or bytes.  In a source without marks only an end
   inside a word or on a word that nothing ends with counts;
@@ -46,8 +46,8 @@ _DOTS = r"(?:\.{3,}|…)[\s\])]*$"
 _BROKEN = "\ufffd"
 #: Last lines that are whole without a closing mark.
 _BULLET = r"^\s*(?:[-*•·]|\d+[.)])\s"
-_SIGNED = r"^\s*(?:—|–|--)\s*\S"
-_LABEL = r"^\s*\p{Lu}[\p{L} ]{2,24}:\s+\S+"
+_SIGNED = r"^\s*(?:—|–|--)\s*[^\s-].{0,80}$"
+_LABEL = r"^\s*(\p{Lu}[\p{L} ]{2,24}):\s+\S+"
 _DATED = r"^[^.!?]{2,60}, \d{1,2} \p{Lu}\p{Ll}+ \d{4}$"
 _LISTED = (
     r"; tel\. [+(\d]|: [\w.+-]+@[\w.-]+$| [–-] \p{Ll}[\p{Ll} ]+, \p{Lu}|\(\d{4}\)$"
@@ -76,28 +76,32 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     ).where("whole <> ''")
     rows = rows.select(
         "doc_id", "source", "chars", "bytes", F.right("whole", F.lit(200)).alias("tail"),
-        F.substring_index("whole", "\n", -1).alias("line"), F.right(_trimmed(F.col("whole"), f".\u2026{_BROKEN}"), F.lit(120)).alias("bare"),
+        F.substring_index("whole", "\n", -1).alias("line"),
+        F.substring_index(F.substring_index("whole", "\n", -2), "\n", 1).alias("before"), F.right(_trimmed(F.col("whole"), f".\u2026{_BROKEN}"), F.lit(120)).alias("bare"),
     )
     words = F.regexp_extract_all(F.col("bare"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     line = F.col("line")
     is_table = line.rlike(r"^\s*\|")
     braces = F.length(line) - F.length(F.translate(line, "{", "")) - (F.length(line) - F.length(F.translate(line, "}", "")))
     has_brace = F.contains(line, F.lit("{"))
-    listed = line.rlike(_BULLET) | line.rlike(_SIGNED) | line.rlike(_LABEL) | line.rlike(_DATED) | (line.rlike(_LISTED) & (F.length(line) < 160))
+    listed = line.rlike(_BULLET) | line.rlike(_SIGNED) | line.rlike(_DATED) | (line.rlike(_LISTED) & (F.length(line) < 160))
     kind = (
         F.when(F.endswith("tail", F.lit(_BROKEN)), "broken")
         .when(is_table, F.when(line.rlike(r"\|\s*$"), "whole").otherwise("broken"))
-        .when(has_brace, F.when(braces == 0, "whole").otherwise("broken"))
+        .when(has_brace & (braces != 0), "broken")
+        .when(has_brace & F.endswith(line, F.lit("}")), "whole")
         .when(F.col("tail").rlike(_DOTS), "dots")
         .when(F.right("tail", F.lit(40)).rlike(_CLOSED), "closed")
         .when(listed, "whole")
+        .when(line.rlike(_LABEL), "label")
         .otherwise("open")
     )
+    label = lambda c: F.regexp_extract(c, _LABEL, 1)
     return rows.select(
         "doc_id", "source", "chars", "bytes", kind.alias("kind"),
         F.element_at(F.when(F.size(words) > 0, words), -1).alias("word"),
         F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ").alias("phrase"),
-        F.col("bare").rlike(r"[,;:(–—&/-]\s*$").alias("hangs"),
+        F.col("bare").rlike(r"[,;:(–—&/-]\s*$").alias("hangs"), label(line).alias("label"), label(F.col("before")).alias("label_before"),
     )
 
 
@@ -117,6 +121,15 @@ def source_styles(ends: DataFrame) -> DataFrame:
     return piled.where(F.col("piled") < PILED_SHARE).select("source", F.lit(True).alias("unmarked"))
 
 
+def with_labels_decided(ends: DataFrame) -> DataFrame:
+    """Texts whose last line has a label are whole where that label closes texts, and open where it mostly stands
+    one line before the end (a question before its answer)."""
+    uses = ends.select(F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("n")), F.struct(F.col("label_before").alias("l"), F.lit(-1).alias("n")))).alias("u"))
+    closing = uses.where("u.l <> ''").groupBy(F.col("u.l").alias("label")).agg((F.sum("u.n") >= 0).alias("closes"))
+    joined = ends.join(closing, "label", "left")
+    return joined.withColumn("kind", F.when(F.col("kind") == "label", F.when(F.col("closes"), "whole").otherwise("open")).otherwise(F.col("kind"))).drop("closes", "label", "label_before")
+
+
 def cut_by_ending(ends: DataFrame) -> DataFrame:
     """(doc_id) of the texts whose end shows a cut."""
     dots = ends.where(F.col("kind") == "dots")
@@ -188,7 +201,7 @@ def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id) of the texts that were cut off."""
-    ends = stage(described(docs), "p8-ends")
+    ends = stage(with_labels_decided(stage(described(docs), "p8-ends")), "p8-kinds")
     unfinished = ends.where(F.col("kind").isin("open", "dots")).select("doc_id")
     return prefix_of_longer(docs).join(unfinished, "doc_id", "left_semi").unionByName(cut_by_ending(ends)).distinct()
 

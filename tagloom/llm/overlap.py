@@ -15,8 +15,9 @@ its middle words as part of a passage); matched intervals are merged into the co
 evaluation record, and an exact edit distance decides.
 
 Equal texts are one class on either side; they are expanded only in the pairs that come out.  The
-code space bounds every table that is sent to the executors.  Words over one training count
-``HOT_WINDOWS`` are spread over several shards.
+code space bounds every table that is sent to the executors.  A word in many training windows or
+many passages (over ``HOT_WINDOWS``) is spread over a grid of shards: each window goes to one row of the
+grid, each passage to one column.
 
 Defined cases: null and empty texts, and texts without any letter or digit, are never cases;
 repeated rows of one id count once; an empty table gives no pairs.  Two words share a code point
@@ -135,8 +136,8 @@ def passages_of(points: np.ndarray, counts: np.ndarray) -> list[tuple[int, int,
     return [(max(cuts[i], a - REACH), min(cuts[i + 1], a + REACH + 1), a) for i, a in enumerate(anchors.tolist())]
 
 
-def _shard(point: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
-    return ((point * 40503 + salt * 2654435761) & 0x7FFFFFFF) % shards
+def _shard(point: np.ndarray, salt: np.ndarray, column: np.ndarray, shards: int) -> np.ndarray:
+    return ((point * 40503 + salt * 2654435761 + column * 805459861) & 0x7FFFFFFF) % shards
 
 
 def _passages(counts, salts):
@@ -159,9 +160,9 @@ def _passages(counts, salts):
     return run
 
 
-def _windows(bitmap, anchors, salts, shards: int):
+def _windows(bitmap, columns, salts, shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, is_anchor, salts_of = np.unpackbits(bitmap.value), np.unpackbits(anchors.value), salts.value
+        bits, columns_of, salts_of = np.unpackbits(bitmap.value), columns.value, salts.value
         for b in batches:
             if not len(b):
                 continue
@@ -170,7 +171,7 @@ def _windows(bitmap, anchors, salts, shards: int):
             points = _points("".join(codes))
             row = np.repeat(np.arange(len(codes)), n)
             pos = np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)
-            keep = np.flatnonzero(is_anchor[points])
+            keep = np.flatnonzero(columns_of[points])
             r, q, p = row[keep], pos[keep], points[keep]
             none = np.full(len(keep), -1)
             left = np.where(q > 0, points[np.maximum(keep - 1, 0)], -1)
@@ -179,12 +180,15 @@ def _windows(bitmap, anchors, salts, shards: int):
             for x, y in ((left, right), (left, none), (none, right), (none, none)):
                 may |= bits[_middle(x, p, y)] > 0
             r, q, p = r[may], q[may], p[may]
+            wide = columns_of[p]  # one copy for each column of the word's grid
+            column = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+            r, q, p = np.repeat(r, wide), np.repeat(q, wide), np.repeat(p, wide)
             gap = PAD * REACH
             letters, ends = _letters(points), np.cumsum(n).tolist()
             padded = [gap + letters[e - k : e] + gap for e, k in zip(ends, n.tolist())]
             cls = b["cls"].to_numpy()[r]
             yield pd.DataFrame({
-                "shard": _shard(p, cls % salts_of[p], shards).astype(np.int32), "tcls": cls, "at": q << 32 | n[r],
+                "shard": _shard(p, cls % salts_of[p], column, shards).astype(np.int32), "tcls": cls, "at": q << 32 | n[r],
                 "sig": _signatures(points, row, len(codes))[r],
                 "win": [padded[i][x : x + 2 * REACH + 1] for i, x in zip(r.tolist(), q.tolist())],
             })
@@ -264,13 +268,16 @@ def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
         evaluation.mapInPandas(_passages(b_counts, b_salts), "anchor int, salt int, mid int, ecls long, passage string, lo int, off int, m int, sig long"),
         "p1-passages",
     )
-    is_anchor, bits = np.zeros(CODES, bool), np.zeros(BITS, bool)
-    is_anchor[passages.select("anchor").distinct().toPandas()["anchor"].to_numpy(np.int64)] = True
-    bits[passages.select("mid").distinct().toPandas()["mid"].to_numpy(np.int64)] = True
-    shards = int(counts[is_anchor].sum() // SHARD_WINDOWS) + 2 * sc.defaultParallelism
-    send = lambda x: sc.broadcast(np.packbits(x))
-    windows = train.mapInPandas(_windows(send(bits), send(is_anchor), b_salts, shards), "shard int, tcls long, at long, sig long, win string")
-    placed = passages.drop("mid").withColumn("shard", (((F.col("anchor").cast("long") * 40503 + F.col("salt").cast("long") * 2654435761).bitwiseAND(0x7FFFFFFF)) % shards).cast("int"))
+    uses = passages.where("salt = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most CODES rows
+    columns, bits = np.zeros(CODES, np.int64), np.zeros(BITS, bool)
+    columns[uses["anchor"].to_numpy(np.int64)] = -(-uses["n"].to_numpy(np.int64) // HOT_WINDOWS)
+    bits[passages.select("mid").distinct().toPandas()["mid"].to_numpy(np.int64)] = True  # at most BITS rows
+    shards = int((counts * columns).sum() // SHARD_WINDOWS) + 2 * sc.defaultParallelism
+    windows = train.mapInPandas(_windows(sc.broadcast(np.packbits(bits)), sc.broadcast(columns), b_salts, shards), "shard int, tcls long, at long, sig long, win string")
+    wide = F.create_map(*[F.lit(x) for at in np.flatnonzero(columns > 1).tolist() for x in (at, int(columns[at]))]) if (columns > 1).any() else None
+    column = F.lit(0) if wide is None else F.pmod(F.col("ecls"), F.coalesce(F.try_element_at(wide, F.col("anchor")), F.lit(1)))
+    mixed = F.col("anchor").cast("long") * 40503 + F.col("salt").cast("long") * 2654435761 + column.cast("long") * 805459861
+    placed = passages.drop("mid").withColumn("shard", (mixed.bitwiseAND(0x7FFFFFFF) % shards).cast("int"))
     hits = windows.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_matches, MATCH)
     pairs = hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), _merged(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
     t, e = train.select(F.col("cls").alias("tcls"), F.col("code").alias("tcode")), evaluation.select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"))

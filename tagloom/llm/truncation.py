@@ -150,53 +150,48 @@ def cut_by_ending(ends: DataFrame) -> DataFrame:
     )
 
 
-MARKS = "doc_id long, part int, role string, text string"
+MARKS = "h1 long, h2 long, part int, role string, text string"
 
 
-def _marks(role: str, part: int, ids: list, texts: list) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": pd.Series(ids, dtype="object"), "part": part, "role": role, "text": pd.Series(texts, dtype="object")})
+def _mark(role: str, part: int, keys: list, texts: list) -> pd.DataFrame:
+    h1, h2 = zip(*keys) if keys else ((), ())
+    return pd.DataFrame({"h1": pd.Series(h1, dtype="object"), "h2": pd.Series(h2, dtype="object"), "part": part, "role": role, "text": pd.Series(texts, dtype="object")})
 
 
 def _strict_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted texts: ``found`` ids, whose text is a strict prefix of the next distinct one; ``last`` ids wait for the next partition."""
+    """Of sorted distinct texts: ``found``, the ones that are a prefix of the next; ``head`` and ``tail`` of the partition."""
     part = TaskContext.get().partitionId()
-    text, ids = None, []
+    text, key = None, None
     for b in batches:
         found = []
-        for i, t in zip(b["doc_id"], b["text"]):
-            if t == text:
-                ids.append(i)
-                continue
+        for k, t in zip(zip(b["h1"], b["h2"]), b["text"]):
             if text is None:
-                yield _marks("head", part, [None], [t])
-            elif t.startswith(text):
-                found += ids
-            text, ids = t, [i]
-        yield _marks("found", part, found, [None] * len(found))
+                yield _mark("head", part, [k], [t])
+            elif t.startswith(text) and t != text:
+                found.append(key)
+            text, key = t, k
+        yield _mark("found", part, found, [None] * len(found))
     if text is not None:
-        yield _marks("last", part, ids, [None] * len(ids))
-        yield _marks("tail", part, [None], [text])
+        yield _mark("tail", part, [key], [text])
 
 
 def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id) of the texts that, without closing dots, are a strict prefix of another text."""
+    """(doc_id) of the texts that, without closing dots, are a strict prefix of another text.
+
+    Equal texts go through the sort once; their ids are joined at the end.
+    """
     rows = docs.select(F.col(key).alias("doc_id"), _trimmed(F.col(text), f".\u2026{_BROKEN}").alias("text")).where(F.length("text") >= PREFIX)
-    rows = rows.withColumn("h", F.xxhash64(F.left("text", F.lit(PREFIX))))
-    several = (
-        rows.select("h", F.xxhash64("text").alias("whole")).groupBy("h")
-        .agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("h")
-    )
-    ordered = rows.join(several, "h", "left_semi").select("doc_id", "text").repartitionByRange("text").sortWithinPartitions("text")
-    marks = stage(ordered.mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
-    # the last text of a partition against the first one of the next: one row for each partition
-    edges = marks.where("role in ('head', 'tail')").groupBy("part").agg(
-        F.max(F.when(F.col("role") == "head", F.col("text"))).alias("head"), F.max(F.when(F.col("role") == "tail", F.col("text"))).alias("tail")
-    )
-    after = edges.withColumn("next", F.lead("head").over(Window.orderBy("part"))).where(F.startswith("next", "tail")).select("part")
-    return (
-        marks.where("role = 'found'").select("doc_id")
-        .unionByName(marks.where("role = 'last'").join(after, "part", "left_semi").select("doc_id"))
-    )
+    rows = rows.withColumns({"h": F.xxhash64(F.left("text", F.lit(PREFIX))), "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    several = rows.groupBy("h").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("h")
+    rows = rows.join(several, "h", "left_semi")
+    distinct = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
+    marks = stage(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
+    # the last text of a partition against the first one of the next: two rows for each partition
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    edges = marks.where("role in ('head', 'tail')").groupBy("part").agg(of("head", "text").alias("head"), of("tail", "text").alias("tail"), of("tail", "h1").alias("h1"), of("tail", "h2").alias("h2"))
+    after = edges.withColumn("next", F.lead("head").over(Window.orderBy("part"))).where(F.startswith("next", "tail")).select("h1", "h2")
+    found = marks.where("role = 'found'").select("h1", "h2").unionByName(after)
+    return rows.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left_semi").select("doc_id")
 
 
 def truncated(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 
+SLACK = 0.003
+
+
 class BoostedTrees:
     """Logistic boosting with histogram splits; ``threshold`` is set by ``calibrate`` on rows not used for the fit."""
 
@@ -75,14 +78,17 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
     def calibrate(self, p: np.ndarray, y: np.ndarray, missed: int = 0) -> float:
-        """Sets the threshold of best F1 on held-out scores; ``missed`` positives had no candidate."""
+        """Sets the threshold from held-out scores: of the cuts within ``SLACK`` of the best F1 the one nearest to even odds.
+
+        ``missed`` positives had no candidate.
+        """
         order = np.argsort(-p, kind="stable")
         hits = np.cumsum(y[order])
         total = y.sum() + missed
         if not total:
             return self.threshold
         f1 = 2 * hits / (np.arange(1, len(p) + 1) + total)
-        i = int(f1.argmax())
-        low = p[order[i + 1]] if i + 1 < len(p) else 0.0
-        self.threshold = float(max(0.05, min(0.95, (p[order[i]] + low) / 2)))
-        return float(f1[i])
+        cut = (p[order] + np.append(p[order][1:], 0.0)) / 2
+        good = np.flatnonzero(f1 >= f1.max() - SLACK)
+        self.threshold = float(np.clip(cut[good[np.abs(cut[good] - 0.5).argmin()]], 0.05, 0.95))
+        return float(f1.max())

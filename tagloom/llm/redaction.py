@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.boosting import BoostedTrees
+from tagloom.llm.lookalike import FULL_WIDTH, repair
 from tagloom.plans.staging import table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
@@ -43,6 +44,7 @@ NEVER_LEAST = 40
 PIECE = re.compile(r"[^\W\d_]+(?:[̀-ͯ­​-‏⁠﻿]+[^\W\d_]*|['’ʼ](?!s\b|S\b)[^\W\d_]+|-[^\W\d_]{2,})*|\d+|\S")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
+_ODD = re.compile(f"[{FULL_WIDTH}\u00ad\u0300-\u03ff\u0400-\u052f\u200b-\u200f\u2060\ufeff]")
 TITLES = set("mr mrs ms miss dr prof professor sir dame lord lady rev fr sr st saint captain capt col gen lt sgt hon herr frau mme mlle m señor señora don doña".split()) - {"m", "fr", "sr"}
 PARTICLES = set("de del della di da dos das du van von der den zu zur al el la le ben bin ibn af av ter ten y e".split())
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv", "phd"}
@@ -131,12 +133,14 @@ def _address_spans(text: str) -> Iterator[tuple[int, int]]:
 class Pieces:
     """A text cut into words, numbers and marks."""
 
-    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends", "like")
+    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends", "like", "around")
 
     def __init__(self, text: str):
         self.text = text
         self.spans = [m.span() for m in PIECE.finditer(text)]
-        self.words = [_HIDDEN.sub("", text[s:e]) or "." for s, e in self.spans]
+        self.words = [text[s:e] for s, e in self.spans]
+        if _ODD.search(text):  # look-alikes are read as the letters they stand for; places stay those of the text
+            self.words = [_HIDDEN.sub("", repair(w)[1]) or "." for w in self.words]
         self.low = [w.lower() for w in self.words]
         letters = sum(w[0].isalpha() for w in self.words)
         upper = sum(w[0].isupper() for w in self.words)
@@ -145,6 +149,7 @@ class Pieces:
         self.starts = {s: i for i, (s, _) in enumerate(self.spans)}
         self.ends = {e: i for i, (_, e) in enumerate(self.spans)}
         self.like: list[bool] = []
+        self.around = ["<", "<", *("0" if w[0].isdigit() else w for w in self.low), ">", ">"]
 
     def mark(self, common: set[str], never: set[str]) -> None:
         """Finds the name-like words: capitalised and not known to be none, in a caseless text any uncommon one."""
@@ -280,24 +285,23 @@ class Statistics:
 
     @staticmethod
     def _contexts(p: Pieces, i: int, j: int) -> list[tuple[str, object]]:
-        w = ["<", "<", *p.low, ">", ">"]
-        shape = lambda x: "0" if x[0].isdigit() else x
-        return [("prev", shape(w[i + 1])), ("prev2", (shape(w[i]), shape(w[i + 1]))), ("next", shape(w[j + 3])), ("next2", (shape(w[j + 3]), shape(w[j + 4])))]
+        w = p.around
+        return [("prev", w[i + 1]), ("prev2", (w[i], w[i + 1])), ("next", w[j + 3]), ("next2", (w[j + 3], w[j + 4]))]
 
     def features(self, p: Pieces, i: int, j: int) -> list[float]:
-        o = self.odds
+        word, end3, end5 = (self.odds.get(k, {}) for k in ("word", "end3", "end5"))
         words = [w for w in p.low[i : j + 1] if w[0].isalpha()]
         real = [w for w in words if len(w) > 1 and w not in PARTICLES and w not in SUFFIXES] or words
-        at = [o["word"].get(w, 0.0) if "word" in o else 0.0 for w in real]
+        at = [word.get(w, 0.0) for w in real]
         first, last = real[0], real[-1]
         n = len(p.words)
         like = lambda k: float(0 <= k < n and p.like[k])
         after = j + 1 if j + 1 < n and p.words[j + 1] != "." else j + 2
         return [
             len(words), sum(len(w) == 1 for w in words), sum(w in PARTICLES for w in words), sum(w in SUFFIXES for w in words), "-" in last, "," in p.words[i : j + 1],
-            *(o.get(name, {}).get(key, 0.0) for name, key in self._contexts(p, i, j)),
+            *(self.odds.get(name, {}).get(key, 0.0) for name, key in self._contexts(p, i, j)),
             first in self.given, last in self.family or any(x in self.family for x in last.split("-")), first in self.family, last in self.given,
-            at[0], at[-1], min(at), sum(at) / len(at), o.get("end3", {}).get(last[-3:], 0.0), o.get("end5", {}).get(last[-5:], 0.0), o.get("end5", {}).get(first[-5:], 0.0),
+            at[0], at[-1], min(at), sum(at) / len(at), end3.get(last[-3:], 0.0), end5.get(last[-5:], 0.0), end5.get(first[-5:], 0.0),
             like(i - 1) or float(i > 1 and p.words[i - 1] == "." and len(p.words[i - 2]) == 1), like(j + 1), like(after),
             float(j + 1 < n and p.low[j + 1] in PARTICLES and like(j + 2)), float(i > 0 and p.low[i - 1] in PARTICLES),
             float(i > 0 and p.low[i - 1] in TITLES or i > 1 and p.low[i - 2] in TITLES), p.caseless, i == 0, len(last), float(last in self.common), float(first in self.common),

@@ -168,14 +168,14 @@ def test_masked_tokens_keep_the_rest():
 
 def test_redaction_tables(spark, tmp_path, detector, monkeypatch):
     monkeypatch.setattr(redaction, "trained", lambda *a, **k: detector)
-    text = "Anna Harrow wrote a novel in Eastham ."
-    test = rows(spark, [{"idx": 1, "sequence": text, "tokens": text.split()}, {"idx": 1, "sequence": text, "tokens": text.split()}, {"idx": 2}, {"idx": 3, "sequence": "", "tokens": []}, {"idx": 4, "sequence": "x " * 20000, "tokens": [None, "a"]}])
+    text, long = "Anna Harrow wrote a novel in Eastham .", "a tower was built in the garden . " * 3000
+    test = rows(spark, [{"idx": 1, "sequence": text, "tokens": text.split()}, {"idx": 1, "sequence": text, "tokens": text.split()}, {"idx": 2}, {"idx": 3, "sequence": "", "tokens": []}, {"idx": 4, "sequence": long, "tokens": [None, "a"]}])
     d = folder(spark, tmp_path, test_injected=test, train_injected=rows(spark, []), name_parts=spark.createDataFrame([], "name_part string, part_kind string"))
     got = {tuple(x) for x in redaction.p3_found(spark, d).collect()}
     assert got == {(1, "sequence", "NAME", "annaharrow"), (1, "tokens", "NAME", "annaharrow")}
     red = {x.idx: x for x in redaction.p3_redacted(spark, d).collect()}
     assert red[1].sequence == "[NAME] wrote a novel in Eastham ." and red[1].tokens[0] == "[NAME]" and red[1].tokens[1:] == text.split()[2:]
-    assert red[2].sequence is None and red[2].tokens is None and red[3].tokens == [] and red[4].sequence == "x " * 20000
+    assert red[2].sequence is None and red[2].tokens is None and red[3].tokens == [] and red[4].sequence == long
 
 
 def test_training_on_nothing(spark, tmp_path):

@@ -171,7 +171,20 @@ def _(spark, d):
     return metrics.sentence_f1(inputs.spanned(spark, d)).select("model", "idx", F.round("f1", 6).alias("f1"))
 
 
-@query("met12_late_sentence_f1")
+def _late_sql(side: str, kind: str) -> str:
+    """Blocks end with a closer; a block's span runs from its last ``B-X`` to its closer."""
+    closer = f"(tag = 'O' OR (tag LIKE 'B-%' AND tag <> 'B-{kind}'))"
+    return f"""SELECT model, idx, '{side}' AS side, '{kind}' AS label, max(pos) FILTER (tag = 'B-{kind}') AS s, coalesce(max(pos) FILTER ({closer}), max(pos) + 1) AS e FROM (
+      SELECT model, idx, pos, tag, coalesce(sum(CASE WHEN {closer} THEN 1 ELSE 0 END) OVER (PARTITION BY model, idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM (
+        SELECT pred.model, pred.idx, u.pos - 1 AS pos, u.tag FROM pred, unnest(pred.{side}) WITH ORDINALITY AS u(tag, pos))) GROUP BY model, idx, block HAVING max(pos) FILTER (tag = 'B-{kind}') IS NOT NULL"""
+
+
+_LATE = PRED + ", ls AS (" + " UNION ALL ".join(_late_sql(side, kind) for side in ("gold", "pred") for kind in ("PER", "EMAIL")) + """),
+  lm AS (SELECT model, idx, label, s, e, bool_or(side = 'gold') AS g, bool_or(side = 'pred') AS p FROM ls GROUP BY ALL),
+  ll AS (SELECT model, idx, label, 2.0 * count(*) FILTER (g AND p) / (count(*) FILTER (g) + count(*) FILTER (p)) AS f1 FROM lm GROUP BY ALL)"""
+
+
+@query("met12_late_sentence_f1", f"WITH {_LATE} SELECT pred.model, pred.idx, round(coalesce(avg(ll.f1), 0.0), 6) AS f1 FROM pred LEFT JOIN ll USING (model, idx) GROUP BY ALL")
 def _(spark, d):
     return metrics.late_sentence_f1(inputs.predictions(spark, d)).select("model", "idx", F.round("f1", 6).alias("f1"))
 

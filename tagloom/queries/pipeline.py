@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import bio
 from tagloom.operators import alignment, bootstrap, injection, inputs, responses, splits
 from tagloom.plans.staging import stage, table
-from tagloom.queries.sql import ex, ratio, spans_of
+from tagloom.queries.sql import ALL_EX, ex, ratio, spans_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -188,7 +188,15 @@ def _(spark, d):
     return rows.select("idx", F.size("y").cast("long").alias("size"), F.size(F.filter("y", lambda v: v.isin(1, 3))).cast("long").alias("starts"))
 
 
-@query("tok03_rows")
+_FIRST, _LATER = (f"CASE {c} WHEN 'B-PER' THEN 1 WHEN 'I-PER' THEN 2 WHEN 'B-EMAIL' THEN 3 WHEN 'I-EMAIL' THEN 4 ELSE 0 END" for c in ("tag", "'I-' || substr(tag, 3)"))
+
+
+@query(
+    "tok03_rows",
+    f"""WITH {ALL_EX}, pc AS (SELECT ex.split, ex.idx, t.pos AS w, g.k, ex.tags[t.pos] AS tag FROM ex, unnest(ex.tokens) WITH ORDINALITY AS t(tok, pos), range(greatest(CAST(ceil(length(t.tok) / 4.0) AS BIGINT), 1)) g(k)),
+    y AS (SELECT split, idx, list(CASE WHEN k > 0 AND tag LIKE 'B-%' THEN {_LATER} ELSE {_FIRST} END ORDER BY w, k) AS ys FROM pc GROUP BY ALL)
+    SELECT ex.split, ex.idx, array_to_string(list_slice(list_concat(list_concat([-100], coalesce(y.ys, [])), list_transform(range(257), lambda x: -100)), 1, 256), ' ') AS labels FROM ex LEFT JOIN y USING (split, idx)""",
+)
 def _(spark, d):
     """Every split aligned and fitted, without the columns a trainer does not need."""
     e = inputs.all_examples(spark, d).withColumn("word_ids", alignment.chunk_word_ids("tokens"))
@@ -224,6 +232,14 @@ def _(spark, d):
     return rows.select("idx", F.array_join(alignment.word_tags("w", "y", "tokens"), " ").alias("tags"))
 
 
+@query("enc02_missing_models", "WITH m AS (SELECT unnest(['encoder_a', 'encoder_b', 'encoder_c', 'llm']) AS model) SELECT model FROM m WHERE model NOT IN (SELECT model FROM encoder_predictions) AND model <> 'llm'")
+def _(spark, d):
+    """The configured models that have no predictions yet."""
+    wanted = spark.createDataFrame([("encoder_a",), ("encoder_b",), ("encoder_c",), ("llm",)], "model string")
+    done = inputs.predictions(spark, d).select("model").distinct()
+    return wanted.join(done, "model", "left_anti")
+
+
 @query("enc03_argmax", f"{_PIECES} SELECT y AS label, count(*) AS n, count(*) FILTER (CASE WHEN (idx + p) % 7 = 0 THEN 0 ELSE y END = y) AS hits FROM pi GROUP BY y")
 def _(spark, d):
     """Scores of five classes (off on every seventh piece), argmax, ignored pieces dropped."""

@@ -119,7 +119,30 @@ def _(spark, d):
     return _joined(spark, d).where(F.size("tokens") > 0).select("model", "idx", "masked")
 
 
-@query("msk02_unlocated")
+def _located_sql(rows: str) -> str:
+    """Masking of stored texts: tokens are searched one after the other by recursion, spans become pieces of text."""
+    return f"""WITH RECURSIVE {PRED}, r AS ({rows}), {spans_of('sp', 'r', 'model, idx', 'tags')},
+    loc AS (SELECT model, idx, 0 AS k, CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b FROM r UNION ALL
+      SELECT model, idx, k + 1, CASE WHEN i > 0 THEN pos + i - 1 + length(tok) ELSE pos END, CASE WHEN i > 0 THEN pos + i - 1 ELSE -1 END, CASE WHEN i > 0 THEN pos + i - 1 + length(tok) ELSE -1 END
+      FROM (SELECT loc.model, loc.idx, k, pos, r.tokens[k + 1] AS tok, strpos(substr(r.sequence, pos + 1), r.tokens[k + 1]) AS i FROM loc JOIN r USING (model, idx) WHERE k < len(r.tokens))),
+    cr AS (SELECT sp.model, sp.idx, sp.s, any_value(sp.label) AS label, max(loc.a) FILTER (loc.k = sp.s + 1) AS a, max(loc.b) AS b FROM sp JOIN loc ON loc.model = sp.model AND loc.idx = sp.idx AND loc.k > sp.s AND loc.k <= sp.e GROUP BY ALL),
+    ok AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY model, idx ORDER BY s), 0) AS from_ FROM cr WHERE a >= 0 AND b >= 0),
+    pc AS (SELECT ok.model, ok.idx, string_agg(substr(r.sequence, from_ + 1, a - from_) || CASE label WHEN 'PER' THEN '[NAME]' ELSE '[' || label || ']' END, '' ORDER BY s) AS head, max(b) AS last, count(*) AS n FROM ok JOIN r USING (model, idx) GROUP BY ALL),
+    mk AS (SELECT r.model, r.idx, r.sequence, coalesce(pc.head, '') || substr(r.sequence, coalesce(pc.last, 0) + 1) AS masked, coalesce(pc.n, 0) AS n FROM r LEFT JOIN pc USING (model, idx))"""
+
+
+_STORED = _located_sql("SELECT model, idx, coalesce(sequence, array_to_string(tokens, ' ')) AS sequence, sequence IS NULL AS rebuilt, tokens, pred AS tags FROM pred")
+_BATCH = _located_sql(
+    "SELECT model, idx, CASE WHEN coalesce(sequence, '') = '' THEN array_to_string(tokens, ' ') ELSE sequence END AS sequence, tokens, "
+    "list_slice(list_concat(coalesce(raw_pred, []), list_transform(range(len(tokens)), lambda x: 'O')), 1, len(tokens)) AS tags FROM pred"
+)
+
+
+@query(
+    "msk02_unlocated",
+    f"""{_STORED}, ns AS (SELECT model, count(*) AS n FROM sp GROUP BY model), x AS (SELECT mk.model, count(*) AS n_rows, CAST(sum(mk.n) AS BIGINT) AS found, count(*) FILTER (r.rebuilt) AS n_rebuilt, count(*) FILTER (mk.masked <> mk.sequence) AS n_changed FROM mk JOIN r USING (model, idx) GROUP BY mk.model)
+    SELECT model, n_rows, coalesce(ns.n, 0) - found AS n_unlocated, n_rebuilt, n_changed FROM x LEFT JOIN ns USING (model)""",
+)
 def _(spark, d):
     """Masking of the stored texts: spans whose first token is not in the text stay, and are counted."""
     rows = masking.masked(masking.with_sequence(inputs.spanned(spark, d)))
@@ -132,7 +155,7 @@ def _(spark, d):
     return rows.where(F.col("n_pred") != F.size("tokens")).select("model", "idx", "n_pred", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@query("msk05_batch")
+@query("msk05_batch", f"{_BATCH} SELECT model, idx, masked FROM mk")
 def _(spark, d):
     """Every record with its masked text; predictions padded to the tokens, a missing or empty text rebuilt."""
     rows = inputs.predictions(spark, d).withColumn("pred", bio.padded("raw_pred", "tokens"))

@@ -313,7 +313,28 @@ def _(spark, d):
     return rows.select("idx", F.array_join("names", "|").alias("names"), F.array_join("emails", "|").alias("emails"))
 
 
-@query("llm08_09_aligned")
+_STRIP = "regexp_replace({x}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
+_WORDS = "list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda x: x <> ''), lambda x: " + _STRIP.format(x="x") + ")"
+
+
+def _window(parts: str) -> str:
+    """The first place where free words equal the parts, from 1."""
+    return f"CASE WHEN len({parts}) > 0 THEN list_filter(range(1, len(bare) - len({parts}) + 2), lambda p: bare[p:p + len({parts}) - 1] = {parts} AND len(list_filter(tags[p:p + len({parts}) - 1], lambda t: t <> 'O')) = 0)[1] END"
+
+
+_ALIGN = f"""{_PARSE}, nm AS (SELECT gr.idx, list_filter(gr.names, lambda n: len(list_filter(gr.emails, lambda e: contains(lower(trim(e, {_WS})), lower(trim(n, {_WS}))))) = 0) AS names, gr.emails, coalesce(l.tokens, []) AS tokens FROM gr JOIN l USING (idx)),
+  en AS (SELECT idx, tokens, list_transform(tokens, lambda t: {_STRIP.format(x='lower(t)')}) AS bare,
+    list_concat(list_transform(emails, lambda e: {{'text': lower(trim(e, {_WS})), 'kind': 'EMAIL'}}), list_transform(names, lambda e: {{'text': lower(trim(e, {_WS})), 'kind': 'PER'}})) AS es FROM nm),
+  al AS (SELECT idx, 0 AS k, list_transform(tokens, lambda t: 'O') AS tags FROM en UNION ALL
+    SELECT idx, k + 1, CASE WHEN at1 IS NULL THEN tags ELSE list_transform(tags, lambda t, i: CASE WHEN i = at1 THEN 'B-' || kind WHEN i > at1 AND i < at1 + n THEN 'I-' || kind ELSE t END) END FROM (
+      SELECT *, coalesce(whole, mail, plain) AS at1, CASE WHEN whole IS NOT NULL THEN 1 WHEN mail IS NOT NULL THEN len(split) ELSE len(words) END AS n FROM (
+        SELECT *, CASE WHEN contains(low, '@') THEN list_filter(range(1, len(bare) + 1), lambda i: bare[i] = {_STRIP.format(x='low')} AND tags[i] = 'O')[1] END AS whole,
+          CASE WHEN contains(low, '@') AND len(split) >= 2 THEN {_window('split')} END AS mail, {_window('words')} AS plain FROM (
+          SELECT al.idx, k, tags, en.bare, en.es[k + 1].text AS low, en.es[k + 1].kind AS kind, {_WORDS.format(x="replace(en.es[k + 1].text, '@', ' @ ')")} AS split, {_WORDS.format(x='en.es[k + 1].text')} AS words
+          FROM al JOIN en USING (idx) WHERE k < len(en.es)))))"""
+
+
+@query("llm08_09_aligned", f"WITH RECURSIVE {_ALIGN} SELECT idx, array_to_string(arg_max(tags, k), ' ') AS tags FROM al GROUP BY idx")
 def _(spark, d):
     """Answers to tags, all steps."""
     rows = responses.without_mail_names(responses.grounded(responses.parsed(_responses(spark, d))))

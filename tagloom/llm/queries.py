@@ -40,7 +40,27 @@ w AS (SELECT t.target_set, t.entity_density_bucket, t.n_email_spans, coalesce(a.
   FROM sample_targets t CROSS JOIN n LEFT JOIN a ON a.b = t.entity_density_bucket AND a.m = t.n_email_spans),
 q AS (SELECT *, greatest(min_rows, CAST(floor(s * target_per_mille / 1000.0) AS BIGINT)) AS wanted FROM w)"""
 
+
+
+def _passed(source: str, name: str, group: str, given: str) -> str:
+    """SQL of one level of the tree: unmet quota goes to the leaves of ``group`` with spare rows, largest spare first."""
+    leaf = "entity_density_bucket, n_email_spans"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{name}_m AS (SELECT *, least(sum(unmet) OVER (PARTITION BY {group}), sum(spare) OVER (PARTITION BY {group})) AS moved,
+    coalesce(sum(spare) OVER (PARTITION BY {group} ORDER BY spare DESC, {leaf} {before}), 0) AS spare_before,
+    coalesce(sum(unmet) OVER (PARTITION BY {group} ORDER BY {leaf} {before}), 0) AS unmet_before FROM {source}),
+{name} AS (SELECT * EXCLUDE (moved, spare_before, unmet_before) REPLACE (spare - greatest(0, least(spare, moved - spare_before)) AS spare,
+    greatest(0, unmet - greatest(0, moved - unmet_before)) AS unmet), greatest(0, least(spare, moved - spare_before)) AS {given} FROM {name}_m)"""
+
+
+_PLAN = (
+    f"{_WANTS}, t AS (SELECT *, least(wanted, available) AS taken, available - least(wanted, available) AS spare, wanted - least(wanted, available) AS unmet FROM q), "
+    + _passed("t", "sib", "target_set, entity_density_bucket", "from_siblings") + ", " + _passed("sib", "cou", "target_set", "from_cousins")
+)
+
 ORACLES: dict[str, str] = {
+    "p5_report": f"""WITH {_PLAN} SELECT target_set, entity_density_bucket, n_email_spans, s AS sample_rows, wanted, available, taken, CAST(from_siblings AS BIGINT) AS from_siblings, CAST(from_cousins AS BIGINT) AS from_cousins,
+      CAST(taken + from_siblings + from_cousins AS BIGINT) AS quota, available >= wanted AS met FROM cou""",
     "p2_found": f"WITH {_KEYED}, m AS (SELECT *, min(id) OVER (PARTITION BY table_name, ks, kt) AS keep_id FROM g) SELECT table_name, keep_id, id AS copy_id FROM m WHERE id <> keep_id",
     "p2_copies": f"WITH {_KEYED} SELECT table_name, min(id) AS keep_id, count(DISTINCT id) AS copies FROM g GROUP BY table_name, ks, kt",
     "p5_found": f"WITH {_WANTS} SELECT target_set, entity_density_bucket, n_email_spans FROM q WHERE available < wanted",

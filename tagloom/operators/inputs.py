@@ -25,26 +25,31 @@ def all_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (examples(spark, sf_dir, s).withColumn("split", F.lit(s)) for s in SPLITS))
 
 
-def encoder_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest run of each (model, idx); combined before the shuffle, no window."""
+TAGS, TEXT = ("gold_tags", "pred_tags"), ("tokens", "sequence")
+
+
+def encoder_predictions(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = (*TEXT, *TAGS)) -> DataFrame:
+    """The latest run of each (model, idx) with the columns asked for; combined before the shuffle, no window."""
     rows = table(spark, sf_dir, "encoder_predictions").where("idx is not null")
-    row = F.struct("tokens", "sequence", "gold_tags", "pred_tags")
-    return rows.groupBy("model", "idx").agg(F.max_by(row, "run_at").alias("r")).select("model", "idx", "r.*")
+    return rows.groupBy("model", "idx").agg(F.max_by(F.struct(*columns), "run_at").alias("r")).select("model", "idx", "r.*")
 
 
 def llm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "llm_predictions").where("idx is not null").dropDuplicates(["idx"])
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical relation (model, idx, tokens, sequence, gold, pred): gold padded to nothing, pred padded to gold."""
-    llm = llm_predictions(spark, sf_dir).select(
-        F.lit("llm").alias("model"), "idx", "tokens", "sequence", F.col("ner_tags").alias("gold_tags"), F.col("predicted_tags").alias("pred_tags")
-    )
-    both = encoder_predictions(spark, sf_dir).unionByName(llm)
-    return both.select("model", "idx", bio.present("tokens").alias("tokens"), "sequence", bio.present("gold_tags").alias("gold"), bio.padded("pred_tags", "gold_tags").alias("pred"), F.col("pred_tags").alias("raw_pred"))
+def predictions(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    """The canonical relation (model, idx, gold, pred, raw_pred), ``pred`` padded to ``gold``; with ``text`` also tokens and sequence.
+
+    Scores of tags leave the text out, so it is neither read nor shuffled.
+    """
+    columns = (*TEXT, *TAGS) if text else TAGS
+    llm = llm_predictions(spark, sf_dir).withColumnsRenamed({"ner_tags": "gold_tags", "predicted_tags": "pred_tags"}).select(F.lit("llm").alias("model"), "idx", *columns)
+    both = encoder_predictions(spark, sf_dir, columns).unionByName(llm)
+    texts = [bio.present("tokens").alias("tokens"), F.col("sequence")] if text else []
+    return both.select("model", "idx", *texts, bio.present("gold_tags").alias("gold"), bio.padded("pred_tags", "gold_tags").alias("pred"), F.col("pred_tags").alias("raw_pred"))
 
 
-def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spanned(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     """``predictions`` with the span arrays of both sides."""
-    return predictions(spark, sf_dir).withColumns({"gold_spans": bio.spans("gold"), "pred_spans": bio.spans("pred")})
+    return predictions(spark, sf_dir, text).withColumns({"gold_spans": bio.spans("gold"), "pred_spans": bio.spans("pred")})

@@ -171,7 +171,7 @@ def _(spark, d):
 
 @query("err05_markdown")
 def _(spark, d):
-    b = errors.buckets(errors.instances(inputs.spanned(spark, d))).orderBy("model")
+    b = errors.buckets(errors.instances(inputs.spanned(spark, d, True))).orderBy("model")
     return reports.as_lines(spark, reports.markdown_table(b))
 
 

@@ -110,7 +110,7 @@ _MASKED = (
 
 def _joined(spark, d) -> DataFrame:
     """Predictions whose text is the tokens joined by blanks, with predictions padded to the tokens."""
-    rows = inputs.spanned(spark, d).where(F.size("tokens") == F.size("gold")).withColumn("sequence", F.array_join("tokens", " "))
+    rows = inputs.spanned(spark, d, True).where(F.size("tokens") == F.size("gold")).withColumn("sequence", F.array_join("tokens", " "))
     return masking.masked(rows)
 
 
@@ -145,20 +145,20 @@ _BATCH = _located_sql(
 )
 def _(spark, d):
     """Masking of the stored texts: spans whose first token is not in the text stay, and are counted."""
-    rows = masking.masked(masking.with_sequence(inputs.spanned(spark, d)))
+    rows = masking.masked(masking.with_sequence(inputs.spanned(spark, d, True)))
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_unlocated").alias("n_unlocated"), F.count_if(F.col("rebuilt")).alias("n_rebuilt"), F.count_if(F.col("masked") != F.col("sequence")).alias("n_changed"))
 
 
 @query("msk04_length_mismatch", f"WITH {PRED} SELECT model, idx, len(coalesce(raw_pred, [])) AS n_pred, len(tokens) AS n_tokens FROM pred WHERE len(coalesce(raw_pred, [])) <> len(tokens)")
 def _(spark, d):
-    rows = inputs.predictions(spark, d).withColumn("n_pred", F.size(bio.present("raw_pred")).cast("long"))
+    rows = inputs.predictions(spark, d, True).withColumn("n_pred", F.size(bio.present("raw_pred")).cast("long"))
     return rows.where(F.col("n_pred") != F.size("tokens")).select("model", "idx", "n_pred", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @query("msk05_batch", f"{_BATCH} SELECT model, idx, masked FROM mk")
 def _(spark, d):
     """Every record with its masked text; predictions padded to the tokens, a missing or empty text rebuilt."""
-    rows = inputs.predictions(spark, d).withColumn("pred", bio.padded("raw_pred", "tokens"))
+    rows = inputs.predictions(spark, d, True).withColumn("pred", bio.padded("raw_pred", "tokens"))
     rows = masking.with_sequence(rows, True).withColumn("pred_spans", bio.spans("pred"))
     return masking.masked(rows).select("model", "idx", "masked")
 
@@ -233,7 +233,7 @@ _ERR = (
 
 
 def _errors(spark, d) -> DataFrame:
-    return errors.instances(inputs.spanned(spark, d))
+    return errors.instances(inputs.spanned(spark, d, True))
 
 
 @query("err01_buckets", f"WITH {_ERR} SELECT * FROM bk")

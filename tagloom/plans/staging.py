@@ -47,7 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

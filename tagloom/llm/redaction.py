@@ -528,16 +528,24 @@ def _key(value: str) -> str:
     return "".join(_WORD.findall(value.lower()))
 
 
+def _joined(tokens) -> str:
+    return "" if tokens is None else " ".join(t or "" for t in tokens)
+
+
+def _spans_of(d: Detector, *columns: list[str]) -> dict[str, list[tuple[int, int, str]]]:
+    """The spans of every distinct text; many rows have the same text in both fields."""
+    texts = list(dict.fromkeys(t for c in columns for t in c))
+    return dict(zip(texts, d.detect_all(texts)))
+
+
 def _found(detector):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = pickle.loads(detector.value)
         for b in batches:
-            rows = []
-            for field, texts in (("sequence", b["sequence"].fillna("")), ("tokens", b["tokens"].map(lambda x: "" if x is None else " ".join(t or "" for t in x)))):
-                texts = texts.tolist()
-                for idx, text, spans in zip(b["idx"], texts, d.detect_all(texts)):
-                    rows += {(idx, field, kind, _key(text[s:e])) for s, e, kind in spans}
-            yield pd.DataFrame(rows, columns=["idx", "field", "kind", "value_key"])
+            fields = {"sequence": b["sequence"].fillna("").tolist(), "tokens": [_joined(x) for x in b["tokens"]]}
+            spans = _spans_of(d, *fields.values())
+            rows = {(idx, field, kind, _key(t[s:e])) for field, texts in fields.items() for idx, t in zip(b["idx"].tolist(), texts) for s, e, kind in spans[t]}
+            yield pd.DataFrame(list(rows), columns=["idx", "field", "kind", "value_key"])
 
     return run
 
@@ -569,17 +577,17 @@ def _redacted(detector):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = pickle.loads(detector.value)
         for b in batches:
-            texts = b["sequence"].fillna("").tolist()
+            texts, lists = b["sequence"].fillna("").tolist(), [None if x is None else list(x) for x in b["tokens"]]
+            joined = [_joined(x) for x in lists]
+            found = _spans_of(d, texts, joined)
             masked = []
-            for text, raw, spans in zip(texts, b["sequence"], d.detect_all(texts)):
+            for text, raw in zip(texts, b["sequence"]):
                 parts, at = [], 0
-                for s, e, kind in spans:
+                for s, e, kind in found[text]:
                     parts += [text[at:s], f"[{kind}]"]
                     at = e
                 masked.append(None if raw is None else "".join(parts) + text[at:])
-            lists = [None if x is None else list(x) for x in b["tokens"]]
-            joined = ["" if x is None else " ".join(t or "" for t in x) for x in lists]
-            tokens = [None if x is None else _masked(x, spans) for x, spans in zip(lists, d.detect_all(joined))]
+            tokens = [None if x is None else _masked(x, found[t]) for x, t in zip(lists, joined)]
             yield pd.DataFrame({"idx": b["idx"], "sequence": masked, "tokens": tokens})
 
     return run

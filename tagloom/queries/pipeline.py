@@ -227,8 +227,9 @@ def _(spark, d):
 
 @query("enc01_word_tags", f"{_PIECES} SELECT idx, string_agg(CASE WHEN p <= 63 THEN CASE WHEN y = 0 THEN 'O' ELSE lab END ELSE 'O' END, ' ' ORDER BY w) AS tags FROM pi WHERE k = 0 GROUP BY idx")
 def _(spark, d):
-    """Labels of 64 pieces back to words: the first piece wins, cut words are ``O``."""
-    rows = _labels(spark, d).where(F.size("tokens") > 0).select("idx", "tokens", F.slice("word_ids", 1, 64).alias("w"), F.slice("labels", 1, 64).alias("y"))
+    """Labels of ``MAX_PIECES`` pieces, both special ones among them, back to words: the first piece wins, cut words are ``O``."""
+    cut = lambda c: F.slice(c, 1, alignment.MAX_PIECES - 1)  # noqa: E731  # the last place is the closing special piece's
+    rows = _labels(spark, d).where(F.size("tokens") > 0).select("idx", "tokens", cut("word_ids").alias("w"), cut("labels").alias("y"))
     return rows.select("idx", F.array_join(alignment.word_tags("w", "y", "tokens"), " ").alias("tags"))
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tagloom.plans.numbering import numbered
 from tagloom.plans.staging import stage
 
-#: Resamples of the registered queries and of the published procedure.
-QUERY_RESAMPLES = 200
+#: Resamples of the registered queries, as in the published procedure, and of their SQL texts.
 RESAMPLES = 1000
+QUERY_RESAMPLES = 200
 _P = 2147483647
 # The portable pseudo-random number as SQL text: integer arithmetic modulo a prime, the same in any
 # engine.  Squares keep draws of different salts apart; every product stays below 2^63.
@@ -29,27 +29,29 @@ def portable(x: Column, salt: int) -> Column:
     return (b * b + a * 16807) % _P
 
 
-def resampled(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(b, diff): mean difference of each resample with replacement, for pairs (idx, fa, fb).
+def resampled(pairs: DataFrame, resamples: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, b, diff): mean difference of each resample with replacement, for pairs (by, idx, fa, fb).
 
-    Which row a draw picks depends on (b, k) alone, so how often each row is drawn is counted first and
-    joined by row number; the draws of all resamples are spread over the cluster.
+    Which row of its group a draw picks depends on (b, k) alone, so the draws of all resamples are spread
+    over the cluster and joined by row number; only sums of a resample are combined.
     """
-    rows = stage(numbered(pairs, "idx").select("k", (F.col("fa") - F.col("fb")).alias("d")), "bootstrap-pairs")
-    n = rows.count()
-    if not n:
-        return rows.select(F.lit(0).cast("long").alias("b"), F.col("d").alias("diff")).limit(0)
-    draws = rows.select("k").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    picked = draws.select("b", (portable(F.col("b") * 1000003 + F.col("k"), seed) % n).alias("k")).groupBy("k", "b").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(rows, "k").groupBy("b").agg((F.sum(F.col("times") * F.col("d")) / n).alias("diff"))
-
-
-def index_interval(diffs: DataFrame) -> DataFrame:
+    d = (F.col("fa") - F.col("fb")).alias("d")
+    rows = numbered(pairs.select(*by, "idx", d), *by, "idx")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))  # one row for each group
+    rows = rows.join(F.broadcast(sizes), list(by)) if by else rows.crossJoin(F.broadcast(sizes))
+    rows = stage(rows.select(*by, (F.col("k") - F.col("first")).alias("k"), "n", "d"), "bootstrap-pairs")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = rows.select(*by, "k", "n").repartition(parts).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    picked = draws.select(*by, "b", "n", (portable(F.col("b") * 1000003 + F.col("k"), seed) % F.col("n")).alias("k"))
+    return picked.join(rows.select(*by, "k", "d"), [*by, "k"]).groupBy(*by, "b").agg((F.sum("d") / F.max("n")).alias("diff"))
+
+
+def index_interval(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Interval by sorted position; one row for each resample."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ordered = diffs.withColumns({"k": F.row_number().over(Window.orderBy("diff")) - 1, "n": n})
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    ordered = diffs.withColumns({"k": F.row_number().over(Window.partitionBy(*by).orderBy("diff")) - 1, "n": n})
     at = lambda q: F.round(F.max(F.when(F.col("k") == F.floor(F.lit(q) * F.col("n")), F.col("diff"))), 6)
-    return ordered.agg(at(0.025).alias("low"), at(0.975).alias("high"))
+    return ordered.groupBy(*by).agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def exact_resampled(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import bio
 from tagloom.operators import bootstrap, errors, inputs, masking, metrics
+from tagloom.plans.staging import stage
 from tagloom.queries.sql import MATCHED, PRED, SCORES, SPANS, ratio, spans_of
 
 QUERIES, ORACLES = {}, {}
@@ -319,30 +320,50 @@ _BOOT = (
 )
 
 
+_BY = ("encoder",)
+
+
+def _all_pairs(spark, d) -> DataFrame:
+    """(encoder, idx, fa, fb) of every encoder against llm."""
+    f = metrics.sentence_f1(inputs.spanned(spark, d)).select("model", "idx", "f1")
+    e = f.where(F.col("model").startswith("encoder")).select(F.col("model").alias("encoder"), "idx", F.col("f1").alias("fa"))
+    return e.join(f.where("model = 'llm'").select("idx", F.col("f1").alias("fb")), "idx")
+
+
 def _resampled(spark, d) -> DataFrame:
-    return bootstrap.resampled(_pair(spark, d), bootstrap.QUERY_RESAMPLES, 42)
+    return bootstrap.resampled(_all_pairs(spark, d), bootstrap.RESAMPLES, 42, _BY)
+
+
+def _linear_interval() -> list:
+    return [F.round(F.percentile("diff", F.lit(q)), 6).alias(name) for name, q in (("low", 0.025), ("high", 0.975))]
+
+
+def _p_value(diffs: DataFrame, *more) -> DataFrame:
+    """(encoder, p_value, shown, reading) and what ``more`` aggregates."""
+    p = diffs.groupBy(*_BY).agg(F.avg(F.when(F.col("diff") <= 0, 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).alias("resamples"), *more)
+    shown = F.when(F.col("p") == 0, F.concat(F.lit("<1/"), F.col("resamples").cast("string"))).otherwise(F.round("p", 6).cast("string"))
+    reading = F.when(F.col("p") < 0.05, "significant").otherwise("not significant")
+    return p.withColumns({"p_value": F.round("p", 6), "shown": shown, "reading": reading}).drop("p")
 
 
 @query("bst03_resamples", f"WITH {_BOOT} SELECT b, round(diff, 6) AS diff FROM bs")
 def _(spark, d):
-    return _resampled(spark, d).select("b", F.round("diff", 6).alias("diff"))
+    return _resampled(spark, d).select("encoder", "b", F.round("diff", 6).alias("diff"))
 
 
 @query("bst04_linear_interval", f"WITH {_BOOT} SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM bs")
 def _(spark, d):
-    return _resampled(spark, d).agg(F.round(F.percentile("diff", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("diff", F.lit(0.975)), 6).alias("high"))
+    return _resampled(spark, d).groupBy(*_BY).agg(*_linear_interval())
 
 
 @query("bst05_index_interval", f"WITH {_BOOT}, r AS (SELECT diff, row_number() OVER (ORDER BY diff) - 1 AS k, count(*) OVER () AS n FROM bs) SELECT round(max(diff) FILTER (k = CAST(floor(0.025 * n) AS BIGINT)), 6) AS low, round(max(diff) FILTER (k = CAST(floor(0.975 * n) AS BIGINT)), 6) AS high FROM r")
 def _(spark, d):
-    return bootstrap.index_interval(_resampled(spark, d))
+    return bootstrap.index_interval(_resampled(spark, d), _BY)
 
 
 @query("bst06_p_value", f"WITH {_BOOT}, p AS (SELECT avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS b FROM bs) SELECT round(p, 6) AS p_value, CASE WHEN p = 0 THEN '<1/' || b ELSE CAST(round(p, 6) AS VARCHAR) END AS shown, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS reading FROM p")
 def _(spark, d):
-    p = _resampled(spark, d).agg(F.avg(F.when(F.col("diff") <= 0, 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).alias("b"))
-    shown = F.when(F.col("p") == 0, F.concat(F.lit("<1/"), F.col("b").cast("string"))).otherwise(F.round("p", 6).cast("string"))
-    return p.select(F.round("p", 6).alias("p_value"), shown.alias("shown"), F.when(F.col("p") < 0.05, "significant").otherwise("not significant").alias("reading"))
+    return _p_value(_resampled(spark, d)).select("encoder", "p_value", "shown", "reading")
 
 
 @query(
@@ -350,10 +371,10 @@ def _(spark, d):
     f"""WITH {_SENT}, n AS (SELECT a.model AS encoder, round(avg(a.f1), 6) AS encoder_f1, round(avg(b.f1), 6) AS llm_f1, round(avg(a.f1 - b.f1), 6) AS diff, count(*) AS n FROM sf a JOIN sf b ON a.idx = b.idx AND b.model = 'llm' WHERE a.model LIKE 'encoder%' GROUP BY a.model) SELECT * FROM n""",
 )
 def _(spark, d):
-    f = metrics.sentence_f1(inputs.spanned(spark, d)).select("model", "idx", "f1")
-    e = f.where(F.col("model").startswith("encoder")).select(F.col("model").alias("encoder"), "idx", F.col("f1").alias("fa"))
-    j = e.join(f.where("model = 'llm'").select("idx", F.col("f1").alias("fb")), "idx")
-    return j.groupBy("encoder").agg(F.round(F.avg("fa"), 6).alias("encoder_f1"), F.round(F.avg("fb"), 6).alias("llm_f1"), F.round(F.avg(F.col("fa") - F.col("fb")), 6).alias("diff"), F.count(F.lit(1)).alias("n"))
+    """Means, interval and p of every encoder against llm."""
+    j = stage(_all_pairs(spark, d), "bootstrap-scores")
+    means = j.groupBy("encoder").agg(F.round(F.avg("fa"), 6).alias("encoder_f1"), F.round(F.avg("fb"), 6).alias("llm_f1"), F.round(F.avg(F.col("fa") - F.col("fb")), 6).alias("diff"), F.count(F.lit(1)).alias("n"))
+    return means.join(_p_value(bootstrap.resampled(j, bootstrap.RESAMPLES, 42, _BY), *_linear_interval()), "encoder")
 
 
 # ---------------------------------------------------------------- reports

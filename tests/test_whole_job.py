@@ -1,6 +1,12 @@
 """Registered queries do the whole job: cases that smaller stand-ins lose."""
 
-from tagloom.queries import QUERIES
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tagloom.queries import ORACLES, QUERIES
+from tagloom.queries.metrics import _all_pairs
+from tests.oracle import connection
 
 SPLIT = "idx long, lang string, sequence string, tokens array<string>, ner_tags array<string>"
 
@@ -12,3 +18,36 @@ def test_word_tags_beyond_64_pieces(spark, tmp_path):
     got = {r.idx: [i for i, t in enumerate(r.tags.split(" ")) if t != "O"] for r in QUERIES["enc01_word_tags"](spark, str(tmp_path)).collect()}
     # 256 pieces hold 254 of the text between the two special ones
     assert got == {1: [0, 62, 63, 99], 2: [253], 3: [59]}
+
+
+def portable(x, salt, p=2147483647):
+    a = (x % p * 48271 + salt * 40692 + 12345) % p
+    b = (a * a + salt * 7919 + 1) % p
+    return (b * b + a * 16807) % p
+
+
+def test_bootstrap_of_every_encoder(spark, data):
+    sql = lambda name: connection(data).execute(ORACLES[name])
+    got = QUERIES["bst03_resamples"](spark, data).collect()
+    diffs = {e: [r.diff for r in sorted(got, key=lambda r: r.b) if r.encoder == e] for e in ("encoder_a", "encoder_b")}
+    assert len(got) == 2000 and [len(v) for v in diffs.values()] == [1000, 1000]
+    # a draw depends on its resample and row only, so the first resamples of encoder_a are those of the SQL
+    assert diffs["encoder_a"][:200] == pytest.approx([x for _, x in sorted(sql("bst03_resamples").fetchall())], abs=2e-6)
+    pairs = {e: sorted((r.idx, r.fa - r.fb) for r in _all_pairs(spark, data).where(F.col("encoder") == e).collect()) for e in diffs}
+    for e, d in pairs.items():
+        n = len(d)
+        want = [sum(d[portable(b * 1000003 + k, 42) % n][1] for k in range(n)) / n for b in range(1000)]
+        assert diffs[e] == pytest.approx(want, abs=2e-6)
+        ordered = sorted(want)
+        of = lambda name: next(r for r in QUERIES[name](spark, data).collect() if r.encoder == e)  # noqa: E731,B023
+        low, high = of("bst05_index_interval")[1:]
+        assert (low, high) == pytest.approx((ordered[25], ordered[975]), abs=2e-6)
+        linear = of("bst04_linear_interval")[1:]
+        assert linear == pytest.approx(np.percentile(want, [2.5, 97.5]), abs=2e-6)
+        p = sum(x <= 0 for x in want) / 1000
+        r = of("bst06_p_value")
+        assert r.p_value == pytest.approx(p) and (p > 0 or r.shown == "<1/1000")
+        r = of("bst07_all_pairs")
+        assert (r.resamples, r.n) == (1000, n) and (r.low, r.high, r.p_value) == pytest.approx((*linear, p))
+    cols = ["encoder", "encoder_f1", "llm_f1", "diff", "n"]
+    assert sorted(tuple(r[c] for c in cols) for r in QUERIES["bst07_all_pairs"](spark, data).collect()) == [pytest.approx(x) for x in sorted(sql("bst07_all_pairs").fetchall())]

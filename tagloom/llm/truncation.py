@@ -14,6 +14,9 @@ all texts:
 * dots after the end, unless the phrase before them is a usual way to end (a share of
   ``USUAL_SHARE`` of all texts that end in dots).
 
+All statistics are over distinct texts, so a text repeated under many ids weighs as one; the verdict
+goes back to each of its ids.
+
 Headings, lists, tables, signatures and the like are recognised by their last line and are whole.
 
 Defined cases: null, empty and blank texts are never cut; a null source is a source of its own;
@@ -68,6 +71,10 @@ def _trimmed(text: Column, more: str = "") -> Column:
     return F.rtrim(text, F.lit(_BLANKS + more))
 
 
+def _hashes(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """What the end of each text that is not blank says."""
     rows = docs.select(
@@ -75,7 +82,7 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), _trimmed(F.col(text)).alias("whole"),
     ).where("whole <> ''")
     rows = rows.select(
-        "doc_id", "source", "chars", "bytes", F.right("whole", F.lit(200)).alias("tail"),
+        "doc_id", "source", "chars", "bytes", F.right("whole", F.lit(200)).alias("tail"), *_hashes("whole"),
         F.substring_index("whole", "\n", -1).alias("line"),
         F.substring_index(F.substring_index("whole", "\n", -2), "\n", 1).alias("before"), F.right(_trimmed(F.col("whole"), f".\u2026{_BROKEN}"), F.lit(120)).alias("bare"),
     )
@@ -98,15 +105,20 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     )
     label = lambda c: F.regexp_extract(c, _LABEL, 1)
     return rows.select(
-        "doc_id", "source", "chars", "bytes", kind.alias("kind"),
+        "doc_id", "source", "h1", "h2", "chars", "bytes", kind.alias("kind"),
         F.element_at(F.when(F.size(words) > 0, words), -1).alias("word"),
         F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ").alias("phrase"),
         F.col("bare").rlike(r"[,;:(–—&/-]\s*$").alias("hangs"), label(line).alias("label"), label(F.col("before")).alias("label_before"),
     )
 
 
+def distinct_texts(ends: DataFrame) -> DataFrame:
+    """The ends without ids, each text once in a source; texts that differ in blanks at the end are one."""
+    return ends.groupBy(*[c for c in ends.columns if c not in ("doc_id", "chars", "bytes")]).agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+
+
 def source_styles(ends: DataFrame) -> DataFrame:
-    """(source, unmarked): whether a source sets no closing marks."""
+    """(source, unmarked): whether a source sets no closing marks, of distinct texts."""
     is_open, closed = F.col("kind") == "open", F.col("kind") == "closed"
     per = ends.groupBy("source").agg(
         F.count_if(is_open).alias("n_open"), F.count_if(closed).alias("n_closed"),
@@ -124,29 +136,34 @@ def source_styles(ends: DataFrame) -> DataFrame:
 def with_labels_decided(ends: DataFrame) -> DataFrame:
     """Texts whose last line has a label are whole where that label closes texts, and open where it mostly stands
     one line before the end (a question before its answer)."""
-    uses = ends.select(F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("n")), F.struct(F.col("label_before").alias("l"), F.lit(-1).alias("n")))).alias("u"))
+    labelled = ends.where("label <> '' or label_before <> ''").select("h1", "h2", "label", "label_before").distinct()
+    uses = labelled.select(F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("n")), F.struct(F.col("label_before").alias("l"), F.lit(-1).alias("n")))).alias("u"))
     closing = uses.where("u.l <> ''").groupBy(F.col("u.l").alias("label")).agg((F.sum("u.n") >= 0).alias("closes"))
     joined = ends.join(closing, "label", "left")
     return joined.withColumn("kind", F.when(F.col("kind") == "label", F.when(F.col("closes"), "whole").otherwise("open")).otherwise(F.col("kind"))).drop("closes", "label", "label_before")
 
 
+KEY = ["source", "h1", "h2"]
+
+
 def cut_by_ending(ends: DataFrame) -> DataFrame:
-    """(doc_id) of the texts whose end shows a cut."""
+    """(source, h1, h2) of the distinct texts whose end shows a cut."""
     dots = ends.where(F.col("kind") == "dots")
-    total = dots.agg(F.count(F.lit(1)).alias("n_dots")).withColumn("_one", F.lit(1))
+    phrases = dots.select("h1", "h2", "phrase").distinct()
+    total = phrases.agg(F.count(F.lit(1)).alias("n_dots")).withColumn("_one", F.lit(1))
     usual = (
-        dots.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)).join(total, "_one")
+        phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)).join(total, "_one")
         .where((F.col("n") >= 2) & (F.col("n") >= USUAL_SHARE * F.col("n_dots")))
         .select("phrase", F.lit(True).alias("usual"))
     )
     # words in lower case that some other text ends with
-    final = ends.where(F.col("word").rlike(r"^\p{Ll}+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
+    final = ends.where(F.col("word").rlike(r"^\p{Ll}+$")).select("h1", "h2", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
     opened = ends.where(F.col("kind") == "open").join(source_styles(ends), "source", "left").join(final, "word", "left")
     odd = F.col("hangs") | F.lower("word").isin(OPEN_WORDS) | (F.coalesce(F.col("n_ends"), F.lit(2)) < 2)
     return (
-        ends.where(F.col("kind") == "broken").select("doc_id")
-        .unionByName(dots.join(usual, "phrase", "left").where(F.col("usual").isNull()).select("doc_id"))
-        .unionByName(opened.where(F.col("unmarked").isNull() | odd).select("doc_id"))
+        ends.where(F.col("kind") == "broken").select(*KEY)
+        .unionByName(dots.join(usual, "phrase", "left").where(F.col("usual").isNull()).select(*KEY))
+        .unionByName(opened.where(F.col("unmarked").isNull() | odd).select(*KEY))
     )
 
 
@@ -196,9 +213,11 @@ def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id) of the texts that were cut off."""
-    ends = stage(with_labels_decided(stage(described(docs), "p8-ends")), "p8-kinds")
-    unfinished = ends.where(F.col("kind").isin("open", "dots")).select("doc_id")
-    return prefix_of_longer(docs).join(unfinished, "doc_id", "left_semi").unionByName(cut_by_ending(ends)).distinct()
+    ends = stage(described(docs), "p8-ends")
+    texts = stage(with_labels_decided(distinct_texts(ends)), "p8-kinds")
+    ids = ends.select("doc_id", *KEY)
+    unfinished = ids.join(prefix_of_longer(docs), "doc_id", "left_semi").join(texts.where(F.col("kind").isin("open", "dots")), KEY, "left_semi")
+    return ids.join(cut_by_ending(texts), KEY, "left_semi").unionByName(unfinished).select("doc_id").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ all texts:
 * running text, or a labelled line that is usually followed by an answer, without a closing mark, in a source that does set them.  A source that never sets
   one is told from a source with a field limit by the lengths of its open texts: those of a field
   limit pile up below one size in characters or bytes.  In a source without marks only an end
-  inside a word or on a word that nothing ends with counts;
+  inside a word or on a word that texts do not end with counts: one that stands inside texts less often
+  than at their end, or that hardly ever stands at an end.  Numbers, and words of scripts that set no
+  blanks between words, are not judged so;
 * dots after the end, unless the phrase before them is a usual way to end (a share of
   ``USUAL_SHARE`` of all texts that end in dots).
 
@@ -41,11 +43,15 @@ USUAL_SHARE = 0.05
 UNMARKED_LEAST, UNMARKED_SHARE = 3, 0.03
 #: ... unless this share of its open texts lies within ``NEAR`` of the longest of them.
 PILED_SHARE, NEAR = 0.5, 24
+#: A word may end texts if, of the texts that end with it or have it inside, the share that has it inside lies between these.
+INSIDE_LEAST, INSIDE_MOST = 0.5, 0.998
 
 _BLANKS = " \t\n\r\f\v\u00a0\u2003\u200b\u3000\ufeff"
 #: Marks that close a sentence, and what may follow them.
 _CLOSED = r"[.!?。！？‽؟۔।][\"'”’»)\]」』*_\s\p{So}‍️]*$"
 _DOTS = r"(?:\.{3,}|…)[\s\])]*$"
+_WORD = r"[\p{L}\p{N}]+"
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _BROKEN = "\ufffd"
 #: Last lines that are whole without a closing mark.
 _BULLET = r"^\s*(?:[-*•·]|\d+[.)])\s"
@@ -86,7 +92,7 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         F.substring_index("whole", "\n", -1).alias("line"),
         F.substring_index(F.substring_index("whole", "\n", -2), "\n", 1).alias("before"), F.right(_trimmed(F.col("whole"), f".\u2026{_BROKEN}"), F.lit(120)).alias("bare"),
     )
-    words = F.regexp_extract_all(F.col("bare"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.col("bare"), F.lit(_WORD), F.lit(0))
     line = F.col("line")
     is_table = line.rlike(r"^\s*\|")
     braces = F.length(line) - F.length(F.translate(line, "{", "")) - (F.length(line) - F.length(F.translate(line, "}", "")))
@@ -146,7 +152,17 @@ def with_labels_decided(ends: DataFrame) -> DataFrame:
 KEY = ["source", "h1", "h2"]
 
 
-def cut_by_ending(ends: DataFrame) -> DataFrame:
+def word_places(docs: DataFrame, ends: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n_ends, n_inside) of the words asked for: the distinct texts that end with it, and those that have it before their end."""
+    n_ends = ends.select("h1", "h2", "word").distinct().join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
+    texts = docs.select(_trimmed(F.col(text)).alias("whole")).where("whole <> ''").select(*_hashes("whole"), "whole").dropDuplicates(["h1", "h2"])
+    found = texts.select(F.regexp_extract_all("whole", F.lit(_WORD), F.lit(0)).alias("w"))
+    inside = found.select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))).alias("word"))
+    n_inside = inside.join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_inside"))
+    return n_ends.join(n_inside, "word", "left").select("word", "n_ends", F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
+
+
+def cut_by_ending(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """(source, h1, h2) of the distinct texts whose end shows a cut."""
     dots = ends.where(F.col("kind") == "dots")
     phrases = dots.select("h1", "h2", "phrase").distinct()
@@ -156,15 +172,21 @@ def cut_by_ending(ends: DataFrame) -> DataFrame:
         .where((F.col("n") >= 2) & (F.col("n") >= USUAL_SHARE * F.col("n_dots")))
         .select("phrase", F.lit(True).alias("usual"))
     )
-    # words in lower case that some other text ends with
-    final = ends.where(F.col("word").rlike(r"^\p{Ll}+$")).select("h1", "h2", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
-    opened = ends.where(F.col("kind") == "open").join(source_styles(ends), "source", "left").join(final, "word", "left")
-    odd = F.col("hangs") | F.lower("word").isin(OPEN_WORDS) | (F.coalesce(F.col("n_ends"), F.lit(2)) < 2)
-    return (
+    opened = stage(ends.where(F.col("kind") == "open").join(source_styles(ends), "source", "left"), "p8-open")
+    odd = F.col("hangs") | F.lower("word").isin(OPEN_WORDS)
+    shown = (
         ends.where(F.col("kind") == "broken").select(*KEY)
         .unionByName(dots.join(usual, "phrase", "left").where(F.col("usual").isNull()).select(*KEY))
         .unionByName(opened.where(F.col("unmarked").isNull() | odd).select(*KEY))
     )
+    # only the last words in sources without marks are looked for in the texts
+    unsure = opened.where(F.col("unmarked") & ~odd & F.col("word").rlike(r"^\p{L}+$") & ~F.col("word").rlike(_UNSPACED))
+    words = stage(unsure.select("word").distinct(), "p8-words")
+    if words.isEmpty():
+        return shown
+    share = F.col("n_inside") / (F.col("n_inside") + F.col("n_ends"))
+    fragments = word_places(docs, ends, words).where((share < INSIDE_LEAST) | (share > INSIDE_MOST))
+    return shown.unionByName(unsure.join(fragments, "word", "left_semi").select(*KEY))
 
 
 MARKS = "h1 long, h2 long, part int, role string, text string"
@@ -217,7 +239,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     texts = stage(with_labels_decided(distinct_texts(ends)), "p8-kinds")
     ids = ends.select("doc_id", *KEY)
     unfinished = ids.join(prefix_of_longer(docs), "doc_id", "left_semi").join(texts.where(F.col("kind").isin("open", "dots")), KEY, "left_semi")
-    return ids.join(cut_by_ending(texts), KEY, "left_semi").unionByName(unfinished).select("doc_id").distinct()
+    return ids.join(cut_by_ending(docs, texts), KEY, "left_semi").unionByName(unfinished).select("doc_id").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

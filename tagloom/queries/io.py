@@ -135,7 +135,8 @@ def _(spark, d):
 
 @query("snk06_file_checksums")
 def _(spark, d):
-    return sinks.checksums(spark, f"{d}/sample_targets.parquet").select("name", "digest")
+    """Every table file of the folder."""
+    return sinks.checksums(spark, d, "*.parquet").select("name", "digest")
 
 
 @query("snk09_split_folders", " UNION ALL ".join(f"SELECT '{s}' AS split, count(DISTINCT idx) AS n_rows FROM {t}" for s, t in inputs.SPLITS.items()))

@@ -161,7 +161,10 @@ def _(spark, d):
 
 @query("smp02_subset", f"WITH {ex()} SELECT idx FROM (SELECT idx FROM ex ORDER BY {u(42)}, idx LIMIT 2500) ORDER BY idx")
 def _(spark, d):
-    return splits.drawn(inputs.examples(spark, d).select("idx"), 2500, 42).orderBy("idx")
+    """The smoke test's rows: 2,500 drawn of train, 500 drawn of val, the first 500 of test."""
+    of = lambda s: inputs.examples(spark, d, s).select(F.lit(s).alias("split"), "idx")
+    parts = splits.drawn(of("train"), 2500, 42).unionByName(splits.drawn(of("val"), 500, 42)).unionByName(of("test").orderBy("idx").limit(500))
+    return parts.orderBy("split", "idx")
 
 
 # ---------------------------------------------------------------- subwords

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +37,29 @@ def write_report(df: DataFrame, path: str) -> dict:
     return {"rows": len(rows), "path": path}
 
 
-def checksums(spark, path: str) -> DataFrame:
-    """(name, digest, line): SHA-256 of each file and its line of a checksum file."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.substring_index("path", "/", -1)
-    digest = F.sha2("content", 256)
-    return files.select(name.alias("name"), digest.alias("digest"), F.concat(digest, F.lit("  "), name).alias("line"))
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of each file, read in blocks, so that a file may be larger than memory."""
+    for b in batches:
+        digests = []
+        for path in b["path"]:
+            local = path.startswith("file:")
+            files, at = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(at, compression=None) as f:
+                while block := f.read(1 << 22):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": b["path"], "digest": digests})
+
+
+def checksums(spark, path: str, names: str = "*") -> DataFrame:
+    """(name, digest, line): SHA-256 of each file and its line of a checksum file; of a folder, the files below it with such names, by their paths from there."""
+    # only paths are read here; the contents are read by the tasks
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    folder = f"/{os.path.basename(path.rstrip('/'))}/"
+    name = F.when(F.contains("path", F.lit(folder)), F.substring_index("path", folder, -1)).otherwise(F.substring_index("path", "/", -1))  # parts of two tables may share a name
+    hashed = files.select("path").mapInPandas(_digests, "path string, digest string")
+    return hashed.select(name.alias("name"), "digest", F.concat("digest", F.lit("  "), name).alias("line"))
 
 
 def write_splits(df: DataFrame, folder: str, column: str = "split") -> None:

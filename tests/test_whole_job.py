@@ -1,5 +1,8 @@
 """Registered queries do the whole job: cases that smaller stand-ins lose."""
 
+import hashlib
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +54,24 @@ def test_bootstrap_of_every_encoder(spark, data):
         assert (r.resamples, r.n) == (1000, n) and (r.low, r.high, r.p_value) == pytest.approx((*linear, p))
     cols = ["encoder", "encoder_f1", "llm_f1", "diff", "n"]
     assert sorted(tuple(r[c] for c in cols) for r in QUERIES["bst07_all_pairs"](spark, data).collect()) == [pytest.approx(x) for x in sorted(sql("bst07_all_pairs").fetchall())]
+
+
+def test_subset_of_three_splits(spark, data, tmp_path):
+    for split, (first, n) in {"train": (0, 2600), "val": (5000, 700), "test": (9000, 800)}.items():
+        spark.range(first, first + n).selectExpr("id AS idx", "'en' AS lang", "'' AS sequence", "array('a') AS tokens", "array('O') AS ner_tags").write.parquet(str(tmp_path / f"{split}_injected.parquet"))
+    got = [(r.split, r.idx) for r in QUERIES["smp02_subset"](spark, str(tmp_path)).collect()]
+    assert [sum(s == x for s, _ in got) for x in ("train", "val", "test")] == [2500, 500, 500] and len(set(got)) == 3500
+    assert [i for s, i in got if s == "test"] == [*range(9000, 9500)]
+    val = sorted(range(5000, 5700), key=lambda i: (portable(i, 42), i))[:500]
+    assert [i for s, i in got if s == "val"] == sorted(val)
+    assert [(r.idx,) for r in QUERIES["smp02_subset"](spark, data).collect() if r.split == "train"] == connection(data).execute(ORACLES["smp02_subset"]).fetchall()
+
+
+def test_checksums_of_every_table(spark, data, tmp_path):
+    for t in ("a", "b"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        (tmp_path / f"{t}.parquet" / "part-00000.parquet").write_text(t)
+    parts = {r.name: r.digest for r in QUERIES["snk06_file_checksums"](spark, str(tmp_path)).collect()}
+    assert parts == {f"{t}.parquet/part-00000.parquet": hashlib.sha256(t.encode()).hexdigest() for t in ("a", "b")}
+    want = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in Path(data).glob("*.parquet")}
+    assert len(want) > 1 and {r.name: r.digest for r in QUERIES["snk06_file_checksums"](spark, data).collect()} == want

@@ -79,15 +79,15 @@ def spans(tags: Column | str) -> Column:
 
 
 def _spans(tags: Column) -> Column:
-    n = F.size(tags)
+    """Linear in the row: a span runs from a ``B-`` to the next place where no ``I-`` goes on with the type before it."""
+    goes_on = lambda t, i: F.coalesce(t.startswith("I-") & (entity(previous(tags, i)) == entity(t)), F.lit(False))
+    breaks = F.filter(F.transform(tags, lambda t, i: F.when(~goes_on(t, i), i)), lambda i: i.isNotNull())
 
-    def at(i: Column) -> Column:
-        kind = entity(F.get(tags, i))
-        stop = F.array_min(F.filter(F.sequence(i + 1, n), lambda j: (j >= n) | (F.get(tags, j) != F.concat(F.lit("I-"), kind))))
-        return F.struct(i.alias("s"), stop.alias("e"), kind.alias("label"))
+    def between(at: Column) -> Column:
+        each = F.transform(at, lambda i, k: F.struct(i.alias("s"), F.coalesce(F.get(at, k + 1), F.size(tags)).alias("e"), F.get(tags, i).alias("t")))
+        return F.transform(F.filter(each, lambda x: x["t"].startswith("B-")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), entity(x["t"]).alias("label")))
 
-    starts = F.filter(F.transform(tags, lambda t, i: F.when(t.startswith("B-"), i)), lambda i: i.isNotNull())
-    return F.transform(starts, at).cast(SPAN)
+    return let(breaks, between).cast(SPAN)
 
 
 def loose_spans(tags: Column | str) -> Column:
@@ -97,17 +97,19 @@ def loose_spans(tags: Column | str) -> Column:
 
 def late_spans(tags: Column | str, kind: str) -> Column:
     """Spans that only ``O``, a ``B-`` of another type or the end closes; a second ``B-X`` before that discards the first."""
-    tags = present(tags)
-    n = F.size(tags)
-    closes = lambda t: (t == "O") | (t.startswith("B-") & (t != F.lit(f"B-{kind}")))
-    starts = F.filter(F.transform(tags, lambda t, i: F.when(t == F.lit(f"B-{kind}"), i)), lambda i: i.isNotNull())
+    return let(present(tags), lambda t: _late_spans(t, kind))
+
+
+def _late_spans(tags: Column, kind: str) -> Column:
+    """Of the places that open or close, each opener before a closer (or the end) is a span."""
+    opens = lambda t: t == F.lit(f"B-{kind}")
+    places = F.filter(F.transform(tags, lambda t, i: F.when((t == "O") | t.startswith("B-"), i)), lambda i: i.isNotNull())
 
-    def at(i: Column) -> Column:
-        stop = F.array_min(F.filter(F.sequence(i + 1, n), lambda j: (j >= n) | closes(F.get(tags, j))))
-        again = F.exists(F.sequence(i + 1, n), lambda j: (j < stop) & (F.get(tags, j) == F.lit(f"B-{kind}")))
-        return F.when(~again, F.struct(i.alias("s"), stop.alias("e"), F.lit(kind).alias("label")))
+    def between(at: Column) -> Column:
+        each = F.transform(at, lambda i, k: F.struct(i.alias("s"), F.coalesce(F.get(at, k + 1), F.size(tags)).alias("e"), F.lit(kind).alias("label")))
+        return F.filter(each, lambda x: opens(F.get(tags, x["s"])) & ~F.coalesce(opens(F.get(tags, x["e"])), F.lit(False)))
 
-    return F.filter(F.transform(starts, at), lambda x: x.isNotNull()).cast(SPAN)
+    return let(places, between).cast(SPAN)
 
 
 def padded(pred: Column | str, like: Column | str, fill: str = "O") -> Column:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tagloom.plans.numbering import numbered
 from tagloom.plans.staging import stage
 
-#: Resamples of the registered queries, as in the published procedure, and of their SQL texts.
+#: Resamples of the registered queries, as in the published procedure.
 RESAMPLES = 1000
-QUERY_RESAMPLES = 200
 _P = 2147483647
 # The portable pseudo-random number as SQL text: integer arithmetic modulo a prime, the same in any
 # engine.  Squares keep draws of different salts apart; every product stays below 2^63.
@@ -46,6 +45,15 @@ def resampled(pairs: DataFrame, resamples: int, seed: int, by: tuple[str, ...] =
     return picked.join(rows.select(*by, "k", "d"), [*by, "k"]).groupBy(*by, "b").agg((F.sum("d") / F.max("n")).alias("diff"))
 
 
+def strict_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(idx, fa, fb) of two score tables (idx, f1) by place; unequal numbers of rows are an error."""
+    n_a, n_b = a.count(), b.count()
+    if n_a != n_b:
+        raise ValueError(f"paired scores of unequal number: {n_a} and {n_b}")
+    left = numbered(a.select("idx", F.col("f1").alias("fa")), "idx")
+    return left.join(numbered(b.select(F.col("idx").alias("_idx"), F.col("f1").alias("fb")), "_idx"), "k").select("idx", "fa", "fb")
+
+
 def index_interval(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Interval by sorted position; one row for each resample."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))

@@ -100,26 +100,6 @@ def _(spark, d):
     return rows.withColumn("span_leak_rate", bio.ratio(F.col("leaked"), F.col("spans")))
 
 
-#: Masking of the text joined from the tokens: kept tokens and one placeholder a span.
-_MASKED = (
-    SPANS
-    + """, tk AS (SELECT pred.model, pred.idx, u.pos - 1 AS pos, u.tok FROM pred, unnest(pred.tokens) WITH ORDINALITY AS u(tok, pos)),
-  mk AS (SELECT tk.model, tk.idx, string_agg(CASE WHEN ps.s IS NULL THEN tk.tok WHEN tk.pos = ps.s THEN CASE ps.label WHEN 'PER' THEN '[NAME]' ELSE '[' || ps.label || ']' END END, ' ' ORDER BY tk.pos) AS masked
-    FROM tk LEFT JOIN ps ON ps.model = tk.model AND ps.idx = tk.idx AND tk.pos >= ps.s AND tk.pos < ps.e GROUP BY ALL)"""
-)
-
-
-def _joined(spark, d) -> DataFrame:
-    """Predictions whose text is the tokens joined by blanks, with predictions padded to the tokens."""
-    rows = inputs.spanned(spark, d, True).where(F.size("tokens") == F.size("gold")).withColumn("sequence", F.array_join("tokens", " "))
-    return masking.masked(rows)
-
-
-@query("msk01_03_masked", f"WITH {_MASKED} SELECT model, idx, masked FROM mk JOIN pred USING (model, idx) WHERE len(tokens) = len(gold)")
-def _(spark, d):
-    return _joined(spark, d).where(F.size("tokens") > 0).select("model", "idx", "masked")
-
-
 def _located_sql(rows: str) -> str:
     """Masking of stored texts: tokens are searched one after the other by recursion, spans become pieces of text."""
     return f"""WITH RECURSIVE {PRED}, r AS ({rows}), {spans_of('sp', 'r', 'model, idx', 'tags')},
@@ -132,13 +112,24 @@ def _located_sql(rows: str) -> str:
     mk AS (SELECT r.model, r.idx, r.sequence, coalesce(pc.head, '') || substr(r.sequence, coalesce(pc.last, 0) + 1) AS masked, coalesce(pc.n, 0) AS n FROM r LEFT JOIN pc USING (model, idx))"""
 
 
-_STORED = _located_sql("SELECT model, idx, coalesce(sequence, array_to_string(tokens, ' ')) AS sequence, sequence IS NULL AS rebuilt, tokens, pred AS tags FROM pred")
+#: The stored texts of all records; where tags and tokens differ in number nothing is masked.
+_STORED = _located_sql("SELECT model, idx, coalesce(sequence, array_to_string(tokens, ' ')) AS sequence, sequence IS NULL AS rebuilt, tokens, gold, CASE WHEN len(pred) = len(tokens) THEN pred ELSE pred[1:0] END AS tags FROM pred")
 _BATCH = _located_sql(
     "SELECT model, idx, CASE WHEN coalesce(sequence, '') = '' THEN array_to_string(tokens, ' ') ELSE sequence END AS sequence, tokens, "
     "list_slice(list_concat(coalesce(raw_pred, []), list_transform(range(len(tokens)), lambda x: 'O')), 1, len(tokens)) AS tags FROM pred"
 )
 
 
+def _masked(spark, d) -> DataFrame:
+    """Every record with its stored text masked; a missing text is rebuilt, tags that do not fit the tokens mask nothing."""
+    return masking.masked(masking.with_sequence(inputs.spanned(spark, d, True)), strict=False)
+
+
+@query("msk01_03_masked", f"{_STORED} SELECT model, idx, masked FROM mk")
+def _(spark, d):
+    return _masked(spark, d).select("model", "idx", "masked")
+
+
 @query(
     "msk02_unlocated",
     f"""{_STORED}, ns AS (SELECT model, count(*) AS n FROM sp GROUP BY model), x AS (SELECT mk.model, count(*) AS n_rows, CAST(sum(mk.n) AS BIGINT) AS found, count(*) FILTER (r.rebuilt) AS n_rebuilt, count(*) FILTER (mk.masked <> mk.sequence) AS n_changed FROM mk JOIN r USING (model, idx) GROUP BY mk.model)
@@ -146,8 +137,7 @@ _BATCH = _located_sql(
 )
 def _(spark, d):
     """Masking of the stored texts: spans whose first token is not in the text stay, and are counted."""
-    rows = masking.masked(masking.with_sequence(inputs.spanned(spark, d, True)))
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_unlocated").alias("n_unlocated"), F.count_if(F.col("rebuilt")).alias("n_rebuilt"), F.count_if(F.col("masked") != F.col("sequence")).alias("n_changed"))
+    return _masked(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_unlocated").alias("n_unlocated"), F.count_if(F.col("rebuilt")).alias("n_rebuilt"), F.count_if(F.col("masked") != F.col("sequence")).alias("n_changed"))
 
 
 @query("msk04_length_mismatch", f"WITH {PRED} SELECT model, idx, len(coalesce(raw_pred, [])) AS n_pred, len(tokens) AS n_tokens FROM pred WHERE len(coalesce(raw_pred, [])) <> len(tokens)")
@@ -164,15 +154,19 @@ def _(spark, d):
     return masking.masked(rows).select("model", "idx", "masked")
 
 
+_TRIM = " || ".join(f"chr({ord(c)})" for c in masking.BLANKS)
+
+
 @query(
     "met09_sentence_leak",
-    f"""WITH {_MASKED}, l AS (SELECT mk.model, mk.idx, bool_or(contains(lower(mk.masked), lower(array_to_string(pred.tokens[gs.s + 1:gs.e], ' ')))) AS leak
-      FROM mk JOIN pred USING (model, idx) LEFT JOIN gs USING (model, idx) WHERE len(pred.tokens) = len(pred.gold) GROUP BY ALL)
+    f"""{_STORED}, {spans_of('gs', 'r', 'model, idx', 'gold')},
+    l AS (SELECT mk.model, mk.idx, coalesce(bool_or(ent <> '' AND contains(lower(mk.masked), ent)), false) AS leak
+      FROM mk LEFT JOIN (SELECT gs.model, gs.idx, lower(trim(array_to_string(r.tokens[gs.s + 1:gs.e], ' '), {_TRIM})) AS ent FROM gs JOIN r USING (model, idx)) g USING (model, idx) GROUP BY ALL)
     SELECT model, count(*) FILTER (leak) AS leaked, count(*) AS sentences, {ratio('count(*) FILTER (leak)', 'count(*)')} AS sentence_leak_rate FROM l GROUP BY model""",
 )
 def _(spark, d):
-    rows = masking.leaks(_joined(spark, d).where(F.size("tokens") > 0))
-    c = rows.groupBy("model").agg(F.count_if("leaks").alias("leaked"), F.count(F.lit(1)).alias("sentences"))
+    """Over all records and their stored texts."""
+    c = masking.leaks(_masked(spark, d)).groupBy("model").agg(F.count_if("leaks").alias("leaked"), F.count(F.lit(1)).alias("sentences"))
     return c.withColumn("sentence_leak_rate", bio.ratio(F.col("leaked"), F.col("sentences")))
 
 
@@ -293,31 +287,30 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- bootstrap
 
-_PAIR = _SENT + ", pr AS (SELECT a.idx, a.f1 AS fa, b.f1 AS fb, row_number() OVER (ORDER BY a.idx) - 1 AS k, count(*) OVER () AS n FROM sf a JOIN sf b ON a.idx = b.idx AND a.model = 'encoder_a' AND b.model = 'llm')"
-
-
-def _pair(spark, d, a="encoder_a", b="llm") -> DataFrame:
-    f = metrics.sentence_f1(inputs.spanned(spark, d)).select("model", "idx", "f1")
-    of = lambda m, c: f.where(F.col("model") == m).select("idx", F.col("f1").alias(c))
-    return of(a, "fa").join(of(b, "fb"), "idx")
+_PAIRS = _SENT + """, pr AS (SELECT a.model AS encoder, a.idx, a.f1 AS fa, b.f1 AS fb, row_number() OVER (PARTITION BY a.model ORDER BY a.idx) - 1 AS k, count(*) OVER (PARTITION BY a.model) AS n
+  FROM sf a JOIN sf b ON a.idx = b.idx AND b.model = 'llm' WHERE a.model LIKE 'encoder%')"""
 
 
-@query("bst01_pairs", f"WITH {_PAIR} SELECT idx, round(fa, 6) AS fa, round(fb, 6) AS fb FROM pr")
+@query("bst01_pairs", f"WITH {_PAIRS} SELECT encoder, idx, round(fa, 6) AS fa, round(fb, 6) AS fb FROM pr")
 def _(spark, d):
-    return _pair(spark, d).select("idx", F.round("fa", 6).alias("fa"), F.round("fb", 6).alias("fb"))
+    return _all_pairs(spark, d).select("encoder", "idx", F.round("fa", 6).alias("fa"), F.round("fb", 6).alias("fb"))
 
 
 @query("bst02_strict_pairing", f"WITH {_SENT}, c AS (SELECT count(*) FILTER (model = 'encoder_a') AS n_a, count(*) FILTER (model = 'llm') AS n_b FROM sf) SELECT n_a, n_b, n_a = n_b AS pairs FROM c")
 def _(spark, d):
-    """Row counts of both sides; strict pairing refuses unequal ones."""
+    """Row counts of both sides; ``bootstrap.strict_pairs`` refuses unequal ones."""
     p = inputs.predictions(spark, d)
     return p.agg(F.count_if(F.col("model") == "encoder_a").alias("n_a"), F.count_if(F.col("model") == "llm").alias("n_b")).withColumn("pairs", F.col("n_a") == F.col("n_b"))
 
 
 _BOOT = (
-    _PAIR
-    + f""", bs AS (SELECT b, avg(fa - fb) AS diff FROM (SELECT r.b, {bootstrap.PORTABLE_SQL.format(x='(r.b * 1000003 + p.k)', salt=42)} % p.n AS pick FROM range({bootstrap.QUERY_RESAMPLES}) r(b), pr p) q JOIN pr ON pr.k = q.pick GROUP BY b)"""
+    _PAIRS
+    + f""", bs AS (SELECT q.encoder, b, avg(fa - fb) AS diff FROM (SELECT p.encoder, r.b, {bootstrap.PORTABLE_SQL.format(x='(r.b * 1000003 + p.k)', salt=42)} % p.n AS pick FROM range({bootstrap.RESAMPLES}) r(b), pr p) q
+    JOIN pr ON pr.encoder = q.encoder AND pr.k = q.pick GROUP BY q.encoder, b)"""
 )
+_LINEAR = "round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high"
+_P = "p AS (SELECT encoder, avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS b FROM bs GROUP BY encoder)"
+_SHOWN = "round(p, 6) AS p_value, CASE WHEN p = 0 THEN '<1/' || b ELSE CAST(round(p, 6) AS VARCHAR) END AS shown, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS reading"
 
 
 _BY = ("encoder",)
@@ -346,29 +339,31 @@ def _p_value(diffs: DataFrame, *more) -> DataFrame:
     return p.withColumns({"p_value": F.round("p", 6), "shown": shown, "reading": reading}).drop("p")
 
 
-@query("bst03_resamples", f"WITH {_BOOT} SELECT b, round(diff, 6) AS diff FROM bs")
+@query("bst03_resamples", f"WITH {_BOOT} SELECT encoder, b, round(diff, 6) AS diff FROM bs")
 def _(spark, d):
     return _resampled(spark, d).select("encoder", "b", F.round("diff", 6).alias("diff"))
 
 
-@query("bst04_linear_interval", f"WITH {_BOOT} SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM bs")
+@query("bst04_linear_interval", f"WITH {_BOOT} SELECT encoder, {_LINEAR} FROM bs GROUP BY encoder")
 def _(spark, d):
     return _resampled(spark, d).groupBy(*_BY).agg(*_linear_interval())
 
 
-@query("bst05_index_interval", f"WITH {_BOOT}, r AS (SELECT diff, row_number() OVER (ORDER BY diff) - 1 AS k, count(*) OVER () AS n FROM bs) SELECT round(max(diff) FILTER (k = CAST(floor(0.025 * n) AS BIGINT)), 6) AS low, round(max(diff) FILTER (k = CAST(floor(0.975 * n) AS BIGINT)), 6) AS high FROM r")
+@query("bst05_index_interval", f"WITH {_BOOT}, r AS (SELECT encoder, diff, row_number() OVER (PARTITION BY encoder ORDER BY diff) - 1 AS k, count(*) OVER (PARTITION BY encoder) AS n FROM bs) SELECT encoder, round(max(diff) FILTER (k = CAST(floor(0.025 * n) AS BIGINT)), 6) AS low, round(max(diff) FILTER (k = CAST(floor(0.975 * n) AS BIGINT)), 6) AS high FROM r GROUP BY encoder")
 def _(spark, d):
     return bootstrap.index_interval(_resampled(spark, d), _BY)
 
 
-@query("bst06_p_value", f"WITH {_BOOT}, p AS (SELECT avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS b FROM bs) SELECT round(p, 6) AS p_value, CASE WHEN p = 0 THEN '<1/' || b ELSE CAST(round(p, 6) AS VARCHAR) END AS shown, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS reading FROM p")
+@query("bst06_p_value", f"WITH {_BOOT}, {_P} SELECT encoder, {_SHOWN} FROM p")
 def _(spark, d):
     return _p_value(_resampled(spark, d)).select("encoder", "p_value", "shown", "reading")
 
 
 @query(
     "bst07_all_pairs",
-    f"""WITH {_SENT}, n AS (SELECT a.model AS encoder, round(avg(a.f1), 6) AS encoder_f1, round(avg(b.f1), 6) AS llm_f1, round(avg(a.f1 - b.f1), 6) AS diff, count(*) AS n FROM sf a JOIN sf b ON a.idx = b.idx AND b.model = 'llm' WHERE a.model LIKE 'encoder%' GROUP BY a.model) SELECT * FROM n""",
+    f"""WITH {_BOOT}, {_P}, i AS (SELECT encoder, {_LINEAR} FROM bs GROUP BY encoder),
+    n AS (SELECT encoder, round(avg(fa), 6) AS encoder_f1, round(avg(fb), 6) AS llm_f1, round(avg(fa - fb), 6) AS diff, count(*) AS n FROM pr GROUP BY encoder)
+    SELECT n.*, i.low, i.high, p.b AS resamples, {_SHOWN} FROM n JOIN i USING (encoder) JOIN p USING (encoder)""",
 )
 def _(spark, d):
     """Means, interval and p of every encoder against llm."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
@@ -29,34 +31,58 @@ def u(salt: int, x: str = "idx") -> str:
 # ---------------------------------------------------------------- injection
 
 _T = injection.threshold
-_CAND = f"WITH {ex()}, cand AS (SELECT * FROM ex WHERE list_contains(tags, 'B-PER') AND len(tokens) = len(tags))"
-_CHOSEN = _CAND + f", ch AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {u(1)}, idx) AS r, count(*) OVER () AS n FROM cand) WHERE r <= CAST(floor(n * 0.6) AS BIGINT))"
-_MAIL = (
-    _CHOSEN
-    + f""", {spans_of('sp', 'ch', 'idx', 'tags')},
+
+
+def _chosen_sql(split: str, config: dict) -> tuple[str, str]:
+    """The candidates, and with them the chosen rows."""
+    cand = f"WITH {ex(split)}, cand AS (SELECT * FROM ex WHERE list_contains(tags, 'B-PER') AND len(tokens) = len(tags))"
+    order = f"SELECT *, row_number() OVER (ORDER BY {u(config['salt'] + injection.CHOOSE)}, idx) AS r, count(*) OVER () AS n FROM cand"
+    return cand, f"{cand}, ch AS (SELECT * FROM ({order}) WHERE r <= CAST(floor(n * {config['injection_rate']}) AS BIGINT))"
+
+
+def _weighted_sql(salt: int, options) -> str:
+    """A CASE over cumulative weights."""
+    out, total = "", 0.0
+    for name, weight, *_ in options[:-1]:
+        total += weight
+        out += f" WHEN {u(salt)} < {_T(total)} THEN '{name}'"
+    return f"CASE{out} ELSE '{options[-1][0]}' END" if out else f"'{options[-1][0]}'"
+
+
+def _local_sql(template: str, salt: int) -> str:
+    """A template of the local part as a SQL concatenation."""
+    values = {"first": "first", "last": "last", "f": "f", "l": "l", "year": f"CAST(1970 + {u(salt + injection.YEAR)} % 36 AS VARCHAR)", "n": f"CAST(1 + {u(salt + injection.NUMBER)} % 99 AS VARCHAR)"}
+    return " || ".join(values[x[1:-1]] if x.startswith("{") else f"'{x}'" for x in re.findall(r"\{\w+\}|[^{}]+", template))
+
+
+def _injection_sql(split: str, config: dict) -> tuple[str, str, str, str]:
+    """SQL up to the candidates, the chosen rows, their addresses and the injected rows."""
+    cand, chosen = _chosen_sql(split, config)
+    salt, i = config["salt"], injection
+    span = f"{u(salt + i.SPAN, 'ch.idx')} % len(ss) + 1"
+    domain = lambda key: f"{config[key]}[{u(salt + i.DOMAIN)} % {len(config[key])} + 1]"
+    local = " ".join(f"WHEN '{name}' THEN {_local_sql(form, salt)}" for name, _, form in config["role_patterns"] + config["patterns"])
+    mail = f"""{chosen}, {spans_of('sp', 'ch', 'idx', 'tags')},
   per AS (SELECT idx, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM sp WHERE label = 'PER' GROUP BY idx),
-  pk AS (SELECT ch.idx, tokens, tags, ss[{u(2, 'ch.idx')} % len(ss) + 1] AS s, es[{u(2, 'ch.idx')} % len(ss) + 1] AS e FROM ch JOIN per USING (idx)),
+  pk AS (SELECT ch.idx, tokens, tags, ss[{span}] AS s, es[{span}] AS e FROM ch JOIN per USING (idx)),
   nm AS (SELECT *, lower(tokens[s + 1]) AS first, lower(tokens[e]) AS last FROM pk),
-  pt AS (SELECT *, CASE WHEN {u(3)} < {_T(0.1)} THEN CASE WHEN {u(4)} < {_T(0.4)} THEN 'info_at' WHEN {u(4)} < {_T(0.7)} THEN 'contact_at' ELSE 'support_at' END
-    WHEN {u(5)} < {_T(0.3)} THEN 'firstname_dot_lastname' WHEN {u(5)} < {_T(0.3 + 0.25)} THEN 'firstinitial_lastname' WHEN {u(5)} < {_T(0.3 + 0.25 + 0.15)} THEN 'firstname_only'
-    WHEN {u(5)} < {_T(0.3 + 0.25 + 0.15 + 0.15)} THEN 'nickname_number' ELSE 'firstname_lastname_num' END AS pattern,
-    CASE WHEN first = '' THEN 'x' ELSE substr(first, 1, 1) END AS f FROM nm),
-  lc AS (SELECT *, CASE pattern WHEN 'info_at' THEN 'info' WHEN 'contact_at' THEN 'contact' WHEN 'support_at' THEN 'support' WHEN 'firstname_dot_lastname' THEN first || '.' || last
-    WHEN 'firstinitial_lastname' THEN f || last WHEN 'firstname_only' THEN first WHEN 'nickname_number' THEN first || CAST(1970 + {u(6)} % 36 AS VARCHAR) ELSE first || last || CAST(1 + {u(7)} % 99 AS VARCHAR) END
-    || '@' || CASE WHEN {u(8)} < {_T(0.7)} THEN ['gmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com', 'protonmail.com'][{u(9)} % 5 + 1] ELSE ['acme.com', 'techcorp.com', 'globalinc.com', 'meridian.org', 'bluewave.io'][{u(9)} % 5 + 1] END AS raw FROM pt),
-  em AS (SELECT * EXCLUDE raw, CASE WHEN regexp_matches(raw, '^[a-z0-9._+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN raw ELSE f || CASE WHEN last = '' THEN 'user' ELSE last END || '@gmail.com' END AS email,
-    {u(10)} < {_T(0.1)} AS multi_token, CASE WHEN {u(11)} < {_T(0.5)} THEN 'post_name' WHEN {u(11)} < {_T(0.8)} THEN 'parenthetical' ELSE 'contact_tail' END AS context FROM lc)"""
-)
-_PUT = (
-    _MAIL
-    + """, w AS (SELECT *, CASE WHEN multi_token THEN [split_part(email, '@', 1), '@', substr(email, strpos(email, '@') + 1)] ELSE [email] END AS w,
+  pt AS (SELECT *, CASE WHEN {u(salt + i.ROLE)} < {_T(config['role_pattern_fraction'])} THEN {_weighted_sql(salt + i.ROLE_KIND, config['role_patterns'])} ELSE {_weighted_sql(salt + i.PATTERN, config['patterns'])} END AS pattern,
+    CASE WHEN first = '' THEN 'x' ELSE substr(first, 1, 1) END AS f, CASE WHEN last = '' THEN 'x' ELSE substr(last, 1, 1) END AS l FROM nm),
+  lc AS (SELECT *, CASE pattern {local} END || '@' || CASE WHEN {u(salt + i.PERSONAL)} < {_T(config['personal_share'])} THEN {domain('personal_domains')} ELSE {domain('corporate_domains')} END AS raw FROM pt),
+  em AS (SELECT * EXCLUDE raw, CASE WHEN regexp_matches(raw, '^[a-z0-9._+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN raw ELSE f || CASE WHEN last = '' THEN 'user' ELSE last END || '@{config['personal_domains'][0]}' END AS email,
+    {u(salt + i.MULTI)} < {_T(config['multi_token_ratio'])} AS multi_token, {_weighted_sql(salt + i.CONTEXT, config['contexts'])} AS context FROM lc)"""
+    put = f"""{mail}, w AS (SELECT *, CASE WHEN multi_token THEN [split_part(email, '@', 1), '@', substr(email, strpos(email, '@') + 1)] ELSE [email] END AS w,
     CASE WHEN multi_token THEN ['B-EMAIL', 'I-EMAIL', 'I-EMAIL'] ELSE ['B-EMAIL'] END AS m, len(tokens) AS n FROM em),
   p AS (SELECT *, CASE WHEN context <> 'contact_tail' THEN e WHEN tokens[n] IN ('.', '!', '?', ';') AND tags[n] NOT LIKE 'I-%' THEN n - 1 ELSE n END AS place,
     CASE WHEN context = 'parenthetical' THEN ['('] WHEN context = 'contact_tail' THEN ['Email:'] WHEN e < n AND tokens[e + 1] NOT IN ('.', '!', '?', ';') THEN [','] ELSE [] END AS b,
     CASE WHEN context = 'parenthetical' THEN [')'] ELSE [] END AS a FROM w),
   ins AS (SELECT *, list_concat(list_concat(list_concat(list_concat(tokens[1:place], b), w), a), tokens[place + 1:n]) AS new_tokens,
     list_concat(list_concat(list_concat(list_concat(tags[1:place], list_transform(b, lambda x: 'O')), m), list_transform(a, lambda x: 'O')), tags[place + 1:n]) AS new_tags, place + len(b) AS inserted_at FROM p)"""
-)
+    return cand, chosen, mail, put
+
+
+_CAND, _CHOSEN, _MAIL, _PUT = _injection_sql("train", injection.CONFIG)
+_, _, _MAIL_TEST, _PUT_TEST = _injection_sql("test", injection.TEST_CONFIG)
 
 
 @query("inj01_candidates", f"{_CAND} SELECT count(*) AS candidates, min(idx) AS first_idx, max(idx) AS last_idx FROM cand")
@@ -69,12 +95,26 @@ def _(spark, d):
     return injection.chosen(inputs.examples(spark, d), 0.6).select("idx")
 
 
-@query("inj04_07_emails", f"{_MAIL} SELECT idx, s AS span_start, e AS span_end, first, last, pattern, email FROM em")
-def _(spark, d):
-    rows = injection.with_email(injection.chosen(inputs.examples(spark, d), 0.6))
+def _emails(spark, d, split: str, config: dict):
+    rows = injection.with_email(injection.chosen(inputs.examples(spark, d, split), config["injection_rate"], config["salt"]), config)
     return rows.select("idx", F.col("span.s").cast("long").alias("span_start"), F.col("span.e").cast("long").alias("span_end"), "first", "last", "pattern", "email")
 
 
+_EMAIL_COLUMNS = "idx, s AS span_start, e AS span_end, first, last, pattern, email"
+
+
+@query("inj04_07_emails", f"{_MAIL} SELECT {_EMAIL_COLUMNS} FROM em")
+def _(spark, d):
+    return _emails(spark, d, "train", injection.CONFIG)
+
+
+@query("inj04_07_emails_test", f"{_MAIL_TEST} SELECT {_EMAIL_COLUMNS} FROM em")
+def _(spark, d):
+    """The test split has its own domains, patterns and role names; pools shared with train are an error."""
+    injection.require_disjoint()
+    return _emails(spark, d, "test", injection.TEST_CONFIG)
+
+
 @query("inj08_email_tokens", f"{_PUT} SELECT idx, array_to_string(w, ' ') AS words, array_to_string(m, ' ') AS marks, multi_token FROM p")
 def _(spark, d):
     rows = injection.with_email(injection.chosen(inputs.examples(spark, d), 0.6))
@@ -82,12 +122,24 @@ def _(spark, d):
     return rows.select("idx", F.array_join(w, " ").alias("words"), F.array_join(m, " ").alias("marks"), "multi_token")
 
 
-@query("inj09_13_injected", f"{_PUT} SELECT idx, array_to_string(new_tokens, ' ') AS sequence, array_to_string(new_tags, ' ') AS tags, email, context, multi_token, inserted_at FROM ins")
-def _(spark, d):
-    rows = injection.injected(inputs.examples(spark, d))
+def _injected(spark, d, split: str, config: dict):
+    rows = injection.injected(inputs.examples(spark, d, split), config)
     return rows.select("idx", "sequence", F.array_join("new_tags", " ").alias("tags"), "email", "context", "multi_token", F.col("inserted_at").cast("long").alias("inserted_at"))
 
 
+_INJECTED_COLUMNS = "idx, array_to_string(new_tokens, ' ') AS sequence, array_to_string(new_tags, ' ') AS tags, email, context, multi_token, inserted_at"
+
+
+@query("inj09_13_injected", f"{_PUT} SELECT {_INJECTED_COLUMNS} FROM ins")
+def _(spark, d):
+    return _injected(spark, d, "train", injection.CONFIG)
+
+
+@query("inj09_13_injected_test", f"{_PUT_TEST} SELECT {_INJECTED_COLUMNS} FROM ins")
+def _(spark, d):
+    return _injected(spark, d, "test", injection.TEST_CONFIG)
+
+
 @query("inj14_choices", f"{_MAIL} SELECT context, multi_token, count(*) AS n FROM em GROUP BY ALL")
 def _(spark, d):
     rows = injection.with_email(injection.chosen(inputs.examples(spark, d), 0.6))
@@ -159,7 +211,11 @@ def _(spark, d):
     return splits.stratified(rows, "bucket", 0.15).select("idx", "bucket", "split")
 
 
-@query("smp02_subset", f"WITH {ex()} SELECT idx FROM (SELECT idx FROM ex ORDER BY {u(42)}, idx LIMIT 2500) ORDER BY idx")
+@query(
+    "smp02_subset",
+    " UNION ALL ".join(f"(SELECT '{s}' AS split, idx FROM (SELECT DISTINCT idx FROM {s}_injected WHERE idx IS NOT NULL) ORDER BY {u(42)}, idx LIMIT {n})" for s, n in (("train", 2500), ("val", 500)))
+    + " UNION ALL (SELECT 'test' AS split, idx FROM (SELECT DISTINCT idx FROM test_injected WHERE idx IS NOT NULL) ORDER BY idx LIMIT 500)",
+)
 def _(spark, d):
     """The smoke test's rows: 2,500 drawn of train, 500 drawn of val, the first 500 of test."""
     of = lambda s: inputs.examples(spark, d, s).select(F.lit(s).alias("split"), "idx")
@@ -228,7 +284,7 @@ def _(spark, d):
     return _labels(spark, d).where(F.size("tokens") > 0).select("idx", alignment.label_faults("labels").alias("fault"))
 
 
-@query("enc01_word_tags", f"{_PIECES} SELECT idx, string_agg(CASE WHEN p <= 63 THEN CASE WHEN y = 0 THEN 'O' ELSE lab END ELSE 'O' END, ' ' ORDER BY w) AS tags FROM pi WHERE k = 0 GROUP BY idx")
+@query("enc01_word_tags", f"{_PIECES} SELECT idx, string_agg(CASE WHEN p <= {alignment.MAX_PIECES - 2} THEN CASE WHEN y = 0 THEN 'O' ELSE lab END ELSE 'O' END, ' ' ORDER BY w) AS tags FROM pi WHERE k = 0 GROUP BY idx")
 def _(spark, d):
     """Labels of ``MAX_PIECES`` pieces, both special ones among them, back to words: the first piece wins, cut words are ``O``."""
     cut = lambda c: F.slice(c, 1, alignment.MAX_PIECES - 1)  # noqa: E731  # the last place is the closing special piece's

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
 
 MAX_PIECES = 256
+#: A public tokenizer; the file is a parameter.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def chunk_word_ids(tokens: Column | str, size: int = 4) -> Column:
@@ -17,6 +22,31 @@ def chunk_word_ids(tokens: Column | str, size: int = 4) -> Column:
     return F.concat(special, F.flatten(parts), special)
 
 
+def tokenizer_word_ids(spark: SparkSession, path: str = TOKENIZER, size: int = MAX_PIECES):
+    """A function of a token array: the word of each piece of a tokenizer file, at most ``size`` pieces with the two special
+    ones, in Arrow batches; None without the file or the library.  The file travels to the executors as a broadcast."""
+    try:
+        from tokenizers import Tokenizer  # noqa: F401
+
+        with open(path, "rb") as f:
+            blob = spark.sparkContext.broadcast(f.read())
+    except (ImportError, OSError):
+        return None
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_buffer(blob.value)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        for b in batches:
+            words = [[w or "" for w in ([] if x is None else x)] for x in b]
+            each = tokenizer.encode_batch(words, is_pretokenized=True, add_special_tokens=False)
+            yield pd.Series([[-1, *e.word_ids[: size - 2], -1] for e in each])
+
+    return F.pandas_udf(run, "array<int>")
+
+
 def aligned_labels(word_ids: Column | str, tags: Column | str) -> Column:
     """First piece: the word's label; later pieces: ``I-X`` (or ``O``); special pieces: the ignored id."""
     w = bio.col(word_ids)

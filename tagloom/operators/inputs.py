@@ -29,9 +29,10 @@ TAGS, TEXT = ("gold_tags", "pred_tags"), ("tokens", "sequence")
 
 
 def encoder_predictions(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = (*TEXT, *TAGS)) -> DataFrame:
-    """The latest run of each (model, idx) with the columns asked for; combined before the shuffle, no window."""
+    """The latest run of each (model, idx) with the columns asked for, one without a time only where there is no other;
+    combined before the shuffle, no window."""
     rows = table(spark, sf_dir, "encoder_predictions").where("idx is not null")
-    return rows.groupBy("model", "idx").agg(F.max_by(F.struct(*columns), "run_at").alias("r")).select("model", "idx", "r.*")
+    return rows.groupBy("model", "idx").agg(F.max_by(F.struct(*columns), F.struct("run_at")).alias("r")).select("model", "idx", "r.*")
 
 
 def llm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import bio
 from tagloom.operators import errors, inputs, metrics, reports
-from tagloom.plans.staging import shared_dir, stage, table
-from tagloom.queries.sql import ENC, SCORES, ex, ratio
+from tagloom.plans.staging import stage, staged_dir, table
+from tagloom.queries.sql import ENC, ERR, SCORES, ex, ratio
 from tagloom.sources import readers, sinks
 from tagloom.streaming import scorer
 
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _path(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _ANN = "approach string, sentence_idx long, tokens string, error_type string, gold_span string, pred_span string, sub_label string, notes string"
@@ -74,6 +74,15 @@ def _(spark, d):
     return g.join(b, "_one").drop("_one")
 
 
+@query("src03c_malformed_lines", "SELECT n AS line_no, payload AS line FROM (SELECT payload, row_number() OVER (ORDER BY error_type, sentence_idx, tokens) AS n FROM (SELECT *, CASE WHEN sentence_idx % 3 = 0 THEN '{\"cut\": ' ELSE '{}' END || ' ' AS payload FROM annotation_rows)) WHERE payload LIKE '%cut%'")
+def _(spark, d):
+    """The sheet (60 rows, fixed) as one file in which every line of a sentence number divisible by three is cut; the cut lines with their numbers."""
+    path = _path(spark, "cut-lines")
+    line = F.when(F.col("sentence_idx") % 3 == 0, '{"cut":  ').otherwise("{} ")
+    table(spark, d, "annotation_rows").select("error_type", "sentence_idx", "tokens", line.alias("value")).coalesce(1).sortWithinPartitions("error_type", "sentence_idx", "tokens").select("value").write.text(path)
+    return readers.read_jsonl_split(spark, path, "cut string")[1].select("line_no", "line")
+
+
 @query("src04_06_fallback", f"WITH {ex('test')} SELECT idx, len(tokens) AS n_tokens FROM ex")
 def _(spark, d):
     """The first path of a chain that exists: a missing file, then the Parquet table."""
@@ -103,11 +112,12 @@ def _(spark, d):
     return inputs.encoder_predictions(spark, d).select("model", "idx", F.array_join(bio.present("pred_tags"), " ").alias("pred"))
 
 
-@query("snk03_report_json")
+@query("snk03_report_json", f"WITH {SCORES} SELECT model, label, tp, fp, fn, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM sc")
 def _(spark, d):
-    """A report of a few rows as JSON text."""
-    s = metrics.scored(metrics.span_counts(inputs.spanned(spark, d), ["model"]))
-    return s.groupBy("model").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "tp", "fp", "fn", "f1")))).alias("report"))
+    """The scores as one JSON report file, and read again."""
+    path = _path(spark, "report") + "/scores.json"
+    sinks.write_report(metrics.scored(metrics.span_counts(inputs.spanned(spark, d), ["model"])).select("model", "label", "tp", "fp", "fn", "f1"), path)
+    return readers.read_json_array(spark, path, "model string, label string, tp long, fp long, fn long, f1 double").drop("idx")
 
 
 @query("snk04_jsonl_round_trip", f"WITH {ENC} SELECT model, count(*) AS n_rows, CAST(sum(len(coalesce(tokens, []))) AS BIGINT) AS n_tokens FROM enc GROUP BY model")
@@ -158,19 +168,33 @@ def _(spark, d):
     return runs.agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("r.f1"), 6).alias("mean_f1"), F.round(F.coalesce(F.stddev_samp("r.f1"), F.lit(0.0)), 6).alias("std_f1"))
 
 
-@query("rpt02_markdown")
+def _cell(x: str, null: str) -> str:
+    return f"coalesce(printf('%.4f', {x}), '{null}')"
+
+
+#: The rows of a text report as (position, lines); the table has a head of two lines.
+_ROWS = f"WITH {SCORES}, x AS (SELECT model, label, tp, fp, fn, {ratio('tp', 'tp + fp')} AS precision, {ratio('tp', 'tp + fn')} AS recall, {_F1} AS f1, row_number() OVER (ORDER BY model, label) - 1 AS k FROM sc)"
+
+
+@query("rpt02_markdown", f"""{_ROWS} SELECT 0 AS line_no, '| model | label | tp | fp | fn | precision | recall | f1 |' AS line UNION ALL SELECT 1, '|{'---|' * 8}'
+    UNION ALL SELECT CAST(k + 2 AS INT), '| ' || concat_ws(' | ', model, label, tp, fp, fn, {', '.join(_cell(c, '–') for c in ('precision', 'recall', 'f1'))}) || ' |' FROM x""")
 def _(spark, d):
     s = metrics.scored(metrics.span_counts(inputs.spanned(spark, d), ["model"])).orderBy("model", "label")
     return reports.as_lines(spark, reports.markdown_table(s))
 
 
-@query("rpt05_ascii")
+_WIDE = ", ".join(f"greatest({len(c)}, (SELECT max(length({c})) FROM y)) AS w_{c}" for c in ("model", "label", "precision", "recall", "f1"))
+
+
+@query("rpt05_ascii", f"""{_ROWS}, y AS (SELECT k + 1 AS k, model, label, {', '.join(f"{_cell(c, '-')} AS {c}" for c in ('precision', 'recall', 'f1'))} FROM x UNION ALL SELECT 0, 'model', 'label', 'precision', 'recall', 'f1'), w AS (SELECT {_WIDE})
+    SELECT CAST(k AS INT) AS line_no, rtrim(rpad(model, CAST(w_model AS INT), ' ') || '  ' || rpad(label, CAST(w_label AS INT), ' ') || '  ' || rpad(precision, CAST(w_precision AS INT), ' ') || '  ' || rpad(recall, CAST(w_recall AS INT), ' ') || '  ' || f1) AS line FROM y, w""")
 def _(spark, d):
     s = metrics.scored(metrics.span_counts(inputs.spanned(spark, d), ["model"])).select("model", "label", "precision", "recall", "f1").orderBy("model", "label")
     return reports.as_lines(spark, reports.ascii_table(s))
 
 
-@query("err05_markdown")
+@query("err05_markdown", f"""WITH {ERR}, x AS (SELECT *, row_number() OVER (ORDER BY model) - 1 AS k FROM bk) SELECT 0 AS line_no, '| model | fn_per | fn_email | fp_per | fp_email | total_errors |' AS line UNION ALL SELECT 1, '|{'---|' * 6}'
+    UNION ALL SELECT CAST(k + 2 AS INT), '| ' || concat_ws(' | ', model, fn_per, fn_email, fp_per, fp_email, total_errors) || ' |' FROM x""")
 def _(spark, d):
     b = errors.buckets(errors.instances(inputs.spanned(spark, d, True))).orderBy("model")
     return reports.as_lines(spark, reports.markdown_table(b))
@@ -178,7 +202,7 @@ def _(spark, d):
 
 @query("stream_scores", f"WITH {SCORES} SELECT model, label, tp, fp, fn, {_F1} AS f1 FROM sc WHERE model LIKE 'encoder%'")
 def _(spark, d):
-    """The encoder predictions as a stream of files, scored batch by batch."""
-    rows = stage(inputs.encoder_predictions(spark, d).repartition(8), "stream-input")
+    """The encoder predictions, repeated and late runs among them, as a stream of files, scored batch by batch."""
+    rows = stage(table(spark, d, "encoder_predictions").repartition(8), "stream-input")
     out = scorer.run_incremental(spark, rows.inputFiles()[0].rsplit("/", 1)[0])
     return scorer.running_scores(spark, out).select("model", "label", "tp", "fp", "fn", "f1")

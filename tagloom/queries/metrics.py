@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import bio
 from tagloom.operators import bootstrap, errors, inputs, masking, metrics
 from tagloom.plans.staging import stage
-from tagloom.queries.sql import MATCHED, PRED, SCORES, SPANS, ratio, spans_of
+from tagloom.queries.sql import ERR, MATCHED, PRED, SCORES, SPANS, ratio, spans_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,47 +218,38 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- errors
 
-_ERR = (
-    MATCHED
-    + """, er AS (SELECT m.model, m.idx, CASE WHEN in_gold THEN 'FN_' ELSE 'FP_' END || CASE WHEN label = 'PER' THEN 'PER' ELSE 'EMAIL' END AS error_type, s, e,
-    array_to_string(pred.tokens[s + 1:e], ' ') AS text, array_to_string(pred.tokens, ' ') AS tokens FROM m JOIN pred USING (model, idx) WHERE in_gold <> in_pred),
-  bk AS (SELECT model, count(*) FILTER (error_type = 'FN_PER') AS fn_per, count(*) FILTER (error_type = 'FN_EMAIL') AS fn_email, count(*) FILTER (error_type = 'FP_PER') AS fp_per,
-    count(*) FILTER (error_type = 'FP_EMAIL') AS fp_email, count(*) AS total_errors FROM er GROUP BY model)"""
-)
-
-
 def _errors(spark, d) -> DataFrame:
     return errors.instances(inputs.spanned(spark, d, True))
 
 
-@query("err01_buckets", f"WITH {_ERR} SELECT * FROM bk")
+@query("err01_buckets", f"WITH {ERR} SELECT * FROM bk")
 def _(spark, d):
     return errors.buckets(_errors(spark, d))
 
 
-@query("err02_shares", f"WITH {_ERR} SELECT model, total_errors, {', '.join(f'round(100.0 * {b.lower()} / total_errors, 2) AS {b.lower()}_pct' for b in errors.BUCKETS)} FROM bk")
+@query("err02_shares", f"WITH {ERR} SELECT model, total_errors, {', '.join(f'round(100.0 * {b.lower()} / total_errors, 2) AS {b.lower()}_pct' for b in errors.BUCKETS)} FROM bk")
 def _(spark, d):
     b = errors.buckets(_errors(spark, d))
     pct = [F.round(F.coalesce(F.try_divide(100.0 * F.col(x.lower()), F.col("total_errors")), F.lit(0.0)), 2).alias(f"{x.lower()}_pct") for x in errors.BUCKETS]
     return b.select("model", "total_errors", *pct)
 
 
-@query("err03_instances", f"WITH {_ERR} SELECT model, idx, error_type, s, e, text FROM er")
+@query("err03_instances", f"WITH {ERR} SELECT model, idx, error_type, s, e, text FROM er")
 def _(spark, d):
     return _errors(spark, d).select("model", "idx", "error_type", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "text")
 
 
-@query("err04_sheet_rows", f"WITH {_ERR} SELECT model AS approach, idx AS sentence_idx, tokens, error_type, CASE WHEN error_type LIKE 'FN%' THEN text ELSE '' END AS gold_span, CASE WHEN error_type LIKE 'FP%' THEN text ELSE '' END AS pred_span, 'MANUAL_TODO' AS sub_label, '' AS notes FROM er")
+@query("err04_sheet_rows", f"WITH {ERR} SELECT model AS approach, idx AS sentence_idx, tokens, error_type, CASE WHEN error_type LIKE 'FN%' THEN text ELSE '' END AS gold_span, CASE WHEN error_type LIKE 'FP%' THEN text ELSE '' END AS pred_span, 'MANUAL_TODO' AS sub_label, '' AS notes FROM er")
 def _(spark, d):
     return errors.sheet(_errors(spark, d))
 
 
-@query("err05_pivot", f"WITH {_ERR}, l AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL) SELECT error_type, coalesce(max(n) FILTER (model = 'encoder_a'), 0) AS encoder_a, coalesce(max(n) FILTER (model = 'encoder_b'), 0) AS encoder_b, coalesce(max(n) FILTER (model = 'llm'), 0) AS llm FROM l GROUP BY error_type")
+@query("err05_pivot", f"WITH {ERR}, l AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL) SELECT error_type, coalesce(max(n) FILTER (model = 'encoder_a'), 0) AS encoder_a, coalesce(max(n) FILTER (model = 'encoder_b'), 0) AS encoder_b, coalesce(max(n) FILTER (model = 'llm'), 0) AS llm FROM l GROUP BY error_type")
 def _(spark, d):
     return _errors(spark, d).groupBy("error_type").pivot("model", ["encoder_a", "encoder_b", "llm"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("snk08_bucket_chart_data", f"WITH {_ERR} SELECT model, error_type AS bucket, count(*) AS n FROM er GROUP BY ALL")
+@query("snk08_bucket_chart_data", f"WITH {ERR} SELECT model, error_type AS bucket, count(*) AS n FROM er GROUP BY ALL")
 def _(spark, d):
     return _errors(spark, d).groupBy("model", F.col("error_type").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -266,7 +257,7 @@ def _(spark, d):
 _QUOTA = "CAST(greatest(1, round_even(n / CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE) * 30, 0)) AS INT)"
 
 
-_QUOTAS = f"""WITH RECURSIVE {_ERR}, n AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL),
+_QUOTAS = f"""WITH RECURSIVE {ERR}, n AS (SELECT model, error_type, count(*) AS n FROM er GROUP BY ALL),
     q0 AS (SELECT model, error_type, n, {_QUOTA} AS quota, list_position(['FN_PER', 'FN_EMAIL', 'FP_PER', 'FP_EMAIL'], error_type) AS o FROM n),
     q AS (SELECT 0 AS step, * FROM q0 UNION ALL
       SELECT step + 1, model, error_type, n, CASE WHEN total > 30 AND top > 1 AND row_number() OVER (PARTITION BY model ORDER BY quota DESC, o) = 1 THEN quota - 1 ELSE quota END, o

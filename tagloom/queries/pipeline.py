@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
 from tagloom.operators import alignment, bootstrap, injection, inputs, responses, splits
-from tagloom.plans.staging import stage, table
+from tagloom.plans.staging import stage, staged_dir, table
 from tagloom.queries.sql import ALL_EX, ex, ratio, spans_of
+from tagloom.streaming import answers
 
 QUERIES, ORACLES = {}, {}
 
@@ -241,6 +243,15 @@ def _(spark, d):
     return rows.select("idx", F.array_join(F.transform("labels", lambda v: v.cast("string")), " ").alias("labels"))
 
 
+@query("tok01_subwords")
+def _(spark, d):
+    """Labels over the subwords of a public tokenizer instead of the built-in chunks; null without its file."""
+    e = inputs.examples(spark, d, "test").where(F.size("tokens") > 0).select("idx", "tokens", "tags")
+    ids = alignment.tokenizer_word_ids(spark)
+    rows = e.withColumn("word_ids", ids("tokens") if ids else F.lit(None).cast("array<int>"))
+    return rows.select("idx", F.array_join(F.transform(alignment.aligned_labels("word_ids", "tags"), lambda v: v.cast("string")), " ").alias("labels"))
+
+
 @query("tok02_fitted", f"{_PIECES}, n AS (SELECT idx, count(*) + 2 AS n, count(*) FILTER (p <= 255 AND y IN (1, 3)) AS starts FROM pi GROUP BY idx) SELECT idx, CAST(256 AS BIGINT) AS size, starts FROM n")
 def _(spark, d):
     rows = _labels(spark, d).where(F.size("tokens") > 0).withColumn("y", alignment.fitted("labels"))
@@ -415,6 +426,15 @@ def _(spark, d):
     return responses.pending(inputs.examples(spark, d, "test").select("idx"), table(spark, d, "llm_predictions"))
 
 
+@query("llm11_resumed", f"WITH {ex('test')} SELECT idx, true AS parse_ok FROM ex WHERE sequence IS NOT NULL AND idx NOT IN (SELECT idx FROM llm_predictions WHERE idx IS NOT NULL)")
+def _(spark, d):
+    """The open records answered by the rule backend with a checkpoint every 50 records a file."""
+    todo = responses.pending(inputs.examples(spark, d, "test").where("sequence is not null"), table(spark, d, "llm_predictions"))
+    rows = todo.select("idx", "sequence", responses.prompt("sequence").alias("prompt"))
+    done = answers.answer_resumably(rows, responses.rule_backend, f"{staged_dir(spark)}/answers-{uuid.uuid4().hex}")
+    return responses.parsed(done).select("idx", "parse_ok")
+
+
 @query("llm12_canonical", f"WITH {_LLM} SELECT idx, array_to_string(coalesce(predicted_tags, []), ' ') AS pred, array_to_string(coalesce(ner_tags, []), ' ') AS gold, coalesce(parse_ok, false) AS parse_ok FROM l ORDER BY idx")
 def _(spark, d):
     rows = inputs.llm_predictions(spark, d)

@@ -52,5 +52,15 @@ SCORES = (
 )
 
 
+#: Missed and invented spans, and their numbers by bucket.
+ERR = (
+    MATCHED
+    + """, er AS (SELECT m.model, m.idx, CASE WHEN in_gold THEN 'FN_' ELSE 'FP_' END || CASE WHEN label = 'PER' THEN 'PER' ELSE 'EMAIL' END AS error_type, s, e,
+    array_to_string(pred.tokens[s + 1:e], ' ') AS text, array_to_string(pred.tokens, ' ') AS tokens FROM m JOIN pred USING (model, idx) WHERE in_gold <> in_pred),
+  bk AS (SELECT model, count(*) FILTER (error_type = 'FN_PER') AS fn_per, count(*) FILTER (error_type = 'FN_EMAIL') AS fn_email, count(*) FILTER (error_type = 'FP_PER') AS fp_per,
+    count(*) FILTER (error_type = 'FP_EMAIL') AS fp_email, count(*) AS total_errors FROM er GROUP BY model)"""
+)
+
+
 def ratio(a: str, b: str) -> str:
     return f"round(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END, 6)"

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 EXAMPLE = "lang string, sequence string, tokens array<string>, ner_tags array<string>"
 
 
@@ -34,11 +37,30 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_jsonl_split(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed lines)."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
-    return parsed.where(~bad).select("r.*").drop("_corrupt_record"), parsed.where(bad).select(F.col("value").alias("line"))
+    """(rows, malformed lines with ``file`` and ``line_no`` from 1); blank lines count as lines and are neither.
+
+    Files are split among tasks; a line's number is its place in its block plus the lines of the blocks before, so only
+    one row for each block goes through a window.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    parsed = lines.where(F.trim("value") != "").select("*", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}).alias("r"))
+    is_bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bad = parsed.where(is_bad).select("file", "block", "at", F.col("value").alias("line")).join(blocks.withColumn("before", before), ["file", "block"])
+    return parsed.where(~is_bad).select("r.*").drop("_corrupt_record"), bad.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
+
+
+def warn_malformed(bad: DataFrame, shown: int = 20) -> int:
+    """Logs how many lines are malformed and the first ``shown`` of them; returns the number."""
+    n = bad.count()
+    if n:
+        log.warning("%d malformed lines", n)
+        for r in bad.orderBy("file", "line_no").limit(shown).collect():
+            log.warning("%s:%d: %s", r.file, r.line_no, r.line[:200])
+    return n
 
 
 def read_any_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.plans.staging import few
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One object a line; the commit protocol publishes the folder as a whole."""
@@ -27,16 +29,29 @@ def read_sheet(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("emptyValue", "").option("nullValue", "\u0000").csv(path, sep="\t", header=True)
 
 
+#: A report is a document of a few rows; a longer table is an error here and belongs in ``write_jsonl``.
+REPORT_ROWS = 10_000
+
+
 def write_report(df: DataFrame, path: str) -> dict:
-    """A report of a few rows as one JSON file, replaced in one step."""
-    rows = [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2, default=str)
-    os.replace(path + ".tmp", path)
+    """A report of a few rows as one JSON array file on any file system, replaced in one step."""
+    rows = [r.asDict(recursive=True) for r in few(df, REPORT_ROWS, "report")]
+    write_text(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2, default=str))
     return {"rows": len(rows), "path": path}
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file with ``text``; readers see the old content or the new one."""
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs_ = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs_.create(part, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs_.delete(target, False)
+    fs_.rename(part, target)
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """SHA-256 of each file, read in blocks, so that a file may be larger than memory."""
     for b in batches:

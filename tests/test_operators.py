@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
-from tagloom.operators import alignment, bootstrap, errors, injection, masking, metrics, responses, splits, validation
+from tagloom.operators import alignment, bootstrap, errors, injection, masking, metrics, reports, responses, splits, validation
 from tagloom.plans.numbering import numbered
 from tagloom.sources import readers, sinks
 
@@ -285,15 +285,85 @@ def test_stream_resumes(spark, tmp_path):
     from tagloom.streaming import scorer
 
     src, out, at = (str(tmp_path / x) for x in ("src", "out", "at"))
-    rows = spark.createDataFrame([("m", 1, ["a"], "a", ["B-PER"], ["B-PER"])], scorer.PREDICTION)
+    rows = spark.createDataFrame([("m", 1, ["a"], "a", ["B-PER"], ["B-PER"], None)], scorer.PREDICTION)
     rows.write.parquet(src)
     scorer.run_incremental(spark, src, out, at)
-    rows.withColumn("pred_tags", F.array(F.lit("O"))).write.mode("append").parquet(src)
+    rows.withColumns({"idx": F.lit(2).cast("long"), "pred_tags": F.array(F.lit("O"))}).write.mode("append").parquet(src)
     scorer.run_incremental(spark, src, out, at)
     r = scorer.running_scores(spark, out).first()
     assert (r.tp, r.fp, r.fn) == (1, 0, 1)
 
 
+def test_answers_resume(spark, tmp_path):
+    from tagloom.streaming import answers
+
+    rows = spark.range(120).select(F.col("id").alias("idx"), F.format_string("Sentence: Ann Lee %d", "id").alias("prompt"))
+    asked = str(tmp_path / "asked")
+
+    def backend(prompts):  # notes what it is asked, and breaks off at one prompt until a file exists
+        import os
+
+        for p in prompts:
+            if p.endswith(" 119") and not os.path.exists(asked + ".go"):
+                raise ValueError("backend is gone")
+        with open(asked, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        return responses.rule_backend(prompts)
+
+    ordered = rows.coalesce(1).sortWithinPartitions("idx")
+    with pytest.raises(Exception, match="backend is gone"):
+        answers.answer_resumably(ordered, backend, str(tmp_path / "run"), 50, 1)
+    before = set(open(asked).read().split("\n"))
+    (tmp_path / "asked.go").write_text("")
+    (tmp_path / "asked").write_text("")
+    done = answers.answer_resumably(ordered, backend, str(tmp_path / "run"), 50, 1)
+    assert done.count() == 120 and done.where("raw_response like '%Ann Lee%'").count() == 120
+    again = {x for x in open(asked).read().split("\n") if x}
+    assert len(before) > 100 and again and not again & before
+    assert answers.answer_resumably(rows.limit(0), responses.rule_backend, str(tmp_path / "none")).count() == 0
+
+
+def test_refusals(spark, tmp_path):
+    df = spark.createDataFrame([("Hello world", ["Hello", "world"], ["O"])], "sequence string, tokens array<string>, pred array<string>").withColumn("pred_spans", bio.spans("pred"))
+    with pytest.raises(PySparkException, match="tags length 1 != tokens length 2"):
+        masking.masked(df).collect()
+    assert masking.masked(df, strict=False).first().masked == "Hello world"
+    scores = lambda n: spark.range(n).select(F.col("id").alias("idx"), F.lit(0.5).alias("f1"))
+    with pytest.raises(ValueError, match="unequal number: 3 and 2"):
+        bootstrap.strict_pairs(scores(3), scores(2))
+    assert bootstrap.strict_pairs(scores(3), scores(3)).count() == 3
+    with pytest.raises(ValueError, match="over 1000 rows"):
+        reports.markdown_table(spark.range(1001))
+    assert len(reports.ascii_table(spark.range(1000))) == 1001
+    assert reports.bars_svg(spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b<", "x", 0)], "g string, b string, n int"), "g", "b", "n").count("<rect") == 3
+    injection.require_disjoint()
+    with pytest.raises(ValueError, match="pools overlap.*acme.com"):
+        injection.require_disjoint(injection.CONFIG, injection.TEST_CONFIG | {"corporate_domains": ["acme.com"]})
+
+
+def test_malformed_lines_have_numbers(spark, tmp_path, caplog):
+    path = tmp_path / "lines.jsonl"
+    path.write_text("".join('{"lang": \n' if i % 37 == 5 else "\n" if i % 50 == 3 else '{"lang": "en"}\n' for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # the file in several blocks
+    try:
+        _, bad = readers.read_jsonl_split(spark, str(path), "lang string")
+        assert sorted(r.line_no for r in bad.collect()) == [i + 1 for i in range(2000) if i % 37 == 5]
+        assert readers.warn_malformed(bad) == len([i for i in range(2000) if i % 37 == 5]) and "malformed lines" in caplog.text
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from tagloom.plans.staging import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_command_line(capsys):
     from tagloom.__main__ import main
 

@@ -11,7 +11,9 @@ def test_query_equals_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+    df = QUERIES[name](spark, data)
+    # at the smallest scale every record has an answer, so the backend has nothing to do
+    assert len(df.collect()) > 0 or name == "llm10_backend"
 
 
 def test_entry(spark):

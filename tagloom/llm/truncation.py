@@ -1,29 +1,32 @@
 """Problem 8: texts that were cut off.
 
-The prefix self-join finds a cut text whose longer copy exists elsewhere: texts are grouped by a hash
-of a fixed-length prefix, groups with one text drop out, the rest is sorted over the cluster, and a
-text is a strict prefix of some other exactly when it is one of its successor in that order.  Where
-no longer copy was kept (most cuts in practice), the end of the text decides, against statistics of
-all texts:
+First the prefix self-join: a text is cut when it is, without closing dots, a strict prefix of a longer copy that goes
+on in the same line.  Every text sends hashes of its prefixes of 1, 2, 4, ... characters; a group of equal hashes counts
+when it holds two different texts, one of them shorter than twice that prefix.  The texts of such groups are sorted over
+the cluster, and a text is a strict prefix of some other exactly when it is one of its successor in that order.
+
+Where no longer copy was kept (most cuts in practice), the end of the text decides, against statistics of all texts:
 
 * a broken character, a table row without its last bar, an answer whose braces never close;
-* running text, or a labelled line that is usually followed by an answer, without a closing mark, in a source that does set them.  A source that never sets
-  one is told from a source with a field limit by the lengths of its open texts: those of a field
-  limit pile up below one size in characters or bytes.  In a source without marks only an end
-  inside a word or on a word that texts do not end with counts: one that stands inside texts less often
-  than at their end, or that hardly ever stands at an end.  Numbers, and words of scripts that set no
-  blanks between words, are not judged so;
-* dots after the end, unless the phrase before them is a usual way to end (a share of
-  ``USUAL_SHARE`` of all texts that end in dots).
-
-All statistics are over distinct texts, so a text repeated under many ids weighs as one; the verdict
-goes back to each of its ids.
-
-Headings, lists, tables, signatures and the like are recognised by their last line and are whole.
-
-Defined cases: null, empty and blank texts are never cut; a null source is a source of its own;
-repeated texts are cases under each id; a text shorter than ``PREFIX`` takes no part in the self-join;
-an empty table gives no rows.
+* a last line without a closing mark, in a source that does set them.  A source that never sets one is told from a source
+  with a field limit by the lengths of its open texts: those of a field limit pile up below one size in characters or
+  bytes.  In a source without marks only an end inside a word or on a word that sentences do not end with counts: one
+  that stands inside texts less often than at their end, or that hardly ever stands before a closing mark.  Numbers, and
+  words of scripts that set no blanks between words, are not judged so;
+* dots after the end, unless the phrase before them is a usual way to end (a share of ``USUAL_SHARE`` of all texts that
+  end in dots).
+
+A last line without a mark, below other lines, is whole where its layout is one that texts do end with.  The layout of a line is its marks,
+with words and numbers as classes; a layout ends texts when it is one of lists (mostly found inside texts, and a share of
+``LIST_SHARE`` of its uses at an end) or a closing formula (``FORMULA_SHARE`` of all unmarked ends, by two standard
+errors).  A label before a colon that stands before the last line more often than in it is a question without its answer.
+Bullets and signatures are known by their typographic mark.
+
+All statistics are over distinct texts, so a text repeated under many ids weighs as one; the verdict goes back to each of
+its ids.  Whole texts and whole last lines are looked at.
+
+Defined cases: null, empty and blank texts are never cut; a null source is a source of its own; repeated texts are cases
+under each id; texts that differ in blanks around line breaks only are one for the self-join; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +40,21 @@ from pyspark.sql import functions as F
 
 from tagloom.plans.staging import stage, table
 
-PREFIX = 48
 USUAL_SHARE = 0.05
 #: A source with at least so many open texts and no closed one among its running texts sets no marks ...
 UNMARKED_LEAST, UNMARKED_SHARE = 3, 0.03
 #: ... unless this share of its open texts lies within ``NEAR`` of the longest of them.
 PILED_SHARE, NEAR = 0.5, 24
-#: A word may end texts if, of the texts that end with it or have it inside, the share that has it inside lies between these.
-INSIDE_LEAST, INSIDE_MOST = 0.5, 0.998
+#: A word may end texts if at least this share of its texts has it inside ...
+INSIDE_LEAST = 0.5
+#: ... and it stands before a closing mark in more than this share of them (by the rule of three, so rare words may).
+CLOSING_LEAST = 0.001
+#: Layouts of lists stand inside texts in this share of their uses, and at an end in this one.
+INNER_SHARE, LIST_SHARE = 0.5, 0.03
+FORMULA_SHARE = 0.01
+
+#: Bits of the table of words that are looked for.
+WORD_BITS = 1 << 16
 
 _BLANKS = " \t\n\r\f\v\u00a0\u2003\u200b\u3000\ufeff"
 #: Marks that close a sentence, and what may follow them.
@@ -53,24 +63,10 @@ _DOTS = r"(?:\.{3,}|…)[\s\])]*$"
 _WORD = r"[\p{L}\p{N}]+"
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _BROKEN = "\ufffd"
-#: Last lines that are whole without a closing mark.
+#: Typographic marks of last lines that are whole: a bullet or a list number, the dash of a signature.
 _BULLET = r"^\s*(?:[-*•·]|\d+[.)])\s"
-_SIGNED = r"^\s*(?:—|–|--)\s*[^\s-].{0,80}$"
+_SIGNED = r"^\s*(?:—|–|--)\s*[^\s-]"
 _LABEL = r"^\s*(\p{Lu}[\p{L} ]{2,24}):\s+\S+"
-_DATED = r"^[^.!?]{2,60}, \d{1,2} \p{Lu}\p{Ll}+ \d{4}$"
-_LISTED = (
-    r"; tel\. [+(\d]|: [\w.+-]+@[\w.-]+$| [–-] \p{Ll}[\p{Ll} ]+, \p{Lu}|\(\d{4}\)$"
-    r"|^[\p{L} .'’-]{3,60}, (?:(?:Flat|Apt|Unit|Calle|rue) |\d+[a-z]? |\p{Lu}\p{Ll}+(?:weg|straße|gasse) \d)"
-)
-#: Fixed list: words no sentence of the languages at hand ends with.
-OPEN_WORDS = (
-    "a an and as at because beside but by for from had has have if in into is its near nor of on or so than that the their to until was were "
-    "when where which while who whose with although after before neither either not no now "
-    "der die das den dem des ein eine einen einem einer und oder von zu im in mit bei für auf aus nach war wurde "
-    "le la les un une des du de et ou à au aux en par pour avec sur dans fut est près "
-    "el los las y o del al por para con una uno se su "
-    "и в на с от к по из о у для"
-).split()
 
 
 def _trimmed(text: Column, more: str = "") -> Column:
@@ -81,46 +77,57 @@ def _hashes(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
+def layout(line: Column) -> Column:
+    """A line with its words and numbers as classes, repeats once, without blanks."""
+    for pattern, put in ((r"\p{Lu}[\p{L}\p{M}'’]*", "A"), (r"\p{Ll}[\p{L}\p{M}'’]*", "a"), (r"\p{Lo}[\p{L}\p{M}]*", "o"), (r"\p{N}+", "9"), (r"\s+", ""), (r"(.)\1+", "$1")):
+        line = F.regexp_replace(line, pattern, put)
+    return line
+
+
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """What the end of each text that is not blank says."""
+    """What the end of each text that is not blank says; ``line`` is the kind of a last line that its layout decides."""
     rows = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), _trimmed(F.col(text)).alias("whole"),
     ).where("whole <> ''")
     rows = rows.select(
-        "doc_id", "source", "chars", "bytes", F.right("whole", F.lit(200)).alias("tail"), *_hashes("whole"),
-        F.substring_index("whole", "\n", -1).alias("line"),
-        F.substring_index(F.substring_index("whole", "\n", -2), "\n", 1).alias("before"), F.right(_trimmed(F.col("whole"), f".\u2026{_BROKEN}"), F.lit(120)).alias("bare"),
+        "doc_id", "source", "chars", "bytes", *_hashes("whole"), F.substring_index("whole", "\n", -1).alias("line"),
+        F.substring_index(F.substring_index("whole", "\n", -2), "\n", 1).alias("before"), F.split("whole", "\n").alias("lines"),
     )
-    words = F.regexp_extract_all(F.col("bare"), F.lit(_WORD), F.lit(0))
     line = F.col("line")
+    bare = _trimmed(line, f".\u2026{_BROKEN}")
     is_table = line.rlike(r"^\s*\|")
     braces = F.length(line) - F.length(F.translate(line, "{", "")) - (F.length(line) - F.length(F.translate(line, "}", "")))
     has_brace = F.contains(line, F.lit("{"))
-    listed = line.rlike(_BULLET) | line.rlike(_SIGNED) | line.rlike(_DATED) | (line.rlike(_LISTED) & (F.length(line) < 160))
     kind = (
-        F.when(F.endswith("tail", F.lit(_BROKEN)), "broken")
+        F.when(F.endswith("line", F.lit(_BROKEN)), "broken")
         .when(is_table, F.when(line.rlike(r"\|\s*$"), "whole").otherwise("broken"))
         .when(has_brace & (braces != 0), "broken")
         .when(has_brace & F.endswith(line, F.lit("}")), "whole")
-        .when(F.col("tail").rlike(_DOTS), "dots")
-        .when(F.right("tail", F.lit(40)).rlike(_CLOSED), "closed")
-        .when(listed, "whole")
-        .when(line.rlike(_LABEL), "label")
-        .otherwise("open")
+        .when(line.rlike(_DOTS), "dots")
+        .when(line.rlike(_CLOSED), "closed")
+        .when(line.rlike(_BULLET) | line.rlike(_SIGNED), "whole")
+        .when(F.size("lines") == 1, "open")
+        .otherwise("line")
     )
     label = lambda c: F.regexp_extract(c, _LABEL, 1)
+    inner = F.filter(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: (F.trim(x) != "") & ~x.rlike(_CLOSED))
+    # the last three words; from the end, so that the pattern is tried at one place
+    tail = F.reverse(F.regexp_extract(F.reverse(bare), r"^[^\p{L}\p{N}]*+((?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){0,2}+[\p{L}\p{N}]*+)", 1))
+    rows = rows.select("*", kind.alias("kind"), tail.alias("three"), bare.rlike(r"[,;:(–—&/-]\s*$").alias("hangs"))
+    phrase = F.trim(F.regexp_replace("three", r"[^\p{L}\p{N}]+", " "))
     return rows.select(
-        "doc_id", "source", "h1", "h2", "chars", "bytes", kind.alias("kind"),
-        F.element_at(F.when(F.size(words) > 0, words), -1).alias("word"),
-        F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ").alias("phrase"),
-        F.col("bare").rlike(r"[,;:(–—&/-]\s*$").alias("hangs"), label(line).alias("label"), label(F.col("before")).alias("label_before"),
+        "doc_id", "source", "h1", "h2", "chars", "bytes", "kind", "hangs",
+        F.when(F.col("three") != "", F.substring_index(phrase, " ", -1)).alias("word"), F.when(F.col("kind") == "dots", phrase).alias("phrase"),
+        label(line).alias("label"), label(F.col("before")).alias("label_before"),
+        F.when(F.col("kind") == "line", F.xxhash64(layout(line))).alias("layout"), F.array_distinct(F.transform(inner, lambda x: F.xxhash64(layout(x)))).alias("inner"),
     )
 
 
 def distinct_texts(ends: DataFrame) -> DataFrame:
     """The ends without ids, each text once in a source; texts that differ in blanks at the end are one."""
-    return ends.groupBy(*[c for c in ends.columns if c not in ("doc_id", "chars", "bytes")]).agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+    rest = [c for c in ends.columns if c not in ("doc_id", "chars", "bytes", *KEY)]
+    return ends.groupBy(*KEY).agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"), *[F.first(c).alias(c) for c in rest])
 
 
 def source_styles(ends: DataFrame) -> DataFrame:
@@ -139,27 +146,68 @@ def source_styles(ends: DataFrame) -> DataFrame:
     return piled.where(F.col("piled") < PILED_SHARE).select("source", F.lit(True).alias("unmarked"))
 
 
-def with_labels_decided(ends: DataFrame) -> DataFrame:
-    """Texts whose last line has a label are whole where that label closes texts, and open where it mostly stands
-    one line before the end (a question before its answer)."""
-    labelled = ends.where("label <> '' or label_before <> ''").select("h1", "h2", "label", "label_before").distinct()
+def _more(n: Column) -> Column:
+    """A number of cases less two standard errors."""
+    return n - 2 * F.sqrt(n)
+
+
+def closing_layouts(texts: DataFrame) -> DataFrame:
+    """(layout) of the lines that texts end with although they are no sentence; texts: distinct ones."""
+    last = texts.where("kind = 'line'").select("layout", F.lit(0).alias("inside"), F.lit(1).alias("end"))
+    uses = texts.select(F.explode("inner").alias("layout"), F.lit(1).alias("inside"), F.lit(0).alias("end")).unionByName(last)
+    per = uses.groupBy("layout").agg(F.sum("inside").alias("inside"), F.sum("end").alias("end")).where("end > 0")
+    total = last.agg(F.count(F.lit(1)).alias("ends")).withColumn("_one", F.lit(1))
+    n, inside, end = F.col("inside") + F.col("end"), F.col("inside"), F.col("end")
+    is_list = (inside >= INNER_SHARE * n) & (end >= LIST_SHARE * n)
+    is_formula = (inside < INNER_SHARE * n) & (_more(end) >= FORMULA_SHARE * F.col("ends"))
+    return per.withColumn("_one", F.lit(1)).join(total, "_one").where(is_list | is_formula).select("layout")
+
+
+def label_uses(texts: DataFrame) -> DataFrame:
+    """(label, asks, answers): whether a label stands more often one line before the end than in the last line, or clearly less often."""
+    labelled = texts.where("label <> '' or label_before <> ''")
     uses = labelled.select(F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("n")), F.struct(F.col("label_before").alias("l"), F.lit(-1).alias("n")))).alias("u"))
-    closing = uses.where("u.l <> ''").groupBy(F.col("u.l").alias("label")).agg((F.sum("u.n") >= 0).alias("closes"))
-    joined = ends.join(closing, "label", "left")
-    return joined.withColumn("kind", F.when(F.col("kind") == "label", F.when(F.col("closes"), "whole").otherwise("open")).otherwise(F.col("kind"))).drop("closes", "label", "label_before")
+    per = uses.where("u.l <> ''").groupBy(F.col("u.l").alias("label")).agg(F.sum("u.n").alias("more"), F.count(F.lit(1)).alias("n"))
+    return per.select("label", (F.col("more") < 0).alias("asks"), (F.col("more") > 2 * F.sqrt("n")).alias("answers"))
+
+
+def with_lines_decided(texts: DataFrame) -> DataFrame:
+    """The distinct texts with the kind ``line`` decided: ``whole`` or ``open``."""
+    once = texts.dropDuplicates(["h1", "h2"])
+    lines = texts.where("kind = 'line'")
+    # a line without a label gets a key of its own, so that no key is hot
+    key = F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("#"), F.col("h1").cast("string")))
+    lines = lines.withColumn("_label", key).join(label_uses(once).withColumnRenamed("label", "_label"), "_label", "left")
+    lines = lines.join(closing_layouts(once).withColumn("closes", F.lit(True)), "layout", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    kind = F.when(yes("asks"), "open").when(yes("closes") | yes("answers"), "whole").otherwise("open")
+    columns = [c for c in texts.columns if c not in ("label", "label_before", "layout", "inner")]
+    return texts.where("kind <> 'line'").select(*columns).unionByName(lines.withColumn("kind", kind).select(*columns))
 
 
 KEY = ["source", "h1", "h2"]
 
 
 def word_places(docs: DataFrame, ends: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n_ends, n_inside) of the words asked for: the distinct texts that end with it, and those that have it before their end."""
+    """(word, n_ends, n_inside, n_closing) of the words asked for: the distinct texts that end with it, that have it before
+    their end, and that have it before a closing mark."""
     n_ends = ends.select("h1", "h2", "word").distinct().join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
+    longs = [0] * (WORD_BITS // 64)
+    for r in words.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BITS)).alias("b")).distinct().collect():  # at most WORD_BITS rows
+        longs[r.b // 64] |= 1 << r.b % 64
+    bits = F.from_json(F.lit(str([x - (1 << 64) if x >> 63 else x for x in longs])), "array<bigint>")
     texts = docs.select(_trimmed(F.col(text)).alias("whole")).where("whole <> ''").select(*_hashes("whole"), "whole").dropDuplicates(["h1", "h2"])
-    found = texts.select(F.regexp_extract_all("whole", F.lit(_WORD), F.lit(0)).alias("w"))
-    inside = found.select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))).alias("word"))
-    n_inside = inside.join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_inside"))
-    return n_ends.join(n_inside, "word", "left").select("word", "n_ends", F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
+    before_mark = r"([\p{L}\p{N}]++)[\"'”’»)\]」』]*+[.!?。！？]"
+    found = texts.select(F.regexp_extract_all("whole", F.lit(_WORD), F.lit(0)).alias("w"), F.regexp_extract_all("whole", F.lit(before_mark), F.lit(1)).alias("c"))
+    # a bitmap of fixed size keeps most other words out of the explosion; the join below is exact
+    may = lambda w: F.getbit(F.get(bits, (F.pmod(F.xxhash64(w), F.lit(WORD_BITS)) / 64).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
+    inside = F.array_distinct(F.filter(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), may))
+    closing = F.array_distinct(F.filter("c", may))
+    tagged = lambda a, c: F.transform(a, lambda w: F.struct(w.alias("word"), F.lit(c).alias("closing")))
+    # the outer form, for the inner one puts a filter with a copy of the whole expression below the projection
+    uses = found.select(F.explode_outer(F.concat(tagged(inside, False), tagged(closing, True))).alias("u")).where("u is not null").select("u.*")
+    n_uses = uses.join(words, "word", "left_semi").groupBy("word").agg(F.count_if(~F.col("closing")).alias("n_inside"), F.count_if("closing").alias("n_closing"))
+    return n_ends.join(n_uses, "word", "left").na.fill(0, ["n_inside", "n_closing"])
 
 
 def cut_by_ending(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -173,7 +221,7 @@ def cut_by_ending(docs: DataFrame, ends: DataFrame) -> DataFrame:
         .select("phrase", F.lit(True).alias("usual"))
     )
     opened = stage(ends.where(F.col("kind") == "open").join(source_styles(ends), "source", "left"), "p8-open")
-    odd = F.col("hangs") | F.lower("word").isin(OPEN_WORDS)
+    odd = F.col("hangs")
     shown = (
         ends.where(F.col("kind") == "broken").select(*KEY)
         .unionByName(dots.join(usual, "phrase", "left").where(F.col("usual").isNull()).select(*KEY))
@@ -184,75 +232,97 @@ def cut_by_ending(docs: DataFrame, ends: DataFrame) -> DataFrame:
     words = stage(unsure.select("word").distinct(), "p8-words")
     if words.isEmpty():
         return shown
-    share = F.col("n_inside") / (F.col("n_inside") + F.col("n_ends"))
-    fragments = word_places(docs, ends, words).where((share < INSIDE_LEAST) | (share > INSIDE_MOST))
-    return shown.unionByName(unsure.join(fragments, "word", "left_semi").select(*KEY))
+    inside, closing = F.col("n_inside"), F.col("n_closing") + 3
+    fragment = (inside < INSIDE_LEAST * (inside + F.col("n_ends"))) | (closing < CLOSING_LEAST * inside)
+    return shown.unionByName(unsure.join(word_places(docs, ends, words).where(fragment), "word", "left_semi").select(*KEY))
 
 
-MARKS = "h1 long, h2 long, part int, role string, text string"
+# ---------------------------------------------------------------- prefix self-join
 
+MARKS = "b1 long, b2 long, inline boolean, part int, role string, text string"
+#: Stands for a line break; it sorts last, so a copy that goes on in the same line comes first.
+BREAK = "\U0010ffff"
+_LINE_BREAK = r"(?<![ \t])[ \t]*+\n\s*+"
 
-def _mark(role: str, part: int, keys: list, texts: list) -> pd.DataFrame:
-    h1, h2 = zip(*keys) if keys else ((), ())
-    return pd.DataFrame({"h1": pd.Series(h1, dtype="object"), "h2": pd.Series(h2, dtype="object"), "part": part, "role": role, "text": pd.Series(texts, dtype="object")})
+
+def _mark(role: str, part: int, keys: list, texts: list, inline: list) -> pd.DataFrame:
+    b1, b2 = zip(*keys) if keys else ((), ())
+    return pd.DataFrame({"b1": pd.Series(b1, dtype="object"), "b2": pd.Series(b2, dtype="object"), "inline": pd.Series(inline, dtype="object"), "part": part, "role": role, "text": pd.Series(texts, dtype="object")})
 
 
 def _strict_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted distinct texts: ``found``, the ones that are a prefix of the next; ``head`` and ``tail`` of the partition."""
+    """Of sorted texts: ``found``, the ones that are a strict prefix of the next; ``head`` and ``tail`` of the partition."""
     part = TaskContext.get().partitionId()
     text, key = None, None
     for b in batches:
-        found = []
-        for k, t in zip(zip(b["h1"], b["h2"]), b["text"]):
+        found, inline = [], []
+        for k, t in zip(zip(b["b1"], b["b2"]), b["text"]):
             if text is None:
-                yield _mark("head", part, [k], [t])
+                yield _mark("head", part, [k], [t], [None])
             elif t.startswith(text) and t != text:
                 found.append(key)
+                inline.append(t[len(text)] != BREAK)
             text, key = t, k
-        yield _mark("found", part, found, [None] * len(found))
+        yield _mark("found", part, found, [None] * len(found), inline)
     if text is not None:
-        yield _mark("tail", part, [key], [text])
+        yield _mark("tail", part, [key], [text], [None])
+
+
+def _bare(text: str) -> Column:
+    return _trimmed(F.col(text), f".\u2026{_BROKEN}")
+
+
+def prefix_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, b1, b2, prefixes): two hashes of the text without closing dots, and those of its first 1, 2, 4, ... characters."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''")
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.length("text"))) - 1)
+    prefixes = F.transform(steps, lambda k: F.xxhash64(k, F.left(F.col("text"), F.pow(F.lit(2), k).cast("int"))))
+    return rows.select("doc_id", F.xxhash64("text").alias("b1"), F.xxhash64(F.lit(1), "text").alias("b2"), prefixes.alias("prefixes"))
 
 
 def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id) of the texts that, without closing dots, are a strict prefix of another text.
+    """(doc_id, inline) of the texts that, without closing dots, are a strict prefix of another text; ``inline``: a copy goes on in the same line.
 
-    Equal texts go through the sort once; their ids are joined at the end.
+    Only numbers are shuffled to find the groups; of the texts in groups each distinct one goes through the sort once.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), _trimmed(F.col(text), f".\u2026{_BROKEN}").alias("text")).where(F.length("text") >= PREFIX)
-    rows = rows.withColumns({"h": F.xxhash64(F.left("text", F.lit(PREFIX))), "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    several = rows.groupBy("h").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("h")
-    rows = rows.join(several, "h", "left_semi")
-    distinct = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
-    marks = stage(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
+    keys = stage(prefix_keys(docs, key, text), "p8-prefix-keys")
+    each = keys.select("doc_id", "b1", "b2", F.size("prefixes").alias("n"), F.posexplode_outer("prefixes").alias("k", "h"))
+    groups = each.groupBy("h").agg(F.min("b1").alias("a"), F.max("b1").alias("z"), F.max(F.col("k") == F.col("n") - 1).alias("own")).where("a <> z and own").select("h")
+    chosen = each.join(groups, "h", "left_semi").groupBy("b1", "b2").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''").join(chosen, "doc_id").select("b1", "b2", "text")
+    marks = stage(texts.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
     # the last text of a partition against the first one of the next: two rows for each partition
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
-    edges = marks.where("role in ('head', 'tail')").groupBy("part").agg(of("head", "text").alias("head"), of("tail", "text").alias("tail"), of("tail", "h1").alias("h1"), of("tail", "h2").alias("h2"))
-    after = edges.withColumn("next", F.lead("head").over(Window.orderBy("part"))).where(F.startswith("next", "tail")).select("h1", "h2")
-    found = marks.where("role = 'found'").select("h1", "h2").unionByName(after)
-    return rows.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left_semi").select("doc_id")
+    edges = marks.where("role in ('head', 'tail')").groupBy("part").agg(of("head", "text").alias("head"), of("tail", "text").alias("tail"), of("tail", "b1").alias("b1"), of("tail", "b2").alias("b2"))
+    after = edges.withColumn("next", F.lead("head").over(Window.orderBy("part"))).where(F.startswith("next", "tail") & (F.col("next") != F.col("tail")))
+    after = after.select("b1", "b2", (F.substring("next", F.length("tail") + 1, F.lit(1)) != BREAK).alias("inline"))
+    found = marks.where("role = 'found'").select("b1", "b2", "inline").unionByName(after)
+    return keys.select("doc_id", "b1", "b2").join(found, ["b1", "b2"]).select("doc_id", "inline")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """(doc_id) of the texts that were cut off."""
+    """(doc_id, by_prefix, by_end) of the texts that were cut off, and what shows it: a longer copy, the end of the text."""
     ends = stage(described(docs), "p8-ends")
-    texts = stage(with_labels_decided(distinct_texts(ends)), "p8-kinds")
+    texts = stage(with_lines_decided(distinct_texts(ends)), "p8-kinds")
     ids = ends.select("doc_id", *KEY)
-    unfinished = ids.join(prefix_of_longer(docs), "doc_id", "left_semi").join(texts.where(F.col("kind").isin("open", "dots")), KEY, "left_semi")
-    return ids.join(cut_by_ending(docs, texts), KEY, "left_semi").unionByName(unfinished).select("doc_id").distinct()
+    longer = prefix_of_longer(docs).where("inline").select("doc_id").distinct()
+    unfinished = ids.join(longer, "doc_id", "left_semi").join(texts.where("kind <> 'closed'"), KEY, "left_semi")
+    shown = ids.join(cut_by_ending(docs, texts), KEY, "left_semi")
+    both = unfinished.select("doc_id", F.lit(True).alias("by_prefix"), F.lit(False).alias("by_end")).unionByName(shown.select("doc_id", F.lit(False).alias("by_prefix"), F.lit(True).alias("by_end")))
+    return both.groupBy("doc_id").agg(F.max("by_prefix").alias("by_prefix"), F.max("by_end").alias("by_end"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id) of the documents whose text was cut."""
-    return truncated(table(spark, sf_dir, "documents"))
+    return truncated(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, documents, cut, cut_share) of each source; blank texts count as documents."""
+    """(source, documents, cut, cut_share, by_prefix, by_end) of each source; blank texts count as documents.  ``by_prefix``
+    and ``by_end`` tell how many of the cut texts each way shows."""
     docs = table(spark, sf_dir, "documents")
-    cut = truncated(docs).withColumn("cut", F.lit(1))
     return (
-        docs.select("doc_id", "source").join(cut, "doc_id", "left").groupBy("source")
-        .agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("cut", F.lit(0))).alias("cut"))
+        docs.select("doc_id", "source").join(truncated(docs).withColumn("cut", F.lit(1)), "doc_id", "left").groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("cut", F.lit(0))).alias("cut"), F.count_if("by_prefix").alias("by_prefix"), F.count_if("by_end").alias("by_end"))
         .withColumn("cut_share", F.round(F.col("cut") / F.col("documents"), 6))
     )

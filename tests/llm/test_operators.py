@@ -333,11 +333,37 @@ def test_truncated(spark, tmp_path):
 def test_prefixes(spark, tmp_path):
     base = "the quick brown fox jumps over the lazy dog and runs far away into the woods"
     docs = cut_docs(spark, [(base[:60], "a"), (base, "a"), (base[:55], "b"), (base[:60], "c"), (base.upper(), "a"), (base[:20], "a"), (None, "a")])
-    assert sorted(x.doc_id for x in truncation.prefix_of_longer(docs).collect()) == [0, 2, 3]
+    assert sorted(x.doc_id for x in truncation.prefix_of_longer(docs).collect()) == [0, 2, 3, 5]  # short texts too
     e = folder(spark, tmp_path, documents=cut_docs(spark, []))
     assert truncation.p8_found(spark, e).count() == 0
 
 
+def test_copies_that_go_on(spark, tmp_path):
+    """A longer copy shows a cut where it goes on in the same line; behind a line break it shows nothing."""
+    base = "A list of the boats\n* Anna\n* Bel"
+    docs = cut_docs(spark, [(base + "a of Ostham", "a"), (base, "b"), (base + " \n* Cy", "b"), ("A list of the boats", "c"), ("* Anna", "d"), (WHOLE, "e"), (WHOLE + " Then it was found.", "e")])
+    got = {x.doc_id: x.inline for x in truncation.prefix_of_longer(docs).collect()}
+    assert got == {1: True, 3: False, 5: True}
+    d = folder(spark, tmp_path, documents=docs)
+    found = [x.doc_id for x in truncation.p8_found(spark, d).collect()]
+    assert 1 in found and 5 not in found and 0 not in found
+    report = {x.source: (x.documents, x.by_prefix) for x in truncation.p8_report(spark, d).collect()}
+    assert report["b"] == (2, 1) and report["e"] == (2, 0)
+
+
+def test_layouts_that_end_texts(spark, tmp_path):
+    """Layouts of lists and closing formulas are learnt; a heading, which stands inside texts only, is none."""
+    r = random.Random(2)
+    name = lambda: r.choice("ABCDEFGH") + "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(f"{WHOLE} {name()} saw it.\n" + "\n".join(f"{name()} {name()} => {r.randint(1, 99)}, {name()}" for _ in range(5)), "a") for _ in range(30)]
+    items += [(f"{WHOLE} {name()} saw it.\n\n{name()} on {r.randint(1, 28)} {name()} {r.randint(1800, 1999)}", "a") for _ in range(30)]
+    items += [(f"Names in {name()} and the towns nearby\n{WHOLE} {name()} saw it.", "a") for _ in range(60)]
+    whole = len(items)
+    items += [(f"{WHOLE} {name()} saw it. Then {' '.join(r.choice([name(), 'and', 'the keeper,', '12', '(of old)', '; so']) for _ in range(12))} went", "a") for _ in range(10)] + [("Names in Ostham and the towns nearby", "a")]
+    d = folder(spark, tmp_path, documents=cut_docs(spark, items))
+    assert sorted(x.doc_id for x in truncation.p8_found(spark, d).collect()) == [*range(whole, len(items))]
+
+
 def test_prefixes_against_brute_force(spark):
     r = random.Random(5)
     texts = []

@@ -4,16 +4,18 @@ Words are cut by the tokenizer's public pattern.  Ranked merges are folded with
 functions over the byte pieces (hex pairs) of each distinct word, with the ranks as one literal
 map, split into buckets because Spark scans a map from its start.  The encodings of the most
 frequent words become a second literal; a document looks its words up there and folds the rest in
-place, so the documents themselves are never shuffled.
+place, so the documents themselves are never shuffled and are read twice: for the words and for the ids.
 
-Defined cases: a null and an empty text have the empty list.  Texts that hold an unbroken run of
-over ``LONG_RUN`` characters are encoded by the tokenizer library in Arrow batches, since the fold is
-quadratic in the length of one word; the ids are the same.
+The fold is quadratic in the length of one word.  Words of ``LONG_WORD`` characters and more are merged by the
+same ranks with a heap, in Arrow batches that hold these words only; the ranks travel there as a broadcast.
+
+Defined cases: a null and an empty text have the empty list.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -30,7 +32,8 @@ WORD_PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-LONG_RUN = 1000
+#: Words from this length on are merged with a heap instead of the fold; the ids are the same.
+LONG_WORD = 256
 RANK_BUCKETS = 16384
 #: The cache of encoded words: a bound on what a task carries, not on what is encoded.
 CACHE_WORDS = 65536
@@ -116,35 +119,57 @@ def words_of(text: Column) -> Column:
 
 
 def has_long_run(text: Column) -> Column:
-    """Whether a word of over ``LONG_RUN`` characters is possible: a stretch without a plain blank, or one of blanks alone."""
-    stretch = F.exists(F.split(text, " "), lambda x: F.length(x) >= LONG_RUN) | F.contains(text, F.lit(" " * LONG_RUN))
-    return (F.length(text) >= LONG_RUN) & stretch
-
-
-def _library_encoding(path: str):
-    import tiktoken
-
-    return tiktoken.Encoding(
-        "own", mergeable_ranks=read_ranks(path), special_tokens={},
-        pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    )
-
-
-def _encode_long(path: str, key: str, counts: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = None
-        for batch in batches:
-            encoding = encoding or _library_encoding(path)
-            ids = [encoding.encode_ordinary(t) for t in batch["text"]]
-            yield pd.DataFrame({key: batch[key], "out": [len(x) for x in ids] if counts else ids})
-
-    return run
+    """Whether a word of ``LONG_WORD`` characters is possible: a stretch without a plain blank, or one of blanks alone."""
+    stretch = F.exists(F.split(text, " "), lambda x: F.length(x) >= LONG_WORD - 1) | F.contains(text, F.lit(" " * (LONG_WORD - 1)))
+    return (F.length(text) >= LONG_WORD) & stretch
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word by ranked merges with a heap: the pair of lowest rank first, the leftmost of equal ones."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    end = list(range(1, n + 1))  # where the piece that starts here ends; 0 where none starts
+    before = list(range(-1, n - 1))  # the start of the piece before
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        mid = end[i]
+        if not mid or mid >= n or end[mid] != stop:
+            continue  # one of the two pieces has changed
+        end[i], end[mid] = stop, 0
+        if stop < n:
+            before[stop] = i
+            r = ranks.get(word[i : end[stop]])
+            if r is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        p = before[i]
+        if p >= 0:
+            r = ranks.get(word[p:stop])
+            if r is not None:
+                heapq.heappush(heap, (r, p, stop))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return ids
+
+
+def _long_words(ranks):
+    """A function of an array of words: the ids of each; null stays null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if x is None else [merged(w.encode("utf-8"), ranks.value) for w in x] for x in b], dtype="object")
+
+    return F.pandas_udf(run, "array<array<int>>")
 
 
 def _cached_words(docs: DataFrame, ranks: Column, counts: bool, cache_words: int) -> tuple[Column, bool]:
     """The literal cache of the most frequent words of all documents; ties by the word."""
     top = (
-        docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+        docs.select(F.explode_outer(words_of(F.col("text"))).alias("word")).where((F.col("word") != "") & (F.length("word") < LONG_WORD))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "word")
@@ -161,28 +186,27 @@ def _cached_words(docs: DataFrame, ranks: Column, counts: bool, cache_words: int
 
 
 def _encode(docs: DataFrame, key: str, text: str, path: str, counts: bool, cache_words: int) -> DataFrame:
-    ranks = rank_literal(read_ranks(path))
-    docs = docs.select(F.col(key), F.col(text).alias("text"))
-    blank = F.col("text").isNull() | (F.col("text") == "")
-    is_long = ~blank & has_long_run(F.col("text"))
-    short = docs.where(~blank & ~has_long_run(F.col("text")))
-    cache, any_word = _cached_words(short, ranks, counts, cache_words)
-
-    def one(word: Column, r: Column) -> Column:
-        ids = fold_merges(word, r)
-        fresh = F.size(ids) if counts else ids
-        return F.coalesce(_find(cache, _cache_bucket(word), word), fresh) if any_word else fresh
-
-    each = _let(ranks, lambda r: F.transform(words_of(F.col("text")), lambda word: one(word, r)))
-    done = F.aggregate(each, F.lit(0), lambda a, x: a + x) if counts else F.flatten(each)
+    table_ = read_ranks(path)
+    ranks = rank_literal(table_)
+    docs = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    cache, any_word = _cached_words(docs, ranks, counts, cache_words)
+    is_long = lambda w: F.length(w) >= LONG_WORD
+    long_words = F.when(has_long_run(F.col("text")), F.array_distinct(F.filter(words_of(F.col("text")), is_long)))
+    docs = docs.withColumn("_long", long_words)
+    docs = docs.withColumn("_merged", _long_words(docs.sparkSession.sparkContext.broadcast(table_))("_long"))
     kind = "int" if counts else "array<int>"
-    empty = F.lit(0) if counts else F.array().cast(kind)
-    key_type = docs.schema[key].dataType.simpleString()
-    return (
-        docs.where(blank).select(key, empty.alias("out"))
-        .unionByName(short.select(key, done.alias("out")))
-        .unionByName(docs.where(is_long).mapInPandas(_encode_long(path, key, counts), f"`{key}` {key_type}, out {kind}"))
-    )
+
+    def one(word: Column, r: Column, known: Column) -> Column:
+        size = (lambda ids: F.size(ids)) if counts else (lambda ids: ids)
+        ids = size(fold_merges(word, r))
+        if any_word:
+            ids = F.coalesce(_find(cache, _cache_bucket(word), word), ids)
+        return F.when(is_long(word), size(F.get(known["ids"], F.array_position(known["words"], word).cast("int") - 1))).otherwise(ids)
+
+    both = F.struct(F.col("_long").alias("words"), F.col("_merged").alias("ids"))
+    each = _let(ranks, lambda r: _let(both, lambda known: F.transform(words_of(F.col("text")), lambda word: one(word, r, known))))
+    done = F.aggregate(each, F.lit(0), lambda a, x: a + x) if counts else F.flatten(each)
+    return docs.select(key, F.when(F.col("text") == "", F.lit(0) if counts else F.array().cast(kind)).otherwise(done).alias("out"))
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, cache_words: int = CACHE_WORDS) -> DataFrame:
@@ -209,3 +233,18 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -> D
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by ``byte_bpe_50k``."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of every document, encoded and decoded again; a null text comes back empty."""
+    return decode(p6_ids(spark, sf_dir))
+
+
+def p6_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, chars, long_documents, long_words, long_chars): how much of the corpus lies in words of ``LONG_WORD`` characters and more."""
+    text = F.coalesce("text", F.lit(""))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.length(text).alias("n"), F.when(has_long_run(text), F.filter(words_of(text), lambda w: F.length(w) >= LONG_WORD)).alias("w"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chars"), F.count_if(F.size("w") > 0).alias("long_documents"),
+        F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.size("w"))), F.lit(0)).alias("long_words"), F.coalesce(F.sum(F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x))), F.lit(0)).alias("long_chars"),
+    )

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.bpe import token_counts
 from tagloom.llm.ranking import ranked
-from tagloom.plans.staging import stage, table
+from tagloom.plans.staging import few, stage, table
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -151,12 +151,19 @@ def _place(table_: pd.DataFrame):
 PACKED = "container_id long, doc_id long, piece_no int, start_token int, n_tokens int"
 
 
+#: Pieces of one size that are ranked together; a size with more is cut into slices.
+SLICE_ROWS = 100_000
+LIMITS = 1000
+
+
 def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """(container_id, doc_id, piece_no, start_token, n_tokens) for documents (doc_id, n_tokens)."""
     items = pieces(sizes, capacity)
     histogram = items.where("size > 0").groupBy("size").count().toPandas()  # at most ``capacity`` rows
-    where = places(plan(dict(zip(histogram["size"].tolist(), histogram["count"].tolist())), capacity))
-    placed = ranked(items.where("size > 0"), ["size"], ["doc_id", "piece_no"], 64).mapInPandas(_place(where), PACKED)
+    counts = dict(zip(histogram["size"].tolist(), histogram["count"].tolist()))
+    where = places(plan(counts, capacity))
+    slices = F.from_json(F.lit(str([-(-counts.get(s, 1) // SLICE_ROWS) for s in range(max(counts, default=0) + 1)])), "array<int>")
+    placed = ranked(items.where("size > 0"), ["size"], ["doc_id", "piece_no"], F.get(slices, F.col("size"))).mapInPandas(_place(where), PACKED)
     empty = items.where("size = 0").select(F.lit(0).cast("long").alias("container_id"), "doc_id", "piece_no", "start_token", F.col("size").alias("n_tokens"))
     return placed.unionByName(empty)
 
@@ -164,7 +171,7 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(limit_name, container_id, doc_id, piece_no, start_token, n_tokens) of every document under every limit."""
     sizes = stage(token_counts(table(spark, sf_dir, "documents")), "p7-sizes")
-    limits = table(spark, sf_dir, "pack_limits").where("capacity_tokens > 0").orderBy("limit_name").collect()  # three rows, fixed
+    limits = few(table(spark, sf_dir, "pack_limits").where("capacity_tokens > 0").orderBy("limit_name"), LIMITS, "limits")  # each is a plan of its own
     parts = [pack(sizes, r["capacity_tokens"]).select(F.lit(r["limit_name"]).alias("limit_name"), "*") for r in limits]
     if not parts:
         return spark.createDataFrame([], f"limit_name string, {PACKED}")
@@ -172,8 +179,29 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(limit_name, containers, tokens, unused_share) of each limit."""
+    """(limit_name, containers, tokens, unused_share, least_containers) of each limit; no packing needs fewer than ``least_containers``."""
     capacity = table(spark, sf_dir, "pack_limits")
     used = p7_packed(spark, sf_dir).groupBy("limit_name").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     unused = 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
-    return used.join(F.broadcast(capacity), "limit_name").select("limit_name", "containers", "tokens", F.round(unused, 6).alias("unused_share"))
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers")
+    return used.join(capacity, "limit_name").select("limit_name", "containers", "tokens", F.round(unused, 6).alias("unused_share"), least)
+
+
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(limit_name, documents, pieces, over_capacity, wrong_pieces, gaps): each document lies whole in the containers of each limit.
+
+    ``over_capacity`` containers hold too much, ``wrong_pieces`` are pieces of a divided document that are no full ones but
+    the last, ``gaps`` are documents whose pieces do not follow each other; all three are 0.
+    """
+    packed = stage(p7_packed(spark, sf_dir), "p7-packed").join(table(spark, sf_dir, "pack_limits"), "limit_name")
+    over = packed.groupBy("limit_name", "container_id").agg(F.sum("n_tokens").alias("n"), F.max("capacity_tokens").alias("c")).groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("c")).alias("over_capacity"))
+    # the pieces of a document are k full ones and a last one, so their starts and sizes are those of 0 .. k
+    full = (F.col("n_tokens") != F.col("capacity_tokens")).cast("int")
+    docs = packed.groupBy("limit_name", "doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.max("piece_no").alias("last"), F.sum(full).alias("odd"), F.sum(F.col("start_token") - F.col("piece_no") * F.col("capacity_tokens")).alias("off"), F.countDistinct("piece_no").alias("numbers"),
+    )
+    per = docs.groupBy("limit_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("pieces").alias("pieces"), F.count_if(F.col("odd") > 1).alias("wrong_pieces"),
+        F.count_if((F.col("off") != 0) | (F.col("last") + 1 != F.col("pieces")) | (F.col("numbers") != F.col("pieces"))).alias("gaps"),
+    )
+    return per.join(over, "limit_name")

@@ -21,8 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_report": sampling.p5_report,
     "p5_sample": sampling.p5_sample,
     "p6_ids": bpe.p6_ids,
+    "p6_decoded": bpe.p6_decoded,
+    "p6_ways": bpe.p6_ways,
     "p7_packed": packing.p7_packed,
     "p7_report": packing.p7_report,
+    "p7_rules": packing.p7_rules,
     "p8_found": truncation.p8_found,
     "p8_report": truncation.p8_report,
 }
@@ -59,6 +62,7 @@ _PLAN = (
 )
 
 ORACLES: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_report": f"""WITH {_PLAN} SELECT target_set, entity_density_bucket, n_email_spans, s AS sample_rows, wanted, available, taken, CAST(from_siblings AS BIGINT) AS from_siblings, CAST(from_cousins AS BIGINT) AS from_cousins,
       CAST(taken + from_siblings + from_cousins AS BIGINT) AS quota, available >= wanted AS met FROM cou""",
     "p2_found": f"WITH {_KEYED}, m AS (SELECT *, min(id) OVER (PARTITION BY table_name, ks, kt) AS keep_id FROM g) SELECT table_name, keep_id, id AS copy_id FROM m WHERE id <> keep_id",

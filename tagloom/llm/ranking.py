@@ -1,7 +1,8 @@
 """Dense ranks inside groups that may be very large.
 
 A group is cut into slices by a permuted hash of the id; slice sizes give offsets, and only rows of
-one slice are sorted together, so no task ever holds a whole group.
+one slice are sorted together, so no task ever holds a whole group.  ``slices`` is a number or, where the
+sizes of the groups are known, a column that gives large groups more slices.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def permuted(seed: list[Column], ids: list[Column]) -> Column:
     return F.xxhash64(F.lit(20240101), *seed, *ids)
 
 
-def ranked(rows: DataFrame, by: list[str], ids: list[str], slices: int = SLICES, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], ids: list[str], slices: int | Column = SLICES, name: str = "rank") -> DataFrame:
     """``rows`` with a rank from 0 in each group of ``by``, in the permuted order of ``ids``; null groups are groups."""
     order = permuted([F.col(c) for c in by], [F.col(c) for c in ids])
     rows = rows.withColumn("_order", order).withColumn("_slice", F.shiftrightunsigned("_order", 40).cast("int") % slices)

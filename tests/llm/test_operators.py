@@ -255,15 +255,33 @@ def documents(spark, texts):
     return spark.createDataFrame([(i, t, "w", [1], 3) for i, t in enumerate(texts)], "doc_id long, text string, word string, ids array<int>, out int")
 
 
+def library_encoding():
+    import tiktoken
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", mergeable_ranks=bpe.read_ranks(), special_tokens={}, pat_str=pattern)
+
+
 @pytest.mark.parametrize("cache", [2, 65536])
 def test_encoding_round_trip(spark, cache):
-    docs = documents(spark, TEXTS)
-    encoding = bpe._library_encoding(bpe.VOCABULARY)
+    r = random.Random(1)
+    texts = [*TEXTS, "".join(r.choice("abcdefgh0123+/") for _ in range(20_000)), "x" * 255 + " " + "y" * 256 + "  " + "z" * 257, "é" * 400 + "!" * 300, *("".join(r.choice("ab c") for _ in range(300)) for _ in range(20))]
+    docs = documents(spark, texts)
+    encoding = library_encoding()
     got = {x.doc_id: x.ids for x in bpe.encode(docs, cache_words=cache).collect()}
-    assert got == {i: encoding.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
+    assert got == {i: encoding.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
     assert {x.doc_id: x.n_tokens for x in bpe.token_counts(docs, cache_words=cache).collect()} == {i: len(v) for i, v in got.items()}
     back = {x.doc_id: x.text for x in bpe.decode(bpe.encode(docs, cache_words=cache)).collect()}
-    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_heap_equals_fold(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("aàbcdé石'’.") for _ in range(r.randint(1, 60))) for _ in range(200)]
+    ranks = bpe.read_ranks()
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    folded = df.select("w", bpe._let(bpe.rank_literal(ranks), lambda m: bpe.fold_merges(F.col("w"), m)).alias("ids")).collect()
+    assert all(x.ids == bpe.merged(x.w.encode(), ranks) for x in folded)
 
 
 def test_encoding_empty(spark):
@@ -286,7 +304,8 @@ def test_plan_keeps_all_and_fits(seed):
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 100])
-def test_packing(spark, capacity):
+def test_packing(spark, capacity, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 4)
     r = random.Random(capacity)
     sizes = {i: r.choice([0, 0, 1, 2, 5, 7, 33, 34, 50, 51, 99, 100, 101, 250]) for i in range(300)}
     got = packing.pack(spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens int"), capacity).toPandas()
@@ -303,6 +322,8 @@ def test_packing_tables(spark, tmp_path):
     got = packing.p7_packed(spark, d)
     assert got.select("doc_id").distinct().count() == len(TEXTS) and [x.limit_name for x in got.select("limit_name").distinct().collect()] == ["a"]
     assert packing.p7_report(spark, d).first().unused_share < 0.4
+    rules = packing.p7_rules(spark, d).first()
+    assert (rules.documents, rules.over_capacity, rules.wrong_pieces, rules.gaps) == (len(TEXTS), 0, 0, 0)
     e = folder(spark, tmp_path / "e", documents=documents(spark, []), pack_limits=limits)
     assert packing.p7_packed(spark, e).count() == 0
 

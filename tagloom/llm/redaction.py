@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.boosting import BoostedTrees
-from tagloom.llm.lookalike import FULL_WIDTH, repair
+from tagloom.llm.lookalike import FULL_WIDTH, read_as_latin
 from tagloom.plans.staging import table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
@@ -140,7 +140,7 @@ class Pieces:
         self.spans = [m.span() for m in PIECE.finditer(text)]
         self.words = [text[s:e] for s, e in self.spans]
         if _ODD.search(text):  # look-alikes are read as the letters they stand for; places stay those of the text
-            self.words = [_HIDDEN.sub("", repair(w)[1]) or "." for w in self.words]
+            self.words = [_HIDDEN.sub("", read_as_latin(w)) or "." for w in self.words]
         self.low = [w.lower() for w in self.words]
         letters = sum(w[0].isalpha() for w in self.words)
         upper = sum(w[0].isupper() for w in self.words)

@@ -197,19 +197,39 @@ def test_lookalikes(spark, tmp_path):
     mk = lambda items: rows(spark, items)
     d = folder(
         spark, tmp_path, train_injected=mk([{"idx": 1, "tokens": [*SAME, None]}, {"idx": 2, "tokens": odd}, {"idx": 2, "tokens": odd}, {"idx": 3}, {"idx": 4, "tokens": []}]),
-        val_injected=mk([{"idx": 5, "tokens": ["the", "bridge", "cap", "King"]}]), test_injected=mk([]),
+        val_injected=mk([{"idx": 5, "tokens": ["the", "bridge", "cap", "King"]}, {"idx": 6, "sequence": "King Oberon (of old)", "tokens": []}]), test_injected=mk([]),
     )
     got = {tuple(x) for x in lookalike.p4_found(spark, d).collect()}
     assert got == {(2, i) for i in range(len(odd))}
     tokens = {x.idx: x.tokens for x in lookalike.p4_tokens(spark, d).collect()}
-    assert tokens[2] == [ODD[t] for t in odd] and tokens[1] == [*SAME, None] and tokens[3] is None and tokens[4] == []
+    assert tokens[2] == [ODD[t] for t in odd] and tokens[1] == [*SAME, None] and tokens[3] is None and tokens[4] == [] and len(tokens) == 6
 
 
-def test_unknown_short_words_stay(spark):
-    df = rows(spark, [{"idx": 1, "tokens": ["сар", "xа"]}]).select("idx", "tokens")
+@pytest.mark.parametrize("most", [1000, 0])
+def test_dominant_script(spark, tmp_path, monkeypatch, most):
+    """A Cyrillic word with a Latin letter becomes Cyrillic, but imitates no plain text; what the corpus does not have stays."""
+    monkeypatch.setattr(lookalike, "MOST_WORDS", most)
+    tokens = ["гов\u006fрит", "сарсаp", "и\u0306од", "qwеrtz", "x", None]
+    d = folder(spark, tmp_path, train_injected=rows(spark, [{"idx": 1, "tokens": tokens, "sequence": "он говорит"}]), val_injected=rows(spark, [{"idx": 2, "sequence": "capcap"}]), test_injected=rows(spark, []))
+    want = ["говорит", "capcap", "йод", "qwеrtz", "x", None]
+    assert {x.idx: x.tokens for x in lookalike.p4_tokens(spark, d).collect()} == {1: want, 2: None}
+    assert {tuple(x) for x in lookalike.p4_found(spark, d).collect()} == {(1, 1), (1, 2)}
+
+
+def test_unknown_words_stay(spark):
+    df = rows(spark, [{"idx": 1, "tokens": ["сар", "xа", "unknоwn"]}]).select("idx", "tokens", "sequence")
     assert lookalike.repaired(df).count() == 0
 
 
+def test_rows_counted_once(spark):
+    from tagloom.plans.once import once
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "c"), (3, "c")], "k int, v string")
+    for most in (0, 1, 10):
+        assert sorted(tuple(x) for x in once(df, "k", most).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert once(df.limit(0), "k").count() == 0
+
+
 def test_table_of_lookalikes_is_sound():
     assert all(len(k) == 1 and "LATIN" not in unicodedata.name(k) for k in lookalike.TO_LATIN)
 

@@ -14,14 +14,18 @@ bits than the allowed edits can cause (a window is only sent where a bitmap of f
 its middle words as part of a passage); matched intervals are merged into the coverage of the
 evaluation record, and an exact edit distance decides.
 
+Windows that no passage can match are left out by the bitmap, which is exact, so the automata see all of the training
+texts that can matter.  Each shard is read as a stream: its passages first, then its windows in batches, so a task holds
+the passages of one shard and one batch.
+
 Equal texts are one class on either side; they are expanded only in the pairs that come out.  The
 code space bounds every table that is sent to the executors.  A word in many training windows or
 many passages (over ``HOT_WINDOWS``) is spread over a grid of shards: each window goes to one row of the
-grid, each passage to one column.
+grid, each passage to one column.  Two words share a code point with probability 1e-6, which can only make texts seem
+nearer; the pairs that are left are confirmed on the words themselves.
 
 Defined cases: null and empty texts, and texts without any letter or digit, are never cases;
-repeated rows of one id count once; an empty table gives no pairs.  Two words share a code point
-with probability 1e-6; such a pair of words counts as equal.
+repeated rows of one id count once; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.bitmaps import hash_filter, packed
 from tagloom.plans.staging import stage, table
 
 #: A word is a longest run of letters and digits.
@@ -50,8 +55,10 @@ SHARD_WINDOWS = 250_000
 PAIRS_AT_ONCE = 2_000_000
 #: Passages and windows are written in a smaller alphabet of two-byte letters; it only admits candidates.
 LETTERS = 1900
-#: Bits of the table of passage middles: a fixed size, whatever the number of passages.
-BITS = 1 << 22
+#: Bits of the table of passage middles: ``BITS_EACH`` for each passage, between these bounds (32 MB at most).
+BITS_LEAST, BITS_MOST, BITS_EACH = 1 << 22, 1 << 28, 16
+#: Bits of the filters of class ids ahead of joins.
+ID_BITS = 1 << 22
 TIMES = 5  # at most one edit for every TIMES words of the longer text
 
 
@@ -64,26 +71,30 @@ class _Codes(dict):
         return char
 
 
-def encode_words(text: str, codes: dict[str, str]) -> str:
-    return "".join(map(codes.__getitem__, WORD.findall(text.lower())))
-
-
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     codes = _Codes()
     for b in batches:
-        code = [encode_words(t, codes) for t in b["sequence"]]
-        out = pd.DataFrame({"idx": b["idx"], "code": code})
+        words = [" ".join(WORD.findall(t.lower())) for t in b["sequence"]]
+        code = ["".join(map(codes.__getitem__, w.split(" "))) if w else "" for w in words]
+        out = pd.DataFrame({"idx": b["idx"], "code": code, "words": words})
         yield out[out["code"] != ""]
 
 
 def encoded(df: DataFrame) -> DataFrame:
-    """(idx, code) of the rows that have a word."""
-    return df.where(F.col("idx").isNotNull() & (F.col("sequence") != "")).select("idx", "sequence").mapInPandas(_encode, "idx long, code string")
+    """(idx, code, words, h1, h2) of the rows that have a word; ``words`` are joined by blanks, the hashes are theirs."""
+    rows = df.where(F.col("idx").isNotNull() & (F.col("sequence") != "")).select("idx", "sequence").mapInPandas(_encode, "idx long, code string, words string")
+    return rows.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.reverse("words")).alias("h2"))
 
 
 def classes(enc: DataFrame) -> DataFrame:
-    """(cls, code): one row for each distinct text, named by its smallest id."""
-    return enc.groupBy("code").agg(F.min("idx").alias("cls"))
+    """(cls, h1, h2): one row for each distinct text, named by its smallest id; no text is moved."""
+    return enc.groupBy("h1", "h2").agg(F.min("idx").alias("cls"))
+
+
+def of_classes(enc: DataFrame, cls: DataFrame) -> DataFrame:
+    """(cls, code, words, h1, h2) of the classes."""
+    first = enc.join(cls.select(F.col("cls").alias("idx")), "idx", "left_semi")
+    return first.dropDuplicates(["idx"]).withColumnRenamed("idx", "cls")
 
 
 def _points(code: str) -> np.ndarray:
@@ -122,9 +133,9 @@ def _signatures(points: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _middle(left: np.ndarray, at: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _middle(left: np.ndarray, at: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     """Where the bitmap keeps an anchor with its neighbours; -1 stands for a neighbour outside the passage."""
-    return (((left + 2) * 1000003 + (at + 2)) * 1000003 + (right + 2) * 2654435761 >> 9) % BITS
+    return (((left + 2) * 1000003 + (at + 2)) * 1000003 + (right + 2) * 2654435761 >> 9) % bits
 
 
 def passages_of(points: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -140,7 +151,7 @@ def _shard(point: np.ndarray, salt: np.ndarray, column: np.ndarray, shards: int)
     return ((point * 40503 + salt * 2654435761 + column * 805459861) & 0x7FFFFFFF) % shards
 
 
-def _passages(counts, salts):
+def _passages(counts, salts, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n_of, salts_of = counts.value, salts.value
         for b in batches:
@@ -153,16 +164,20 @@ def _passages(counts, salts):
                     p = int(points[at])
                     if n_of[p]:  # a word that no training text has cannot be in a match
                         left, right = int(points[at - 1]) if at > lo else -1, int(points[at + 1]) if at + 1 < hi else -1
-                        mid = int(_middle(np.int64(left), np.int64(p), np.int64(right)))
+                        mid = int(_middle(np.int64(left), np.int64(p), np.int64(right), bits))
                         rows += [(p, s, mid, cls, text[lo:hi], lo, at - lo, m, sig) for s in range(salts_of[p])]
             yield pd.DataFrame(rows, columns=["anchor", "salt", "mid", "ecls", "passage", "lo", "off", "m", "sig"])
 
     return run
 
 
-def _windows(bitmap, columns, salts, shards: int):
+#: Windows and passages of a shard in one form: passages (role 0) come before windows (role 1).
+ROWS = "shard int, role int, cls long, at long, sig long, text string"
+
+
+def _windows(bitmap, bits: int, columns, salts, shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, columns_of, salts_of = np.unpackbits(bitmap.value), columns.value, salts.value
+        may_be, columns_of, salts_of = bitmap.value, columns.value, salts.value
         for b in batches:
             if not len(b):
                 continue
@@ -178,7 +193,8 @@ def _windows(bitmap, columns, salts, shards: int):
             right = np.where(q + 1 < n[r], points[np.minimum(keep + 1, len(points) - 1)], -1)
             may = np.zeros(len(keep), bool)
             for x, y in ((left, right), (left, none), (none, right), (none, none)):
-                may |= bits[_middle(x, p, y)] > 0
+                mid = _middle(x, p, y, bits)
+                may |= (may_be[mid >> 3] >> (mid & 7).astype(np.uint8) & 1).astype(bool)
             r, q, p = r[may], q[may], p[may]
             wide = columns_of[p]  # one copy for each column of the word's grid
             column = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
@@ -188,9 +204,9 @@ def _windows(bitmap, columns, salts, shards: int):
             padded = [gap + letters[e - k : e] + gap for e, k in zip(ends, n.tolist())]
             cls = b["cls"].to_numpy()[r]
             yield pd.DataFrame({
-                "shard": _shard(p, cls % salts_of[p], column, shards).astype(np.int32), "tcls": cls, "at": q << 32 | n[r],
+                "shard": _shard(p, cls % salts_of[p], column, shards).astype(np.int32), "role": np.ones(len(r), np.int32), "cls": cls, "at": q << 32 | n[r],
                 "sig": _signatures(points, row, len(codes))[r],
-                "win": [padded[i][x : x + 2 * REACH + 1] for i, x in zip(r.tolist(), q.tolist())],
+                "text": [padded[i][x : x + 2 * REACH + 1] for i, x in zip(r.tolist(), q.tolist())],
             })
 
     return run
@@ -199,51 +215,73 @@ def _windows(bitmap, columns, salts, shards: int):
 MATCH = "tcls long, ecls long, lo int, hi int, m int"
 
 
-def _matches(_: tuple, win: pd.DataFrame, pas: pd.DataFrame) -> pd.DataFrame:
-    """One shard: an automaton over its passages scans all its windows."""
-    import ahocorasick
-
-    none = pd.DataFrame({"tcls": [], "ecls": [], "lo": [], "hi": [], "m": []}).astype({"tcls": "int64", "ecls": "int64", "lo": "int32", "hi": "int32", "m": "int32"})
-    if not len(win) or not len(pas):
-        return none
-    # the offset of the anchor is part of a passage, for it must fall on the middle of the window
-    pas = pas.assign(size=pas["passage"].str.len())
-    keys, distinct = pd.factorize(pas["passage"])
-    order = np.lexsort((pas["m"], pas["off"], keys))
-    pas, keys = pas.iloc[order], keys[order]
-    group = keys.astype(np.int64) * WIDTH + pas["off"].to_numpy()
-    groups, first, size = np.unique(group, return_index=True, return_counts=True)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, text in enumerate(distinct):
-        automaton.add_word(text, i)
-    automaton.make_automaton()
-    length = np.array([len(x) for x in distinct])
-    hits = np.fromiter((x for hit in automaton.iter(PAD.join(win["win"]) + PAD) for x in hit), np.int64).reshape(-1, 2)
-    if not len(hits):
-        return none
-    w = hits[:, 0] // WIDTH
-    off = REACH - (hits[:, 0] % WIDTH - length[hits[:, 1]] + 1)
-    g = hits[:, 1] * WIDTH + off
-    at = np.minimum(np.searchsorted(groups, g), len(groups) - 1)
-    ok = (off >= 0) & (groups[at] == g)
-    w, at = w[ok], at[ok]
-    tcls, tsig, pos, n = win["tcls"].to_numpy(), win["sig"].to_numpy(), win["at"].to_numpy() >> 32, win["at"].to_numpy() & 0xFFFFFFFF
-    ecls, m, lo, aoff, span = (pas[c].to_numpy() for c in ("ecls", "m", "lo", "off", "size"))
-    esig = pas["sig"].to_numpy()
-    out, total = [], np.cumsum(size[at])
-    start = 0
-    while start < len(at):  # in blocks of about PAIRS_AT_ONCE pairs
-        base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
-        s = size[at[start:end]]
-        i = np.repeat(w[start:end], s)
-        j = np.repeat(first[at[start:end]], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
-        d = np.maximum(n[i], m[j]) // TIMES
-        fits = (np.bitwise_count((tsig[i] ^ esig[j]).view(np.uint64)) <= 2 * d) & (np.abs(n[i] - m[j]) <= d) & (np.abs(pos[i] - lo[j] - aoff[j]) <= d)
-        i, j = i[fits], j[fits]
-        out.append(pd.DataFrame({"tcls": tcls[i], "ecls": ecls[j], "lo": lo[j], "hi": (lo + span)[j], "m": m[j]}))
-        start = end
-    return pd.concat(out).astype(none.dtypes.to_dict())
+class _Automaton:
+    """The passages of one shard."""
+
+    def __init__(self, parts: list[pd.DataFrame]):
+        import ahocorasick
+
+        pas = pd.concat(parts, ignore_index=True)
+        # ``at`` holds (lo, off, m); the offset of the anchor is part of a passage, for it must fall on the middle of the window
+        at = pas["at"].to_numpy()
+        lo, off, m = at >> 36, at >> 32 & 15, at & 0xFFFFFFFF
+        keys, distinct = pd.factorize(pas["text"])
+        order = np.lexsort((m, off, keys))
+        self.lo, self.off, self.m = lo[order], off[order], m[order]
+        self.cls, self.sig, keys = pas["cls"].to_numpy()[order], pas["sig"].to_numpy()[order], keys[order]
+        self.length = np.array([len(x) for x in distinct])
+        self.span = self.length[keys]
+        self.groups, self.first, self.size = np.unique(keys.astype(np.int64) * WIDTH + self.off, return_index=True, return_counts=True)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, text in enumerate(distinct):
+            self.automaton.add_word(text, i)
+        self.automaton.make_automaton()
+
+    def matches(self, win: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Hits of a batch of windows, in blocks of about ``PAIRS_AT_ONCE`` pairs."""
+        hits = np.fromiter((x for hit in self.automaton.iter(PAD.join(win["text"]) + PAD) for x in hit), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return
+        w = hits[:, 0] // WIDTH
+        off = REACH - (hits[:, 0] % WIDTH - self.length[hits[:, 1]] + 1)
+        g = hits[:, 1] * WIDTH + off
+        at = np.minimum(np.searchsorted(self.groups, g), len(self.groups) - 1)
+        ok = (off >= 0) & (self.groups[at] == g)
+        w, at = w[ok], at[ok]
+        tcls, tsig, place = (win[c].to_numpy() for c in ("cls", "sig", "at"))
+        pos, n = place >> 32, place & 0xFFFFFFFF
+        total = np.cumsum(self.size[at])
+        start = 0
+        while start < len(at):
+            base = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
+            s = self.size[at[start:end]]
+            i = np.repeat(w[start:end], s)
+            j = np.repeat(self.first[at[start:end]], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
+            d = np.maximum(n[i], self.m[j]) // TIMES
+            near = (np.abs(n[i] - self.m[j]) <= d) & (np.abs(pos[i] - self.lo[j] - self.off[j]) <= d)
+            fits = (np.bitwise_count((tsig[i] ^ self.sig[j]).view(np.uint64)) <= 2 * d) & near
+            i, j = i[fits], j[fits]
+            yield pd.DataFrame({"tcls": tcls[i], "ecls": self.cls[j], "lo": self.lo[j].astype(np.int32), "hi": (self.lo + self.span)[j].astype(np.int32), "m": self.m[j].astype(np.int32)})
+            start = end
+
+
+def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by shard, passages before windows: an automaton over the passages of a shard scans its windows as they come."""
+    shard, parts, automaton = None, [], None
+    for b in batches:
+        cuts = np.flatnonzero(np.diff(b["shard"].to_numpy()) | np.diff(b["role"].to_numpy())) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+            if x == y:
+                continue
+            rows = b.iloc[x:y]
+            if rows["shard"].iat[0] != shard:
+                shard, parts, automaton = rows["shard"].iat[0], [], None
+            if rows["role"].iat[0] == 0:
+                parts.append(rows)
+            elif parts:
+                automaton = automaton or _Automaton(parts)
+                yield from automaton.matches(rows)
 
 
 def _merged(intervals):
@@ -254,40 +292,71 @@ def _merged(intervals):
     return F.aggregate(F.array_sort(intervals), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda s: s["n"])
 
 
-def _hashes(code: str, name: str) -> list:
-    return [F.xxhash64(code).alias(f"{name}1"), F.xxhash64(F.lit(1), F.reverse(code)).alias(f"{name}2")]
+def _distance(a: list[str], b: list[str], most: int) -> int:
+    """Word edit distance, or ``most + 1`` beyond it: rows of the table within ``most`` of the diagonal."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    far = most + 1
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+        row = new
+    return min(row[len(b)], far)
+
+
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Takes the distance of the pairs in which two different words share a code point from their words."""
+    for b in batches:
+        a, c = b["twords"].str.split(" "), b["ewords"].str.split(" ")
+        shared = [len({*x, *y}) != len({*p, *q}) for x, y, p, q in zip(a, c, b["tcode"], b["ecode"])]
+        distance = [_distance(x, y, max(len(x), len(y)) // TIMES) if s else d for x, y, s, d in zip(a, c, shared, b["distance"])]
+        b = b.assign(distance=distance)
+        yield b.loc[[d <= max(len(x), len(y)) // TIMES for d, x, y in zip(distance, a, c)], ["tcls", "ecls", "coverage", "distance"]]
 
 
 def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(t1, t2, e1, e2, coverage, distance) of the pairs of classes, named by hashes of their texts; train and evaluation: (cls, code)."""
+    """(t1, t2, e1, e2, coverage, distance) of the pairs of classes, named by hashes of their words; train and evaluation: (cls, code, words, h1, h2)."""
     sc = train.sparkSession.sparkContext
     counts = word_counts(train)
     salts = np.maximum(1, -(-counts // HOT_WINDOWS)).astype(np.int32)
     b_counts, b_salts = sc.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)), sc.broadcast(salts)
+    # one passage for each four words begun
+    many = evaluation.agg(F.sum(F.floor(F.length("code") / 4) + 1).alias("n")).first().n or 0
+    bits = int(min(max(BITS_LEAST, 1 << (int(many) * BITS_EACH).bit_length()), BITS_MOST))
     passages = stage(
-        evaluation.mapInPandas(_passages(b_counts, b_salts), "anchor int, salt int, mid int, ecls long, passage string, lo int, off int, m int, sig long"),
+        evaluation.select("cls", "code").mapInPandas(_passages(b_counts, b_salts, bits), "anchor int, salt int, mid int, ecls long, passage string, lo int, off int, m int, sig long"),
         "p1-passages",
     )
     uses = passages.where("salt = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most CODES rows
-    columns, bits = np.zeros(CODES, np.int64), np.zeros(BITS, bool)
+    columns = np.zeros(CODES, np.int64)
     columns[uses["anchor"].to_numpy(np.int64)] = -(-uses["n"].to_numpy(np.int64) // HOT_WINDOWS)
-    bits[passages.select("mid").distinct().toPandas()["mid"].to_numpy(np.int64)] = True  # at most BITS rows
+    bitmap = packed(passages.select(F.col("mid").alias("at")), bits)
     shards = int((counts * columns).sum() // SHARD_WINDOWS) + 2 * sc.defaultParallelism
-    windows = train.mapInPandas(_windows(sc.broadcast(np.packbits(bits)), sc.broadcast(columns), b_salts, shards), "shard int, tcls long, at long, sig long, win string")
+    windows = train.select("cls", "code").mapInPandas(_windows(sc.broadcast(bitmap), bits, sc.broadcast(columns), b_salts, shards), ROWS)
     wide = F.create_map(*[F.lit(x) for at in np.flatnonzero(columns > 1).tolist() for x in (at, int(columns[at]))]) if (columns > 1).any() else None
     column = F.lit(0) if wide is None else F.pmod(F.col("ecls"), F.coalesce(F.try_element_at(wide, F.col("anchor")), F.lit(1)))
     mixed = F.col("anchor").cast("long") * 40503 + F.col("salt").cast("long") * 2654435761 + column.cast("long") * 805459861
-    placed = passages.drop("mid").withColumn("shard", (mixed.bitwiseAND(0x7FFFFFFF) % shards).cast("int"))
-    hits = windows.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_matches, MATCH)
-    pairs = hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), _merged(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
-    t, e = train.select(F.col("cls").alias("tcls"), F.col("code").alias("tcode")), evaluation.select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"))
+    long = lambda c: F.col(c).cast("long")
+    placed = passages.select(
+        (mixed.bitwiseAND(0x7FFFFFFF) % shards).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("ecls").alias("cls"),
+        (F.shiftleft(long("lo"), 36) + F.shiftleft(long("off"), 32) + long("m")).alias("at"), "sig", F.col("passage").alias("text"),
+    )
+    # a partition for each shard, so the work of a task does not grow with the input
+    rows = windows.unionByName(placed).repartition(shards, "shard").sortWithinPartitions("shard", "role")
+    hits = rows.mapInPandas(_matches, MATCH)
+    pairs = stage(hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), _merged(F.collect_set(F.struct("lo", "hi"))).alias("covered")), "p1-candidates")
+    # only the classes of candidates are moved
+    may_t, may_e = hash_filter(pairs, "tcls", ID_BITS), hash_filter(pairs, "ecls", ID_BITS)
+    t = train.where(may_t(F.col("cls"))).select(F.col("cls").alias("tcls"), F.col("code").alias("tcode"), F.col("words").alias("twords"))
+    e = evaluation.where(may_e(F.col("cls"))).select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"), F.col("words").alias("ewords"))
     most = F.floor(F.greatest(F.length("tcode"), F.length("ecode")) / TIMES).cast("int")
-    return (
-        t.join(e.join(pairs, "ecls"), "tcls")
-        .withColumn("distance", F.levenshtein("tcode", "ecode"))
-        .where(F.col("distance") <= most)
-        .select(*_hashes("tcode", "t"), *_hashes("ecode", "e"), F.round(F.col("covered") / F.col("m"), 6).alias("coverage"), "distance")
-    )
+    near = t.join(e.join(pairs, "ecls"), "tcls").withColumn("distance", F.levenshtein("tcode", "ecode")).where(F.col("distance") <= most)
+    near = near.withColumn("coverage", F.round(F.col("covered") / F.col("m"), 6)).select("tcls", "ecls", "tcode", "ecode", "twords", "ewords", "coverage", "distance")
+    sure = stage(near.mapInPandas(_confirm, "tcls long, ecls long, coverage double, distance int"), "p1-classes")
+    name = lambda df, c: df.select(F.col("cls").alias(f"{c}cls"), F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"))
+    return sure.join(name(evaluation, "e"), "ecls").join(name(train, "t"), "tcls").select("t1", "t2", "e1", "e2", "coverage", "distance")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,10 +365,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     evaluation = stage(
         encoded(table(spark, sf_dir, "val_injected")).unionByName(encoded(table(spark, sf_dir, "test_injected"))), "p1-eval"
     )
-    tcls, ecls = stage(classes(train), "p1-train-classes"), stage(classes(evaluation), "p1-eval-classes")
+    tcls, ecls = (stage(of_classes(x, classes(x)), f"p1-{n}-classes") for x, n in ((train, "train"), (evaluation, "eval")))
     found = stage(overlapping_classes(tcls, ecls), "p1-pairs")
-    named = found.join(evaluation.select(F.col("idx").alias("idx_e"), *_hashes("code", "e")).distinct(), ["e1", "e2"]).drop("e1", "e2")
-    return named.join(train.select(F.col("idx").alias("idx_t"), *_hashes("code", "t")), ["t1", "t2"]).drop("t1", "t2").distinct()
+    of = lambda df, c: df.select(F.col("idx").alias(f"idx_{c}"), F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"))
+    named = found.join(of(evaluation, "e").distinct(), ["e1", "e2"]).drop("e1", "e2")
+    return named.join(of(train, "t"), ["t1", "t2"]).drop("t1", "t2").distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

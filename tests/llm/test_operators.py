@@ -82,6 +82,25 @@ def test_overlap_hot_words_and_empty(spark, tmp_path, monkeypatch):
     assert overlap.p1_found(spark, e).count() == 0
 
 
+def test_words_that_share_a_code(spark, tmp_path):
+    """Two words with one code point make a pair look nearer than it is; the words themselves decide."""
+    seen, pair = {}, None
+    for i in range(20_000):
+        code = overlap._Codes()[f"w{i}"]
+        if code in seen:
+            pair = (seen[code], f"w{i}")
+            break
+        seen[code] = f"w{i}"
+    x, y = pair
+    make = lambda xs: rows(spark, [{"idx": i, "sequence": s} for i, s in xs])
+    d = folder(
+        spark, tmp_path, train_injected=make([(1, f"one two three four five six seven eight {x}"), (2, f"one two three four five six seven {x} nine ten")]),
+        val_injected=make([(10, f"one two three four five six seven EIGHT {y}"), (11, f"one two other four five six strange {y} nine ten")]), test_injected=make([]),
+    )
+    # 1 and 10 differ in one word of nine, 2 and 11 in three of ten, one of which shares its code
+    assert {tuple(p) for p in overlap.p1_found(spark, d).collect()} == {(1, 10)}
+
+
 # ---------------------------------------------------------------- problem 2
 
 

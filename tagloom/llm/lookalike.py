@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.bitmaps import hash_filter
 from tagloom.plans.once import once
 from tagloom.plans.staging import stage, table
 
@@ -187,11 +188,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 def known_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(word): those of ``words`` that the corpus has, in lower case; rows: (tokens, sequence).  The words of all rows are read, few are moved."""
-    longs = [0] * (WORD_BITS // 64)
-    for r in words.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BITS)).alias("b")).distinct().collect():  # at most WORD_BITS rows
-        longs[r.b // 64] |= 1 << r.b % 64
-    bits = F.from_json(F.lit(str([x - (1 << 64) if x >> 63 else x for x in longs])), "array<bigint>")
-    may = lambda w: F.getbit(F.get(bits, (F.pmod(F.xxhash64(w), F.lit(WORD_BITS)) / 64).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
+    may = hash_filter(words, "word", WORD_BITS)
     text = F.lower(F.concat_ws(" ", F.col("tokens"), F.col("sequence")))
     found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), may))
     return rows.select(F.explode_outer(found).alias("word")).where("word is not null").join(words, "word", "left_semi").distinct()

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_report": overlap.p1_report,
     "p2_found": layout.p2_found,
     "p2_copies": layout.p2_copies,
+    "p2_steps": layout.p2_steps,
     "p3_found": redaction.p3_found,
     "p3_redacted": redaction.p3_redacted,
     "p4_found": lookalike.p4_found,

@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.llm.bitmaps import hash_filter
 from tagloom.plans.staging import stage, table
 
 USUAL_SHARE = 0.05
@@ -192,15 +193,11 @@ def word_places(docs: DataFrame, ends: DataFrame, words: DataFrame, text: str =
     """(word, n_ends, n_inside, n_closing) of the words asked for: the distinct texts that end with it, that have it before
     their end, and that have it before a closing mark."""
     n_ends = ends.select("h1", "h2", "word").distinct().join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
-    longs = [0] * (WORD_BITS // 64)
-    for r in words.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BITS)).alias("b")).distinct().collect():  # at most WORD_BITS rows
-        longs[r.b // 64] |= 1 << r.b % 64
-    bits = F.from_json(F.lit(str([x - (1 << 64) if x >> 63 else x for x in longs])), "array<bigint>")
+    may = hash_filter(words, "word", WORD_BITS)
     texts = docs.select(_trimmed(F.col(text)).alias("whole")).where("whole <> ''").select(*_hashes("whole"), "whole").dropDuplicates(["h1", "h2"])
     before_mark = r"([\p{L}\p{N}]++)[\"'”’»)\]」』]*+[.!?。！？]"
     found = texts.select(F.regexp_extract_all("whole", F.lit(_WORD), F.lit(0)).alias("w"), F.regexp_extract_all("whole", F.lit(before_mark), F.lit(1)).alias("c"))
     # a bitmap of fixed size keeps most other words out of the explosion; the join below is exact
-    may = lambda w: F.getbit(F.get(bits, (F.pmod(F.xxhash64(w), F.lit(WORD_BITS)) / 64).cast("int")), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")) == 1
     inside = F.array_distinct(F.filter(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), may))
     closing = F.array_distinct(F.filter("c", may))
     tagged = lambda a, c: F.transform(a, lambda w: F.struct(w.alias("word"), F.lit(c).alias("closing")))

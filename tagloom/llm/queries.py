@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": sampling.p5_found,
     "p5_report": sampling.p5_report,
     "p5_sample": sampling.p5_sample,
+    "p5_counts": sampling.p5_counts,
     "p6_ids": bpe.p6_ids,
     "p6_decoded": bpe.p6_decoded,
     "p6_ways": bpe.p6_ways,
@@ -60,12 +61,16 @@ def _passed(source: str, name: str, group: str, given: str) -> str:
 _PLAN = (
     f"{_WANTS}, t AS (SELECT *, least(wanted, available) AS taken, available - least(wanted, available) AS spare, wanted - least(wanted, available) AS unmet FROM q), "
     + _passed("t", "sib", "target_set, entity_density_bucket", "from_siblings") + ", " + _passed("sib", "cou", "target_set", "from_cousins")
+    + """, z0 AS (SELECT *, taken + from_siblings + from_cousins AS quota0 FROM cou), z1 AS (SELECT *, greatest(0, quota0 - coalesce(min_rows, 0)) AS room, greatest(0, sum(quota0) OVER (PARTITION BY target_set) - s) AS over_ FROM z0),
+z2 AS (SELECT *, greatest(0, least(room, over_ - coalesce(sum(room) OVER (PARTITION BY target_set ORDER BY room DESC, entity_density_bucket, n_email_spans ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS taken_back FROM z1),
+z3 AS (SELECT *, quota0 - taken_back AS quota FROM z2), plan AS (SELECT *, greatest(0, sum(quota) OVER (PARTITION BY target_set) - s) AS over_sample FROM z3)"""
 )
 
 ORACLES: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_report": f"""WITH {_PLAN} SELECT target_set, entity_density_bucket, n_email_spans, s AS sample_rows, wanted, available, taken, CAST(from_siblings AS BIGINT) AS from_siblings, CAST(from_cousins AS BIGINT) AS from_cousins,
-      CAST(taken + from_siblings + from_cousins AS BIGINT) AS quota, available >= wanted AS met FROM cou""",
+      CAST(taken_back AS BIGINT) AS taken_back, CAST(quota AS BIGINT) AS quota, available >= wanted AS met, CAST(over_sample AS BIGINT) AS over_sample FROM plan""",
+    "p5_counts": f"WITH {_PLAN} SELECT target_set, entity_density_bucket, n_email_spans, CAST(quota AS BIGINT) AS n_rows, CAST(quota AS BIGINT) AS n_ids FROM plan WHERE quota > 0",
     "p2_found": f"WITH {_KEYED}, m AS (SELECT *, min(id) OVER (PARTITION BY table_name, ks, kt) AS keep_id FROM g) SELECT table_name, keep_id, id AS copy_id FROM m WHERE id <> keep_id",
     "p2_copies": f"WITH {_KEYED} SELECT table_name, min(id) AS keep_id, count(DISTINCT id) AS copies FROM g GROUP BY table_name, ks, kt",
     "p5_found": f"WITH {_WANTS} SELECT target_set, entity_density_bucket, n_email_spans FROM q WHERE available < wanted",

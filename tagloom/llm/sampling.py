@@ -3,7 +3,9 @@
 The categories of a target set form a tree: root, density bucket, number of e-mail spans.  Every
 leaf takes what it wants as far as it has rows.  Quota that a leaf cannot fill goes first to its
 siblings (leaves of one bucket), then to its cousins, largest spare first; what the whole set
-cannot fill is reported.  Rows are drawn at the leaves by a permuted dense rank, which is sliced, so
+cannot fill is reported.  Where minimums push the quotas over the size of the sample, the surplus is
+taken back from the leaves that are above their minimum, the one farthest above first; what minimums alone
+exceed the sample by is reported as ``over_sample``.  Rows are drawn at the leaves by a permuted dense rank, which is sliced, so
 a leaf may hold any share of all rows.
 
 Only counts of the categories of ``targets`` (a small, fixed table) meet the allocation, which is
@@ -62,20 +64,37 @@ def _passed(rows: DataFrame, group: list[str], name: str) -> DataFrame:
     return out.withColumn("spare", F.col("spare") - F.col(name)).withColumn("unmet", F.col("_left")).drop("_left")
 
 
+def _taken_back(rows: DataFrame) -> DataFrame:
+    """Takes the quotas over the size of the sample back from leaves above their minimum."""
+    whole = Window.partitionBy("target_set")
+    rows = rows.withColumn("_room", F.greatest(F.lit(0), F.col("quota") - F.coalesce("min_rows", F.lit(0))))
+    over = F.greatest(F.lit(0), F.sum("quota").over(whole) - F.col("sample_rows"))
+    before = whole.orderBy(F.desc("_room"), *LEAF).rowsBetween(Window.unboundedPreceding, -1)
+    back = F.greatest(F.lit(0), F.least(F.col("_room"), over - F.coalesce(F.sum("_room").over(before), F.lit(0))))
+    rows = rows.withColumn("taken_back", back).withColumn("quota", F.col("quota") - F.col("taken_back")).drop("_room")
+    return rows.withColumn("over_sample", F.greatest(F.lit(0), F.sum("quota").over(whole) - F.col("sample_rows")))
+
+
 def allocation(cats: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row for each target: wanted, available, taken, passed on by siblings and cousins, quota and whether it is met."""
+    """One row for each target: wanted, available, taken, passed on by siblings and cousins, taken back, quota and whether it is met."""
     rows = wants(cats, targets).withColumn("taken", F.least("wanted", "available"))
     rows = rows.withColumns({"spare": F.col("available") - F.col("taken"), "unmet": F.col("wanted") - F.col("taken")}).withColumn("short", F.col("unmet"))
     rows = _passed(rows, ["target_set", LEAF[0]], "from_siblings")
     rows = _passed(rows, ["target_set"], "from_cousins")
-    return rows.withColumn("quota", F.col("taken") + F.col("from_siblings") + F.col("from_cousins")).withColumn("met", F.col("short") == 0)
+    rows = rows.withColumn("quota", F.col("taken") + F.col("from_siblings") + F.col("from_cousins")).withColumn("met", F.col("short") == 0)
+    return _taken_back(rows)
+
+
+#: Leaves of all target sets that are sent to the executors at most.
+MOST_LEAVES = 100_000
 
 
 def draw(cats: DataFrame, plan: DataFrame) -> DataFrame:
     """(target_set, idx, leaf): each leaf's quota of rows by permuted dense rank."""
-    leaves = plan.where("quota > 0").select("target_set", *LEAF, "quota")
-    rows = cats.join(F.broadcast(leaves), LEAF)  # the targets are a small, fixed table
-    return ranked(rows, ["target_set", *LEAF], ["idx"]).where("rank < quota").select("target_set", "idx", *LEAF)
+    leaves = stage(plan.where("quota > 0").select("target_set", *LEAF, "quota"), "p5-leaves")
+    if leaves.limit(MOST_LEAVES + 1).count() <= MOST_LEAVES:
+        leaves = F.broadcast(leaves)
+    return ranked(cats.join(leaves, LEAF), ["target_set", *LEAF], ["idx"]).where("rank < quota").select("target_set", "idx", *LEAF)
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +108,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The allocation of every target."""
-    keep = ["target_set", *LEAF, "sample_rows", "wanted", "available", "taken", "from_siblings", "from_cousins", "quota", "met"]
+    keep = ["target_set", *LEAF, "sample_rows", "wanted", "available", "taken", "from_siblings", "from_cousins", "taken_back", "quota", "met", "over_sample"]
     return allocation(*_inputs(spark, sf_dir)).select(*keep)
 
 
@@ -97,3 +116,8 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target_set, idx, leaf): the drawn rows of every target set."""
     cats, targets = _inputs(spark, sf_dir)
     return draw(cats, allocation(cats, targets))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target_set, leaf, n_rows, n_ids): what was drawn of each leaf; the rows are the quotas of ``p5_report``."""
+    return p5_sample(spark, sf_dir).groupBy("target_set", *LEAF).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("idx").alias("n_ids"))

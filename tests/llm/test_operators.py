@@ -273,6 +273,18 @@ def test_sampling(spark, tmp_path):
     assert sampling.p5_sample(spark, d).exceptAll(drawn).count() == 0
 
 
+def test_sampling_within_its_size(spark, tmp_path):
+    """Minimums over the sample are taken from leaves above theirs; what minimums alone exceed is reported."""
+    items = [{"idx": i, "entity_density_bucket": ["zero_per", "one_per", "multi_per"][i % 3], "n_email_spans": 0} for i in range(300)]
+    schema = "target_set string, entity_density_bucket string, n_email_spans int, target_per_mille int, min_rows int, sample_per_mille int"
+    targets = spark.createDataFrame([("a", "zero_per", 0, 600, 0, 100), ("a", "one_per", 0, 300, 2, 100), ("a", "multi_per", 0, 100, 15, 100), ("b", "zero_per", 0, 500, 20, 100), ("b", "one_per", 0, 500, 30, 100)], schema)
+    d = folder(spark, tmp_path, train_injected=rows(spark, items), sample_targets=targets)
+    plan = {(x.target_set, x.entity_density_bucket): (x.quota, x.taken_back, x.over_sample) for x in sampling.p5_report(spark, d).collect()}
+    # a: 18 + 9 + 15 of 30, so 12 go back by the leaf farthest above its minimum; b: 20 + 30 of 30, all of it minimums
+    assert plan == {("a", "zero_per"): (6, 12, 0), ("a", "one_per"): (9, 0, 0), ("a", "multi_per"): (15, 0, 0), ("b", "zero_per"): (20, 0, 20), ("b", "one_per"): (30, 0, 20)}
+    assert sampling.p5_sample(spark, d).where("target_set = 'a'").count() == 30
+
+
 def test_sampling_empty(spark, tmp_path):
     targets = spark.createDataFrame([("t", "one_per", 0, 0, 2, 100)], "target_set string, entity_density_bucket string, n_email_spans int, target_per_mille int, min_rows int, sample_per_mille int")
     d = folder(spark, tmp_path, train_injected=rows(spark, []), sample_targets=targets)

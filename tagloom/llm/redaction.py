@@ -1,15 +1,15 @@
 """Problem 3: personal information in free text.
 
 High-recall generators propose overlapping spans: patterns for e-mail addresses (spelled-out and
-spaced forms too), phone numbers, identity numbers and street addresses, and every stretch of up to
-six name-like words.  Boosted trees, one model a kind, score each span by its format and its
+spaced forms too), phone numbers, identity numbers and street addresses, and stretches of name-like words.  Boosted trees, one model a kind, score each span by its format and its
 surroundings; a threshold calibrated on held-out rows selects, and of overlapping spans the best one
 stays.
 
 The models are fitted for each run on a bounded sample of the labelled training split
 (``SAMPLE_ROWS`` rows, by a hash of the id): person tags label the names; e-mail addresses, numbers,
 addresses and look-alikes of them (book numbers, catalogue numbers, handles, roads without a house
-number) are written into those rows, so their spans are known.  The answer for a test row rests on
+number) are written into those rows, so their spans are known; the trees of a kind see at most ``FIT_SPANS`` of the
+candidates of those rows.  The answer for a test row rests on
 its two fields only.  Texts without upper and lower case to go by are handled by the same features:
 every word that is not a common one is name-like there.
 
@@ -22,8 +22,10 @@ from __future__ import annotations
 import pickle
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,9 +38,12 @@ from tagloom.llm.lookalike import FULL_WIDTH, read_as_latin
 from tagloom.plans.staging import table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
-SAMPLE_ROWS = 12000
-MAX_WORDS = 6
-#: Words seen this often outside of names and never inside one are not proposed.
+#: Bounds of the labelled sample: rows, and candidate spans of one kind.
+SAMPLE_ROWS, FIT_SPANS = 12000, 60_000
+#: Inside a stretch of name-like words all parts of up to so many words are proposed, and all that reach from one of its
+#: ends to any place, so every name that fills a stretch, or begins or ends one, is proposed whole whatever its length.
+NEAR_WORDS = 8
+#: Words that the labelled rows hold this often outside of names and never inside one are no part of a stretch.
 NEVER_LEAST = 40
 
 PIECE = re.compile(r"[^\W\d_]+(?:[̀-ͯ­​-‏⁠﻿]+[^\W\d_]*|['’ʼ](?!s\b|S\b)[^\W\d_]+|-[^\W\d_]{2,})*|\d+|\S")
@@ -61,7 +66,10 @@ CODE = re.compile(
 )
 _STREET = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Drive|Dr\b\.?|Close|Terrace|Way|Court|Ct\b\.?|Place|Square|Crescent|Boulevard|Blvd\b\.?|Row)(?!\w)"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Room)\b\.? ?\d+[a-z]?)"
-_TOWN = r"[^\W\d_][\w​-‏⁠﻿­'’-]+(?: (?:Hill|Bay|Green|Park|Heath|Cross))?"
+_WORD_OF_TOWN = r"[^\W\d_][\w​-‏⁠﻿­'’-]+"
+_TOWN = rf"{_WORD_OF_TOWN}(?: (?:Hill|Bay|Green|Park|Heath|Cross))?"
+#: A town of any number of words; each of them may be the last.
+_TOWNS = rf"{_WORD_OF_TOWN}(?: (?:(?:Hill|Bay|Green|Park|Heath|Cross)\b|(?-i:(?![a-zß-öø-ÿа-я])[^\W\d_][^\W\d_'’-]*(?!\w))))*"
 _SEP = r"(?: ?, ?| )"
 _HEAD = (
     rf"(?:(?:{_UNIT}{_SEP})?\d+ ?[a-z]?\b{_SEP}(?:[NSEW]\b ?\. ?|(?:North|South|East|West) )?(?:{_TOWN} ){{1,2}}{_STREET}(?: ?, ?{_UNIT})?"
@@ -71,11 +79,12 @@ _HEAD = (
 )
 HEAD = re.compile(_HEAD, re.I)
 _POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}\b|\d{5}\b)"
-TAIL = re.compile(rf"(?: ?, ?(?P<code>{_POST})(?P<t1> {_TOWN})?| ?, ?(?P<town>{_TOWN})(?P<code2>,? {_POST})?)", re.I)
+_TAIL = rf"(?: ?, ?(?P<code>{_POST})(?P<t1> TOWN)?| ?, ?(?P<town>TOWN)(?P<code2>,? {_POST})?)"
+TAIL, LONG_TAIL = (re.compile(_TAIL.replace("TOWN", x), re.I) for x in (_TOWN, _TOWNS))
 
 
 #: What a text must have for the costlier patterns to be tried.
-_MAY_MAIL = re.compile(r"@|[\(\[\{] ?at\b|\bdot\b|\bat [\w-]+\.\w", re.I)
+_MAY_MAIL = re.compile(r"@|[\(\[\{] ?at\b|\bdot\b|\bat [^\W_]+(?:(?:-| - )[^\W_]+)* ?(?:\.|[\(\[\{] ?dot)", re.I)
 _MAY_NUMBER = re.compile(r"\d[\d ().+/‐-―-]{4,}\d|[A-Za-z] ?\d{2}", re.I)
 _MAY_ADDRESS = re.compile(rf"\b{_STREET}|(?:weg|straße|strasse|gasse|platz|allee)\b|\b(?:rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via|rua)\b", re.I)
 
@@ -83,13 +92,15 @@ _MAY_ADDRESS = re.compile(rf"\b{_STREET}|(?:weg|straße|strasse|gasse|platz|alle
 def _email_spans(text: str) -> Iterator[tuple[int, int]]:
     if not _MAY_MAIL.search(text):
         return
-    for m in EMAIL.finditer(text):
+    at = 0
+    while m := EMAIL.search(text, at):
         # starts: every piece of the local part; ends: every label that can close a domain
         starts = [m.start("local") + x.start() for x in re.finditer(r"\w[^\s]*", m["local"])]
         ends = [m.start("domain") + x.end() for x in re.finditer(r"[^\W_]+", m["domain"]) if x.start() and _TLD.match(x[0])]
-        for s in starts[-6:]:
-            for e in ends[-4:]:
+        for s in starts:
+            for e in ends:
                 yield s, e
+        at = m.start("domain")  # the domain may hold the local part of a next one
 
 
 def _number_spans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -114,26 +125,42 @@ def _number_spans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
                     yield inner[0], s + x.end()
 
 
+def _word_ends(text: str, s: int, e: int) -> Iterator[int]:
+    """The ends of the words of a stretch."""
+    for x in re.finditer(r"(?=[ ,]|\Z)", text[s:e]):
+        if x.start():
+            yield s + x.start()
+
+
 def _address_spans(text: str) -> Iterator[tuple[int, int]]:
     if not _MAY_ADDRESS.search(text):
         return
     for m in HEAD.finditer(text):
         yield m.span()
-        t = TAIL.match(text, m.end())
-        if t:
-            yield m.start(), t.end()
-            for g in ("code", "town"):
-                if t[g] is not None and t.end(g) != t.end():
-                    yield m.start(), t.end(g)
-            u = TAIL.match(text, t.end())
-            if u and t["town"] is not None and u["town"] is not None:
-                yield m.start(), u.end()
+        # one tail after the other, postcodes and towns; of a town with more capitalised words behind it each word may be the last
+        open_, seen = [m.end()], {m.end()}
+        while open_:
+            at = open_.pop()
+            t = TAIL.match(text, at)
+            if not t:
+                continue
+            ends = [t.end(), *(t.end(g) for g in ("code", "town") if t[g] is not None)]
+            more = LONG_TAIL.match(text, at)
+            for g in ("t1", "town"):
+                if more[g] is not None and t[g] is not None and more.end(g) > t.end(g):
+                    ends += [more.end(), *(e for e in _word_ends(text, *more.span(g)) if e > t.end(g))]
+            for e in ends:
+                if e not in seen:
+                    seen.add(e)
+                    yield m.start(), e
+                    if t["town"] is not None:
+                        open_.append(e)
 
 
 class Pieces:
     """A text cut into words, numbers and marks."""
 
-    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends", "like", "around")
+    __slots__ = ("text", "spans", "words", "low", "caseless", "starts", "ends", "like", "firsts", "around")
 
     def __init__(self, text: str):
         self.text = text
@@ -146,7 +173,8 @@ class Pieces:
         upper = sum(w[0].isupper() for w in self.words)
         lower = sum(w[0].islower() for w in self.words)
         self.caseless = letters > 3 and (upper <= 0.03 * letters or lower <= 0.03 * letters)
-        self.starts = {s: i for i, (s, _) in enumerate(self.spans)}
+        self.firsts = [s for s, _ in self.spans]
+        self.starts = {s: i for i, s in enumerate(self.firsts)}
         self.ends = {e: i for i, (_, e) in enumerate(self.spans)}
         self.like: list[bool] = []
         self.around = ["<", "<", *("0" if w[0].isdigit() else w for w in self.low), ">", ">"]
@@ -159,39 +187,52 @@ class Pieces:
             self.like = [w[0].isupper() and x not in never and x not in TITLES for w, x in zip(self.words, self.low)]
 
 
+def _stretch(p: Pieces, i: int) -> Iterator[tuple[int, int]]:
+    """(first, last) pieces of the spans of the stretch that starts at ``i``, the shortest first; every span is one more word."""
+    n, j, count = len(p.words), i, 0
+    while j < n:
+        if p.like[j]:
+            yield i, j
+            count += 1
+            if count == 1 and j + 2 < n and p.words[j + 1] == "," and p.like[j + 2]:  # family name, given name
+                yield i, j + 2
+                if j + 4 < n and len(p.words[j + 3]) == 1 and p.words[j + 4] == ".":
+                    yield i, j + 3
+            k = j + 1
+            if k < n and p.words[k] == "." and (len(p.words[j]) == 1 or p.low[j] in SUFFIXES):
+                if p.low[j] in ("jr", "sr"):
+                    yield i, k
+                k += 1
+            if k < n and p.words[k] == "," and k + 1 < n and p.low[k + 1] in SUFFIXES:
+                k += 1
+            while k < n and p.low[k] in PARTICLES and not p.like[k]:
+                k += 1
+            if k >= n or not (p.like[k] or p.low[k] in SUFFIXES):
+                return
+            j = k
+        elif p.low[j] in SUFFIXES:
+            yield i, j
+            return
+        else:
+            return
+
+
 def _name_spans(p: Pieces) -> Iterator[tuple[int, int]]:
     """(first, last) pieces of every stretch that may be a name; ``p`` is marked."""
-    n = len(p.words)
-    like = p.like
-    for i in range(n):
-        if not like[i]:
+    n, i = len(p.words), 0
+    while i < n:
+        if not p.like[i]:
+            i += 1
             continue
-        j, count = i, 0
-        while j < n and count < MAX_WORDS:
-            if like[j]:
-                yield i, j
-                count += 1
-                if count == 1 and j + 2 < n and p.words[j + 1] == "," and like[j + 2]:  # family name, given name
-                    yield i, j + 2
-                    if j + 4 < n and len(p.words[j + 3]) == 1 and p.words[j + 4] == ".":
-                        yield i, j + 3
-                k = j + 1
-                if k < n and p.words[k] == "." and (len(p.words[j]) == 1 or p.low[j] in SUFFIXES):
-                    if p.low[j] in ("jr", "sr"):
-                        yield i, k
-                    k += 1
-                if k < n and p.words[k] == "," and k + 1 < n and p.low[k + 1] in SUFFIXES:
-                    k += 1
-                while k < n and p.low[k] in PARTICLES and not like[k]:
-                    k += 1
-                if k >= n or not (like[k] or p.low[k] in SUFFIXES):
-                    break
-                j = k
-            elif p.low[j] in SUFFIXES:
-                yield i, j
-                break
-            else:
-                break
+        whole = list(_stretch(p, i))
+        end = max(j for _, j in whole)
+        yield from whole
+        for k in range(i + 1, end + 1):
+            if p.like[k]:
+                yield from islice(_stretch(p, k), NEAR_WORDS)
+                if end - k >= NEAR_WORDS:  # from here to the end of the stretch
+                    yield k, end
+        i = end + 1
 
 
 # ---------------------------------------------------------------- features
@@ -207,8 +248,7 @@ AGAINST = "isbn catalogue catalog accession shelf items season seasons chapter p
 
 def _around(p: Pieces, s: int, e: int) -> tuple[int, int]:
     """Indices of the pieces that hold the first and the last character."""
-    starts = np.searchsorted([x for x, _ in p.spans], [s, e - 1], side="right") - 1
-    return max(int(starts[0]), 0), max(int(starts[1]), 0)
+    return max(bisect_right(p.firsts, s) - 1, 0), max(bisect_right(p.firsts, e - 1) - 1, 0)
 
 
 def span_features(p: Pieces, s: int, e: int) -> list[float]:
@@ -452,8 +492,8 @@ class Detector:
             y = np.array([v for _, b, _ in fit for v in b], float)
             if not len(x) or not y.any():
                 continue
-            if len(x) > 60_000:
-                keep = np.sort(np.random.default_rng(seed).permutation(len(x))[:60_000])
+            if len(x) > FIT_SPANS:
+                keep = np.sort(np.random.default_rng(seed).permutation(len(x))[:FIT_SPANS])
                 x, y = x[keep], y[keep]
             model = BoostedTrees().fit(x, y)
             held = [self._labelled(kind, p, spans) for p, spans in parts[2]]
@@ -512,9 +552,18 @@ class Detector:
 
 def trained(train: DataFrame, names: DataFrame, rows: int = SAMPLE_ROWS) -> Detector:
     """Fits a detector on ``rows`` rows of the labelled split and the list of name words (fixed size)."""
-    ids = train.where(F.size("tokens") > 0).select("idx").distinct().orderBy(F.xxhash64("idx"), "idx").limit(rows)
-    # at most ``rows`` ids, so the broadcast is bounded by the parameter
-    sample = train.select("idx", "tokens", "ner_tags").join(F.broadcast(ids), "idx").toPandas().drop_duplicates("idx").sort_values("idx")
+    # the rows of the smallest hashes: a share of the hash range that should hold them, wider if it does not
+    n, share = train.count(), 1.3
+    of_hash = F.xxhash64("idx")
+    labelled = train.where(F.col("idx").isNotNull() & (F.size("tokens") > 0)).select("idx", "tokens", "ner_tags", of_hash.alias("h"))
+    while True:
+        part = share * rows / max(n, 1)
+        sample = (labelled if part >= 1 else labelled.where(F.col("h") < F.lit(int(-(2**63) + part * 2**64)))).toPandas()  # about share * rows rows
+        sample = sample.drop_duplicates("idx")
+        if len(sample) >= rows or part >= 1:
+            break
+        share *= 4
+    sample = sample.sort_values(["h", "idx"])[:rows].sort_values("idx")
     tagged = [x for x in map(_tagged, sample["tokens"], sample["ner_tags"]) if x]
     parts = names.where(F.col("name_part").isNotNull()).toPandas()
     of = lambda kind: {w for x in parts.loc[parts["part_kind"] == kind, "name_part"] for w in _WORD.findall(x.lower())}

@@ -180,6 +180,21 @@ def test_detection(detector, text, want):
     assert want <= found(detector, text) if want else found(detector, text) == set()
 
 
+def test_proposals_have_no_caps(detector):
+    """Long names, many local parts and labels, towns of several words: the whole span is among the proposals."""
+    spans = lambda kind, text: {text[a:b] for a, b in detector._candidates(kind, redaction.Pieces(text))[0]}
+    name = "Anna Bela Carla Dora Emily Fina Gloria Harrow"
+    assert {name, "Gloria Harrow", "Anna Bela"} <= spans("NAME", f"{name} wrote a novel .")
+    long = " ".join(f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    found = spans("NAME", f"{long} wrote .")
+    assert long in found and long.split(" ", 1)[1] in found and len(found) < 300 * (redaction.NEAR_WORDS + 3)
+    mail = "a dot b dot c dot d dot e dot f dot g at h dot i dot j dot k dot l dot example"
+    assert mail in spans("EMAIL", f"write to {mail} now") and "x at host . example" in spans("EMAIL", "ask x at host . example")
+    assert {"a@b.example", "b@c.example"} <= spans("EMAIL", "a@b.example b@c.example")
+    text = "living at 12 Oak Street , North Saint Mary Town , Old Port K1 2AB ( call"
+    assert {"12 Oak Street", "12 Oak Street , North Saint Mary Town", "12 Oak Street , North Saint Mary Town , Old Port K1 2AB"} <= spans("ADDRESS", text)
+
+
 def test_masked_tokens_keep_the_rest():
     spans = [(0, 9, "NAME"), (12, 15, "ID")]
     assert redaction._masked(["Ann", "Lee's", "", "x123y"], [(0, 7, "NAME"), (12, 15, "ID")]) == ["[NAME]", "'s", "", "x[ID]y"] or spans

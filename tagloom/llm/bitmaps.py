@@ -31,6 +31,9 @@ def packed(places: DataFrame, bits: int) -> np.ndarray:
 def hash_filter(keys: DataFrame, name: str, bits: int = 1 << 16) -> Callable[[Column], Column]:
     """A test whether a value may be among the values of ``keys[name]``; it runs in the JVM, with the bitmap as a literal."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    longs = packed(keys.select(at(F.col(name)).alias("at")), bits)[: bits // 8].view("<i8").tolist()
-    table = F.from_json(F.lit(str(longs)), "array<bigint>")
+    found = packed(keys.select(at(F.col(name)).alias("at")), bits)[: bits // 8]
+    if bits <= BLOCK:  # small enough for one value a place, so the hash is computed once
+        flags = F.from_json(F.lit("[" + ",".join(np.unpackbits(found, bitorder="little").astype(str)) + "]"), "array<tinyint>")
+        return lambda c: F.get(flags, at(c).cast("int")) == 1
+    table = F.from_json(F.lit(str(found.view("<i8").tolist())), "array<bigint>")
     return lambda c: F.getbit(F.get(table, F.floor(at(c) / 64).cast("int")), F.pmod(at(c), F.lit(64)).cast("int")) == 1

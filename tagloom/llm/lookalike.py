@@ -190,7 +190,7 @@ def known_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(word): those of ``words`` that the corpus has, in lower case; rows: (tokens, sequence).  The words of all rows are read, few are moved."""
     may = hash_filter(words, "word", WORD_BITS)
     text = F.lower(F.concat_ws(" ", F.col("tokens"), F.col("sequence")))
-    found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), may))
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]++"), F.lit(0))), may)
     return rows.select(F.explode_outer(found).alias("word")).where("word is not null").join(words, "word", "left_semi").distinct()
 
 

@@ -1,8 +1,8 @@
 """Problem 8: texts that were cut off.
 
 First the prefix self-join: a text is cut when it is, without closing dots, a strict prefix of a longer copy that goes
-on in the same line.  Every text sends hashes of its prefixes of 1, 2, 4, ... characters; a group of equal hashes counts
-when it holds two different texts, one of them shorter than twice that prefix.  The texts of such groups are sorted over
+on in the same line.  Every text sends hashes of its prefixes of 1, 4, 16, ... characters; a group of equal hashes counts
+when it holds two different texts, one of them shorter than four times that prefix.  The texts of such groups are sorted over
 the cluster, and a text is a strict prefix of some other exactly when it is one of its successor in that order.
 
 Where no longer copy was kept (most cuts in practice), the end of the text decides, against statistics of all texts:
@@ -56,6 +56,8 @@ FORMULA_SHARE = 0.01
 
 #: Bits of the table of words that are looked for.
 WORD_BITS = 1 << 16
+#: Bits of the table of documents whose texts are sorted.
+DOC_BITS = 1 << 22
 
 _BLANKS = " \t\n\r\f\v\u00a0\u2003\u200b\u3000\ufeff"
 #: Marks that close a sentence, and what may follow them.
@@ -189,21 +191,27 @@ def with_lines_decided(texts: DataFrame) -> DataFrame:
 KEY = ["source", "h1", "h2"]
 
 
+#: A word with the closing mark behind it, if there is one.
+_MARKED = r"[\p{L}\p{N}]++(?:[\"'”’»)\]」』]*+[.!?。！？])?"
+_MARKS = "\"'”’»)]」』.!?。！？"
+
+
 def word_places(docs: DataFrame, ends: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """(word, n_ends, n_inside, n_closing) of the words asked for: the distinct texts that end with it, that have it before
-    their end, and that have it before a closing mark."""
+    their end, and that have it before a closing mark.  No text is moved: a bitmap of fixed size keeps most other words out of
+    the explosion, the join with the words is exact, and repeated texts are told by their hash."""
     n_ends = ends.select("h1", "h2", "word").distinct().join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_ends"))
     may = hash_filter(words, "word", WORD_BITS)
-    texts = docs.select(_trimmed(F.col(text)).alias("whole")).where("whole <> ''").select(*_hashes("whole"), "whole").dropDuplicates(["h1", "h2"])
-    before_mark = r"([\p{L}\p{N}]++)[\"'”’»)\]」』]*+[.!?。！？]"
-    found = texts.select(F.regexp_extract_all("whole", F.lit(_WORD), F.lit(0)).alias("w"), F.regexp_extract_all("whole", F.lit(before_mark), F.lit(1)).alias("c"))
-    # a bitmap of fixed size keeps most other words out of the explosion; the join below is exact
-    inside = F.array_distinct(F.filter(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), may))
-    closing = F.array_distinct(F.filter("c", may))
-    tagged = lambda a, c: F.transform(a, lambda w: F.struct(w.alias("word"), F.lit(c).alias("closing")))
+    word = lambda w: F.rtrim(w, F.lit(_MARKS))
+    rows = docs.select(_trimmed(F.col(text)).alias("whole")).where("whole <> ''").select(_hashes("whole")[0], F.regexp_extract_all("whole", F.lit(_MARKED), F.lit(0)).alias("w"))
+    kept = F.filter(F.array_distinct(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))), lambda w: may(word(w)))
+    rows = rows.select("h1", kept.alias("inside"), F.filter(F.slice("w", F.greatest(F.size("w"), F.lit(1)), F.lit(1)), lambda w: may(word(w))).alias("last"))
+    marked = lambda w: F.length(w) > F.length(word(w))
+    tagged = lambda a, c: F.transform(a, lambda w: F.struct(word(w).alias("word"), F.lit(c).alias("closing")))
+    uses = F.concat(tagged(F.col("inside"), False), tagged(F.filter(F.concat("inside", "last"), marked), True))
     # the outer form, for the inner one puts a filter with a copy of the whole expression below the projection
-    uses = found.select(F.explode_outer(F.concat(tagged(inside, False), tagged(closing, True))).alias("u")).where("u is not null").select("u.*")
-    n_uses = uses.join(words, "word", "left_semi").groupBy("word").agg(F.count_if(~F.col("closing")).alias("n_inside"), F.count_if("closing").alias("n_closing"))
+    uses = rows.select("h1", F.explode_outer(uses).alias("u")).where("u is not null").select("h1", "u.*")
+    n_uses = uses.join(words, "word", "left_semi").distinct().groupBy("word").agg(F.count_if(~F.col("closing")).alias("n_inside"), F.count_if("closing").alias("n_closing"))
     return n_ends.join(n_uses, "word", "left").na.fill(0, ["n_inside", "n_closing"])
 
 
@@ -270,10 +278,10 @@ def _bare(text: str) -> Column:
 
 
 def prefix_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, b1, b2, prefixes): two hashes of the text without closing dots, and those of its first 1, 2, 4, ... characters."""
+    """(doc_id, b1, b2, prefixes): two hashes of the text without closing dots, and those of its first 1, 4, 16, ... characters."""
     rows = docs.select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''")
-    steps = F.sequence(F.lit(0), F.length(F.bin(F.length("text"))) - 1)
-    prefixes = F.transform(steps, lambda k: F.xxhash64(k, F.left(F.col("text"), F.pow(F.lit(2), k).cast("int"))))
+    steps = F.sequence(F.lit(0), F.floor((F.length(F.bin(F.length("text"))) - 1) / 2).cast("int"))
+    prefixes = F.transform(steps, lambda k: F.xxhash64(k, F.left(F.col("text"), F.pow(F.lit(4), k).cast("int"))))
     return rows.select("doc_id", F.xxhash64("text").alias("b1"), F.xxhash64(F.lit(1), "text").alias("b2"), prefixes.alias("prefixes"))
 
 
@@ -285,8 +293,10 @@ def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     keys = stage(prefix_keys(docs, key, text), "p8-prefix-keys")
     each = keys.select("doc_id", "b1", "b2", F.size("prefixes").alias("n"), F.posexplode_outer("prefixes").alias("k", "h"))
     groups = each.groupBy("h").agg(F.min("b1").alias("a"), F.max("b1").alias("z"), F.max(F.col("k") == F.col("n") - 1).alias("own")).where("a <> z and own").select("h")
-    chosen = each.join(groups, "h", "left_semi").groupBy("b1", "b2").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''").join(chosen, "doc_id").select("b1", "b2", "text")
+    chosen = stage(each.join(groups, "h", "left_semi").groupBy("b1", "b2").agg(F.min("doc_id").alias("doc_id")), "p8-chosen")
+    may = hash_filter(chosen, "doc_id", DOC_BITS)
+    texts = docs.where(may(F.col(key))).select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''")
+    texts = stage(texts.join(chosen, "doc_id").select("b1", "b2", "text"), "p8-texts")
     marks = stage(texts.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
     # the last text of a partition against the first one of the next: two rows for each partition
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))

@@ -10,18 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of one block when a bitmap is put together by the cluster.
-BLOCK = 1 << 16
+BLOCK_BITS = 16
+BLOCK = 1 << BLOCK_BITS
 
 
-def packed(places: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of the column ``at`` (from 0 to ``bits``), eight places a byte; at most ``bits / 8`` bytes come to the driver."""
+def packed(places: DataFrame, bits: int, probes: int = 1) -> np.ndarray:
+    """The bitmap of the column ``at`` (from 0 to ``bits``), eight places a byte; at most ``bits / 8`` bytes come to the driver.
+
+    With more ``probes``, ``at`` is the number of a block over that many places in it.
+    """
 
     def pack(key: tuple, at: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros(BLOCK, bool)
-        block[at["at"].to_numpy(np.int64) % BLOCK] = True
+        block, keys = np.zeros(BLOCK, bool), at["at"].to_numpy(np.int64)
+        for k in range(probes):
+            block[keys >> BLOCK_BITS * k & BLOCK - 1] = True
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(block, bitorder="little").tobytes()]})
 
-    blocks = places.select("at").distinct().withColumn("block", F.floor(F.col("at") / BLOCK).cast("int")).groupBy("block").applyInPandas(pack, "block int, bits binary")
+    number = F.shiftright(F.col("at").cast("long"), BLOCK_BITS * probes).cast("int")
+    blocks = places.select("at").distinct().withColumn("block", number).groupBy("block").applyInPandas(pack, "block int, bits binary")
     out = np.zeros(max(bits, BLOCK) // 8, np.uint8)
     for r in blocks.collect():
         out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)

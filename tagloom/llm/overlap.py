@@ -5,21 +5,24 @@ A pair (train, evaluation) is a case when the word-level edit distance of the tw
 word, so automata and edit distances work on words.
 
 An evaluation text of m words can differ from a partner in at most floor(m/4) words, so of
-floor(m/4) + 1 disjoint passages one survives unchanged in every partner.  The passages are laid
-around the rarest words of the text (by counts over all training texts).  Passages and the windows
-of the training texts around the same words are sharded by that word; each shard builds one
+floor(m/4) + 1 disjoint passages one survives unchanged in every partner.  The passages tile the
+text, and each has an anchor, its rarest word within reach of both ends; cuts are where the sum of
+the chances of passages and anchors (by counts over all training texts) is least.  Passages and the
+windows of the training texts around the same words are sharded by that word; each shard builds one
 Aho-Corasick automaton over its passages and scans its windows.  A match counts when lengths and
 positions allow the pair and when the parity signatures of the two bags of words differ in no more
-bits than the allowed edits can cause (a window is only sent where a bitmap of fixed size may hold
-its middle words as part of a passage); matched intervals are merged into the coverage of the
-evaluation record, and an exact edit distance decides.
-
-Windows that no passage can match are left out by the bitmap, which is exact, so the automata see all of the training
-texts that can matter.  Each shard is read as a stream: its passages first, then its windows in batches, so a task holds
-the passages of one shard and one batch.
-
-Equal texts are one class on either side; they are expanded only in the pairs that come out.  The
-code space bounds every table that is sent to the executors.  A word in many training windows or
+bits than the allowed edits can cause.  An edit breaks one passage at most, so a pair that may
+differ in d words is a candidate only with floor(m/4) + 1 - d matched passages; matched intervals
+are merged into the coverage of the evaluation record, and an exact edit distance decides.
+
+A window is only sent where a bitmap of fixed size may hold one of the sixteen passages around its
+middle word, which is exact, so the automata see all of the training texts that can matter.  Each
+shard is read as a stream: its passages first, then its windows in batches, so a task holds the
+passages of one shard and one batch.
+
+Equal texts are one class on either side, named by the first hash of their words; only texts whose
+hashes may be repeated are moved for it, and they are expanded only in the pairs that come out.
+The code space bounds every table that is sent to the executors.  A word in many training windows or
 many passages (over ``HOT_WINDOWS``) is spread over a grid of shards: each window goes to one row of the
 grid, each passage to one column.  Two words share a code point with probability 1e-6, which can only make texts seem
 nearer; the pairs that are left are confirmed on the words themselves.
@@ -39,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.bitmaps import hash_filter, packed
+from tagloom.llm.bitmaps import BLOCK_BITS, hash_filter, packed
 from tagloom.plans.staging import stage, table
 
 #: A word is a longest run of letters and digits.
@@ -55,8 +58,20 @@ SHARD_WINDOWS = 250_000
 PAIRS_AT_ONCE = 2_000_000
 #: Passages and windows are written in a smaller alphabet of two-byte letters; it only admits candidates.
 LETTERS = 1900
-#: Bits of the table of passage middles: ``BITS_EACH`` for each passage, between these bounds (32 MB at most).
+#: Texts are cut block by block, so that the work grows in proportion to their words; BLOCK / 4 passages each.
+BLOCK, BLOCKS_AT_ONCE = 64, 2000
+#: Log of the chance of a word that no training text has.
+NEVER = -100.0
+#: Weight of the chance of an anchor beside that of its passage: where the bitmap is full, every use of an anchor is a window.
+ANCHOR = 0.01
+#: Multipliers of the words of a passage by their distance from the anchor, and terms for how far it reaches.
+_MIX = np.arange(1, WIDTH * (WIDTH + 1), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_MIX = (_MIX ^ _MIX >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+TIMES_OF, SHAPE = _MIX[: 2 * REACH + 1], _MIX[2 * REACH + 1 :]
+#: Bits of the table of passages: ``BITS_EACH`` for each passage, between these bounds (32 MB at most).
 BITS_LEAST, BITS_MOST, BITS_EACH = 1 << 22, 1 << 28, 16
+#: Bits set for each passage, for a window asks for sixteen.
+PROBES = 3
 #: Bits of the filters of class ids ahead of joins.
 ID_BITS = 1 << 22
 TIMES = 5  # at most one edit for every TIMES words of the longer text
@@ -86,15 +101,12 @@ def encoded(df: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.reverse("words")).alias("h2"))
 
 
-def classes(enc: DataFrame) -> DataFrame:
-    """(cls, h1, h2): one row for each distinct text, named by its smallest id; no text is moved."""
-    return enc.groupBy("h1", "h2").agg(F.min("idx").alias("cls"))
-
-
-def of_classes(enc: DataFrame, cls: DataFrame) -> DataFrame:
-    """(cls, code, words, h1, h2) of the classes."""
-    first = enc.join(cls.select(F.col("cls").alias("idx")), "idx", "left_semi")
-    return first.dropDuplicates(["idx"]).withColumnRenamed("idx", "cls")
+def classes(enc: DataFrame, name: str) -> DataFrame:
+    """(cls, code, words, h2) of the distinct texts; ``cls`` is h1.  Only hashes are shuffled, and the texts whose h1 may be repeated."""
+    may = hash_filter(enc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h1", ID_BITS)
+    rows = enc.select(F.col("h1").alias("cls"), "code", "words", "h2")
+    repeated = stage(rows.where(may(F.col("cls"))).dropDuplicates(["cls", "h2"]), name)
+    return rows.where(~may(F.col("cls"))).unionByName(repeated)
 
 
 def _points(code: str) -> np.ndarray:
@@ -133,40 +145,118 @@ def _signatures(points: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _middle(left: np.ndarray, at: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    """Where the bitmap keeps an anchor with its neighbours; -1 stands for a neighbour outside the passage."""
-    return (((left + 2) * 1000003 + (at + 2)) * 1000003 + (right + 2) * 2654435761 >> 9) % bits
-
-
-def passages_of(points: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, anchor) of floor(m/4) + 1 disjoint passages, each around one of the rarest words."""
-    m = len(points)
-    k = m // 4 + 1
-    anchors = np.sort(np.argsort(counts[points], kind="stable")[:k])
-    cuts = [0, *((anchors[:-1] + anchors[1:]) // 2 + 1).tolist(), m]
-    return [(max(cuts[i], a - REACH), min(cuts[i + 1], a + REACH + 1), a) for i, a in enumerate(anchors.tolist())]
+def _sums(points: np.ndarray, at: np.ndarray, way: int) -> np.ndarray:
+    """Sums over the next 0, 1, ... ``REACH`` words before (``way`` -1) or behind the places ``at``, one row for each number."""
+    out = np.zeros((REACH + 1, len(at)), np.uint64)
+    for k in range(1, REACH + 1):
+        i = np.clip(at + way * k, 0, len(points) - 1)
+        out[k] = out[k - 1] + (points[i] + 1).astype(np.uint64) * TIMES_OF[REACH + way * k]
+    return out
+
+
+def _keys(before: np.ndarray, anchor: np.ndarray, behind: np.ndarray, shape, bits: int) -> np.ndarray:
+    """Keys of passages in the bitmap: a block over ``PROBES`` places in it."""
+    h = before + behind + (anchor + 1).astype(np.uint64) * TIMES_OF[REACH] + SHAPE[shape]
+    for x in (0x94D049BB133111EB, 0xD6E8FEB86659FD93):
+        h = (h ^ h >> np.uint64(32)) * np.uint64(x)
+    return ((h ^ h >> np.uint64(32)) & np.uint64((bits << BLOCK_BITS * (PROBES - 1)) - 1)).astype(np.int64)
+
+
+def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the keys that the bitmap may hold."""
+    i = np.arange(len(keys))
+    for k in range(PROBES):
+        place = keys >> BLOCK_BITS * PROBES << BLOCK_BITS | keys >> BLOCK_BITS * k & (1 << BLOCK_BITS) - 1
+        hit = (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        i, keys = i[hit], keys[hit]
+    return i
+
+
+def _cuts(chance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of ``k`` passages of at most ``WIDTH - 1`` words that tile texts of one length, (k, texts) each.
+
+    chance: the log of the chance of each word, (words, texts).  The sum of the passages' chances and of ``ANCHOR`` times
+    those of their anchors is the least possible.
+    """
+    m, texts = chance.shape
+    total = np.vstack([np.zeros((1, texts)), np.cumsum(chance, 0)])
+    best, size = np.full((m + 1, k + 1, texts), np.inf), np.zeros((m + 1, k + 1, texts), np.int8)
+    best[0, 0] = 0
+    most = WIDTH - 1
+    for y in range(1, m + 1):
+        # as many passages as the words up to here and those that follow can have
+        lo, hi = max(1, -(-y // most), k - (m - y)), min(k, y, k - -(-(m - y) // most))
+        for x in range(max(0, y - most), y):
+            anchor = chance[max(x, y - REACH - 1) : min(y, x + REACH + 1)].min(0)
+            new = best[x, lo - 1 : hi] + (np.exp(total[y] - total[x]) + ANCHOR * np.exp(anchor))
+            less = new < best[y, lo : hi + 1]
+            best[y, lo : hi + 1] = np.where(less, new, best[y, lo : hi + 1])
+            size[y, lo : hi + 1] = np.where(less, y - x, size[y, lo : hi + 1])
+    ends, y, at = np.zeros((k, texts), np.int64), np.full(texts, m), np.arange(texts)
+    starts = np.zeros_like(ends)
+    for j in range(k, 0, -1):
+        ends[j - 1] = y
+        starts[j - 1] = y = y - size[y, j, at]
+    return starts, ends
+
+
+def passages_of(points: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, end, anchor) of the floor(m/4) + 1 disjoint passages of each text; places are those in ``points``, in which texts of ``n`` words follow each other."""
+    used = counts[points].astype(np.int64)
+    chance = np.where(used > 0, np.log(np.maximum(used, 1) / max(int(counts.sum()), 1)), NEVER)
+    blocks = -(-n // BLOCK)
+    text = np.repeat(np.arange(len(n)), blocks)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = (np.cumsum(n) - n)[text] + nth * BLOCK
+    last = nth == blocks[text] - 1
+    size = np.where(last, n[text] - nth * BLOCK, BLOCK)
+    parts = []
+    for kind in np.unique(size * 2 + last):
+        m, k = int(kind >> 1), int(kind >> 1) // 4 + int(kind & 1)
+        of_kind = np.flatnonzero(size * 2 + last == kind)
+        for i in np.split(of_kind, range(BLOCKS_AT_ONCE, len(of_kind), BLOCKS_AT_ONCE)):
+            starts, ends = _cuts(chance[begin[i] + np.arange(m)[:, None]], k)
+            parts.append(np.stack([np.broadcast_to(text[i], starts.shape), starts + begin[i], ends + begin[i]]).reshape(3, -1))
+    text, start, end = np.concatenate(parts, axis=1)
+    # the rarest word from which both ends are within reach
+    least, most = np.maximum(start, end - REACH - 1), np.minimum(end - 1, start + REACH)
+    at = least + np.arange(REACH + 1)[:, None]
+    anchor = least + np.argmin(np.where(at <= most, used[np.minimum(at, most)], np.iinfo(np.int64).max), axis=0)
+    return text, start, end, anchor
 
 
 def _shard(point: np.ndarray, salt: np.ndarray, column: np.ndarray, shards: int) -> np.ndarray:
     return ((point * 40503 + salt * 2654435761 + column * 805459861) & 0x7FFFFFFF) % shards
 
 
+def _flat(codes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash values of the words of all texts, the number of words of each text, and the text of each word."""
+    n = np.array([len(c) for c in codes])
+    return _points("".join(codes)), n, np.repeat(np.arange(len(codes)), n)
+
+
 def _passages(counts, salts, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n_of, salts_of = counts.value, salts.value
         for b in batches:
-            rows = []
-            for cls, code in zip(b["cls"], b["code"]):
-                points = _points(code)
-                m, text = len(points), _letters(points)
-                sig = int(_signatures(points, np.zeros(m, np.int64), 1)[0])
-                for lo, hi, at in passages_of(points, n_of):
-                    p = int(points[at])
-                    if n_of[p]:  # a word that no training text has cannot be in a match
-                        left, right = int(points[at - 1]) if at > lo else -1, int(points[at + 1]) if at + 1 < hi else -1
-                        mid = int(_middle(np.int64(left), np.int64(p), np.int64(right), bits))
-                        rows += [(p, s, mid, cls, text[lo:hi], lo, at - lo, m, sig) for s in range(salts_of[p])]
-            yield pd.DataFrame(rows, columns=["anchor", "salt", "mid", "ecls", "passage", "lo", "off", "m", "sig"])
+            if not len(b):
+                continue
+            points, n, row = _flat(b["code"].tolist())
+            text, start, end, at = passages_of(points, n, n_of)
+            unseen = np.concatenate([[0], np.cumsum(n_of[points] == 0)])
+            known = unseen[start] == unseen[end]  # a word that no training text has cannot be in a match
+            text, start, end, at = text[known], start[known], end[known], at[known]
+            i, left, right = np.arange(len(at)), at - start, end - 1 - at
+            mid = _keys(_sums(points, at, -1)[left, i], points[at], _sums(points, at, 1)[right, i], left * WIDTH + right, bits)
+            wide = salts_of[points[at]]
+            i = np.repeat(i, wide)
+            salt = np.arange(len(i)) - np.repeat(np.cumsum(wide) - wide, wide)
+            letters, t = _letters(points), text[i]
+            yield pd.DataFrame({
+                "anchor": points[at][i].astype(np.int32), "salt": salt.astype(np.int32), "mid": mid[i], "ecls": b["cls"].to_numpy()[t],
+                "passage": [letters[x:y] for x, y in zip(start[i].tolist(), end[i].tolist())], "lo": (start[i] - (np.cumsum(n) - n)[t]).astype(np.int32),
+                "off": left[i].astype(np.int32), "m": n[t].astype(np.int32), "sig": _signatures(points, row, len(n))[t],
+            })
 
     return run
 
@@ -182,19 +272,16 @@ def _windows(bitmap, bits: int, columns, salts, shards: int):
             if not len(b):
                 continue
             codes = b["code"].tolist()
-            n = np.array([len(c) for c in codes])
-            points = _points("".join(codes))
-            row = np.repeat(np.arange(len(codes)), n)
+            points, n, row = _flat(codes)
             pos = np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)
             keep = np.flatnonzero(columns_of[points])
             r, q, p = row[keep], pos[keep], points[keep]
-            none = np.full(len(keep), -1)
-            left = np.where(q > 0, points[np.maximum(keep - 1, 0)], -1)
-            right = np.where(q + 1 < n[r], points[np.minimum(keep + 1, len(points) - 1)], -1)
+            before, behind, rest = _sums(points, keep, -1), _sums(points, keep, 1), n[r] - 1 - q
             may = np.zeros(len(keep), bool)
-            for x, y in ((left, right), (left, none), (none, right), (none, none)):
-                mid = _middle(x, p, y, bits)
-                may |= (may_be[mid >> 3] >> (mid & 7).astype(np.uint8) & 1).astype(bool)
+            for x in range(REACH + 1):
+                for y in range(REACH + 1):
+                    i = np.flatnonzero(~may & (q >= x) & (rest >= y))
+                    may[i[_held(may_be, _keys(before[x, i], p[i], behind[y, i], x * WIDTH + y, bits))]] = True
             r, q, p = r[may], q[may], p[may]
             wide = columns_of[p]  # one copy for each column of the word's grid
             column = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
@@ -212,7 +299,7 @@ def _windows(bitmap, bits: int, columns, salts, shards: int):
     return run
 
 
-MATCH = "tcls long, ecls long, lo int, hi int, m int"
+MATCH = "tcls long, ecls long, lo int, hi int, m int, need int"
 
 
 class _Automaton:
@@ -231,7 +318,10 @@ class _Automaton:
         self.cls, self.sig, keys = pas["cls"].to_numpy()[order], pas["sig"].to_numpy()[order], keys[order]
         self.length = np.array([len(x) for x in distinct])
         self.span = self.length[keys]
-        self.groups, self.first, self.size = np.unique(keys.astype(np.int64) * WIDTH + self.off, return_index=True, return_counts=True)
+        # passages of one text and offset, by the length of their records
+        group = keys.astype(np.int64) * WIDTH + self.off
+        self.by_length = group << 32 | self.m
+        self.groups = np.unique(group)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, text in enumerate(distinct):
             self.automaton.add_word(text, i)
@@ -247,22 +337,29 @@ class _Automaton:
         g = hits[:, 1] * WIDTH + off
         at = np.minimum(np.searchsorted(self.groups, g), len(self.groups) - 1)
         ok = (off >= 0) & (self.groups[at] == g)
-        w, at = w[ok], at[ok]
+        w, g = w[ok], g[ok]
         tcls, tsig, place = (win[c].to_numpy() for c in ("cls", "sig", "at"))
         pos, n = place >> 32, place & 0xFFFFFFFF
-        total = np.cumsum(self.size[at])
+        # only records whose length allows a pair
+        first = np.searchsorted(self.by_length, g << 32 | n[w] - n[w] // TIMES)
+        size = np.searchsorted(self.by_length, g << 32 | n[w] * TIMES // (TIMES - 1), side="right") - first
+        w, first, size = w[size > 0], first[size > 0], size[size > 0]
+        total = np.cumsum(size)
         start = 0
-        while start < len(at):
+        while start < len(w):
             base = total[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
-            s = self.size[at[start:end]]
+            s = size[start:end]
             i = np.repeat(w[start:end], s)
-            j = np.repeat(self.first[at[start:end]], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
+            j = np.repeat(first[start:end], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
             d = np.maximum(n[i], self.m[j]) // TIMES
             near = (np.abs(n[i] - self.m[j]) <= d) & (np.abs(pos[i] - self.lo[j] - self.off[j]) <= d)
             fits = (np.bitwise_count((tsig[i] ^ self.sig[j]).view(np.uint64)) <= 2 * d) & near
-            i, j = i[fits], j[fits]
-            yield pd.DataFrame({"tcls": tcls[i], "ecls": self.cls[j], "lo": self.lo[j].astype(np.int32), "hi": (self.lo + self.span)[j].astype(np.int32), "m": self.m[j].astype(np.int32)})
+            i, j, need = i[fits], j[fits], (self.m[j] // 4 + 1 - d)[fits]
+            yield pd.DataFrame({
+                "tcls": tcls[i], "ecls": self.cls[j], "lo": self.lo[j].astype(np.int32), "hi": (self.lo + self.span)[j].astype(np.int32), "m": self.m[j].astype(np.int32),
+                "need": need.astype(np.int32),
+            })
             start = end
 
 
@@ -313,11 +410,11 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shared = [len({*x, *y}) != len({*p, *q}) for x, y, p, q in zip(a, c, b["tcode"], b["ecode"])]
         distance = [_distance(x, y, max(len(x), len(y)) // TIMES) if s else d for x, y, s, d in zip(a, c, shared, b["distance"])]
         b = b.assign(distance=distance)
-        yield b.loc[[d <= max(len(x), len(y)) // TIMES for d, x, y in zip(distance, a, c)], ["tcls", "ecls", "coverage", "distance"]]
+        yield b.loc[[d <= max(len(x), len(y)) // TIMES for d, x, y in zip(distance, a, c)], ["t1", "t2", "e1", "e2", "coverage", "distance"]]
 
 
 def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(t1, t2, e1, e2, coverage, distance) of the pairs of classes, named by hashes of their words; train and evaluation: (cls, code, words, h1, h2)."""
+    """(t1, t2, e1, e2, coverage, distance) of the pairs of classes, named by hashes of their words; train and evaluation: (cls, code, words, h2)."""
     sc = train.sparkSession.sparkContext
     counts = word_counts(train)
     salts = np.maximum(1, -(-counts // HOT_WINDOWS)).astype(np.int32)
@@ -326,13 +423,13 @@ def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     many = evaluation.agg(F.sum(F.floor(F.length("code") / 4) + 1).alias("n")).first().n or 0
     bits = int(min(max(BITS_LEAST, 1 << (int(many) * BITS_EACH).bit_length()), BITS_MOST))
     passages = stage(
-        evaluation.select("cls", "code").mapInPandas(_passages(b_counts, b_salts, bits), "anchor int, salt int, mid int, ecls long, passage string, lo int, off int, m int, sig long"),
+        evaluation.select("cls", "code").mapInPandas(_passages(b_counts, b_salts, bits), "anchor int, salt int, mid long, ecls long, passage string, lo int, off int, m int, sig long"),
         "p1-passages",
     )
     uses = passages.where("salt = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most CODES rows
     columns = np.zeros(CODES, np.int64)
     columns[uses["anchor"].to_numpy(np.int64)] = -(-uses["n"].to_numpy(np.int64) // HOT_WINDOWS)
-    bitmap = packed(passages.select(F.col("mid").alias("at")), bits)
+    bitmap = packed(passages.select(F.col("mid").alias("at")), bits, PROBES)
     shards = int((counts * columns).sum() // SHARD_WINDOWS) + 2 * sc.defaultParallelism
     windows = train.select("cls", "code").mapInPandas(_windows(sc.broadcast(bitmap), bits, sc.broadcast(columns), b_salts, shards), ROWS)
     wide = F.create_map(*[F.lit(x) for at in np.flatnonzero(columns > 1).tolist() for x in (at, int(columns[at]))]) if (columns > 1).any() else None
@@ -346,17 +443,17 @@ def overlapping_classes(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     # a partition for each shard, so the work of a task does not grow with the input
     rows = windows.unionByName(placed).repartition(shards, "shard").sortWithinPartitions("shard", "role")
     hits = rows.mapInPandas(_matches, MATCH)
-    pairs = stage(hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), _merged(F.collect_set(F.struct("lo", "hi"))).alias("covered")), "p1-candidates")
+    met = hits.groupBy("tcls", "ecls").agg(F.max("m").alias("m"), F.min("need").alias("need"), F.collect_set(F.struct("lo", "hi")).alias("met"))
+    pairs = stage(met.where(F.size("met") >= F.col("need")).select("tcls", "ecls", "m", _merged(F.col("met")).alias("covered")), "p1-candidates")
     # only the classes of candidates are moved
     may_t, may_e = hash_filter(pairs, "tcls", ID_BITS), hash_filter(pairs, "ecls", ID_BITS)
-    t = train.where(may_t(F.col("cls"))).select(F.col("cls").alias("tcls"), F.col("code").alias("tcode"), F.col("words").alias("twords"))
-    e = evaluation.where(may_e(F.col("cls"))).select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"), F.col("words").alias("ewords"))
+    t = train.where(may_t(F.col("cls"))).select(F.col("cls").alias("tcls"), F.col("code").alias("tcode"), F.col("words").alias("twords"), F.col("h2").alias("t2"))
+    e = evaluation.where(may_e(F.col("cls"))).select(F.col("cls").alias("ecls"), F.col("code").alias("ecode"), F.col("words").alias("ewords"), F.col("h2").alias("e2"))
     most = F.floor(F.greatest(F.length("tcode"), F.length("ecode")) / TIMES).cast("int")
     near = t.join(e.join(pairs, "ecls"), "tcls").withColumn("distance", F.levenshtein("tcode", "ecode")).where(F.col("distance") <= most)
-    near = near.withColumn("coverage", F.round(F.col("covered") / F.col("m"), 6)).select("tcls", "ecls", "tcode", "ecode", "twords", "ewords", "coverage", "distance")
-    sure = stage(near.mapInPandas(_confirm, "tcls long, ecls long, coverage double, distance int"), "p1-classes")
-    name = lambda df, c: df.select(F.col("cls").alias(f"{c}cls"), F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"))
-    return sure.join(name(evaluation, "e"), "ecls").join(name(train, "t"), "tcls").select("t1", "t2", "e1", "e2", "coverage", "distance")
+    near = near.withColumn("coverage", F.round(F.col("covered") / F.col("m"), 6)).withColumnsRenamed({"tcls": "t1", "ecls": "e1"})
+    near = near.select("t1", "t2", "e1", "e2", "tcode", "ecode", "twords", "ewords", "coverage", "distance")
+    return near.mapInPandas(_confirm, "t1 long, t2 long, e1 long, e2 long, coverage double, distance int")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,8 +462,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     evaluation = stage(
         encoded(table(spark, sf_dir, "val_injected")).unionByName(encoded(table(spark, sf_dir, "test_injected"))), "p1-eval"
     )
-    tcls, ecls = (stage(of_classes(x, classes(x)), f"p1-{n}-classes") for x, n in ((train, "train"), (evaluation, "eval")))
-    found = stage(overlapping_classes(tcls, ecls), "p1-pairs")
+    found = stage(overlapping_classes(classes(train, "p1-train-classes"), classes(evaluation, "p1-eval-classes")), "p1-pairs")
     of = lambda df, c: df.select(F.col("idx").alias(f"idx_{c}"), F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"))
     named = found.join(of(evaluation, "e").distinct(), ["e1", "e2"]).drop("e1", "e2")
     return named.join(of(train, "t"), ["t1", "t2"]).drop("t1", "t2").distinct()

@@ -4,6 +4,7 @@ import json
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,55 @@ def test_words_that_share_a_code(spark, tmp_path):
     assert {tuple(p) for p in overlap.p1_found(spark, d).collect()} == {(1, 10)}
 
 
+def test_overlap_moves_only_what_can_matter(spark, tmp_path, monkeypatch):
+    """Long records that share one passage are no candidates, and texts that occur once are not shuffled for their classes."""
+    staged = {}
+    monkeypatch.setattr(overlap, "stage", lambda df, name, stage=overlap.stage: staged.setdefault(name, stage(df, name)))
+    r = random.Random(5)
+    text = lambda tag: [f"{tag}{r.randrange(400)}" for _ in range(50)] + "one passage of seven words in all".split() + [f"{tag}{r.randrange(400)}" for _ in range(50)]
+    train, other = [text("w") for _ in range(30)], [text("w") for _ in range(30)]
+    other[3] = [*train[4][:20], "new", "words", *train[4][22:]]
+    make = lambda xs, first: rows(spark, [{"idx": first + i, "sequence": " ".join(x)} for i, x in enumerate(xs)])
+    d = folder(spark, tmp_path, train_injected=make([*train, train[0]], 0), val_injected=make(other, 100), test_injected=make([], 200))
+    assert {tuple(x) for x in overlap.p1_found(spark, d).collect()} == {(4, 103)}
+    assert staged["p1-candidates"].count() == 1
+    assert staged["p1-train-classes"].count() == 1 and staged["p1-eval-classes"].count() == 0
+
+
+def test_overlap_passages_tile_texts():
+    """floor(m/4) + 1 passages, every word in one of them and within reach of its anchor, in short texts and over several blocks."""
+    r = random.Random(6)
+    n = np.array([*range(1, 40), 63, 64, 65, 127, 128, 129, 1000])
+    points = np.array([r.randrange(200) for _ in range(n.sum())])
+    counts = np.zeros(overlap.CODES, np.int32)
+    counts[:150] = [r.randrange(1, 1000) for _ in range(150)]  # the others occur in no training text
+    text, start, end, anchor = overlap.passages_of(points, n, counts)
+    for i, (m, first) in enumerate(zip(n.tolist(), (np.cumsum(n) - n).tolist())):
+        own = sorted(zip(start[text == i].tolist(), end[text == i].tolist(), anchor[text == i].tolist()))
+        assert len(own) == m // 4 + 1
+        assert [x for x, _, _ in own] + [first + m] == [first] + [y for _, y, _ in own]
+        assert all(x <= a < y and a - x <= overlap.REACH and y - 1 - a <= overlap.REACH for x, y, a in own)
+
+
+def test_overlap_long_texts_at_the_bound(spark, tmp_path):
+    """Texts over several blocks with just as many edits as allowed, and one more; an equal text is covered wholly."""
+    r = random.Random(7)
+    pairs, train, other = set(), [], []
+    for i in range(12):
+        base = [f"{i}w{r.randrange(300)}" for _ in range(r.randrange(120, 200))]
+        b, most = list(base), len(base) // 5
+        for k, at in enumerate(sorted(r.sample(range(len(base)), most + i % 2), reverse=True)):
+            b[at : at + 1] = [f"new{i}x{k}"] if i % 3 else []  # replaced, or left out
+        train.append({"idx": i, "sequence": " ".join(base)})
+        other.append({"idx": 100 + i, "sequence": " ".join(b), "source_dataset": "far"})
+        if distance(base, b) <= max(len(base), len(b)) // 5:
+            pairs.add((i, 100 + i))
+    other.append({"idx": 200, "sequence": train[0]["sequence"].upper(), "source_dataset": "equal"})
+    d = folder(spark, tmp_path, train_injected=rows(spark, train), val_injected=rows(spark, other), test_injected=rows(spark, []))
+    assert len(pairs) == 6 and {tuple(x) for x in overlap.p1_found(spark, d).collect()} == pairs | {(0, 200)}
+    assert {x.source_dataset: x.mean_coverage for x in overlap.p1_report(spark, d).collect()}["equal"] == 1.0
+
+
 # ---------------------------------------------------------------- problem 2
 
 

@@ -34,12 +34,19 @@ def packed(places: DataFrame, bits: int, probes: int = 1) -> np.ndarray:
     return out
 
 
-def hash_filter(keys: DataFrame, name: str, bits: int = 1 << 16) -> Callable[[Column], Column]:
-    """A test whether a value may be among the values of ``keys[name]``; it runs in the JVM, with the bitmap as a literal."""
+def hash_filter(keys: DataFrame, name: str, bits: int = 1 << 16, stored: bool = False) -> Callable[[Column], Column]:
+    """A test whether a value may be among the values of ``keys[name]``; it runs in the JVM, with the bitmap as a literal.
+
+    A literal stands in every text of the plan that the driver makes and keeps.  A ``stored`` bitmap of over ``BLOCK`` bits is the
+    result of a scalar subquery instead, which no text of a plan has; it can't stand in the function of a higher-order function.
+    """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     found = packed(keys.select(at(F.col(name)).alias("at")), bits)[: bits // 8]
     if bits <= BLOCK:  # small enough for one value a place, so the hash is computed once
         flags = F.from_json(F.lit("[" + ",".join(np.unpackbits(found, bitorder="little").astype(str)) + "]"), "array<tinyint>")
         return lambda c: F.get(flags, at(c).cast("int")) == 1
-    table = F.from_json(F.lit(str(found.view("<i8").tolist())), "array<bigint>")
+    if stored:
+        table = keys.sparkSession.createDataFrame([(found.view("<i8").tolist(),)], "bits array<bigint>").scalar()
+    else:
+        table = F.from_json(F.lit(str(found.view("<i8").tolist())), "array<bigint>")
     return lambda c: F.getbit(F.get(table, F.floor(at(c) / 64).cast("int")), F.pmod(at(c), F.lit(64)).cast("int")) == 1

@@ -58,6 +58,8 @@ FORMULA_SHARE = 0.01
 WORD_BITS = 1 << 16
 #: Bits of the table of documents whose texts are sorted.
 DOC_BITS = 1 << 22
+#: Texts are sent to their place in the sort by a prefix that so many documents share at most.
+HOT_ROWS = 1000
 
 _BLANKS = " \t\n\r\f\v\u00a0\u2003\u200b\u3000\ufeff"
 #: Marks that close a sentence, and what may follow them.
@@ -176,7 +178,8 @@ def label_uses(texts: DataFrame) -> DataFrame:
 
 def with_lines_decided(texts: DataFrame) -> DataFrame:
     """The distinct texts with the kind ``line`` decided: ``whole`` or ``open``."""
-    once = texts.dropDuplicates(["h1", "h2"])
+    once = texts.select("h1", "h2", "kind", "label", "label_before", "layout", "inner").dropDuplicates(["h1", "h2"])
+    once = stage(once.where("kind = 'line' or label <> '' or label_before <> '' or size(inner) > 0").drop("h1", "h2"), "p8-once")
     lines = texts.where("kind = 'line'")
     # a line without a label gets a key of its own, so that no key is hot
     key = F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("#"), F.col("h1").cast("string")))
@@ -212,6 +215,8 @@ def word_places(docs: DataFrame, ends: DataFrame, words: DataFrame, text: str =
     # the outer form, for the inner one puts a filter with a copy of the whole expression below the projection
     uses = rows.select("h1", F.explode_outer(uses).alias("u")).where("u is not null").select("h1", "u.*")
     n_uses = uses.join(words, "word", "left_semi").distinct().groupBy("word").agg(F.count_if(~F.col("closing")).alias("n_inside"), F.count_if("closing").alias("n_closing"))
+    # the bitmap is a literal of this plan, and the driver makes a text of a plan at each of its steps: none of the later ones has it
+    n_uses = stage(n_uses, "p8-places")
     return n_ends.join(n_uses, "word", "left").na.fill(0, ["n_inside", "n_closing"])
 
 
@@ -288,16 +293,24 @@ def prefix_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, inline) of the texts that, without closing dots, are a strict prefix of another text; ``inline``: a copy goes on in the same line.
 
-    Only numbers are shuffled to find the groups; of the texts in groups each distinct one goes through the sort once.
+    Only numbers are shuffled to find the groups; of the texts in groups each distinct one goes through the sort once.  The driver
+    draws a sample of what the ranges of the sort are of; so these are of prefixes that tell the texts apart well enough, and not
+    of whole texts.
     """
     keys = stage(prefix_keys(docs, key, text), "p8-prefix-keys")
     each = keys.select("doc_id", "b1", "b2", F.size("prefixes").alias("n"), F.posexplode_outer("prefixes").alias("k", "h"))
-    groups = each.groupBy("h").agg(F.min("b1").alias("a"), F.max("b1").alias("z"), F.max(F.col("k") == F.col("n") - 1).alias("own")).where("a <> z and own").select("h")
-    chosen = stage(each.join(groups, "h", "left_semi").groupBy("b1", "b2").agg(F.min("doc_id").alias("doc_id")), "p8-chosen")
-    may = hash_filter(chosen, "doc_id", DOC_BITS)
+    groups = each.groupBy("h").agg(F.min("b1").alias("a"), F.max("b1").alias("z"), F.max(F.col("k") == F.col("n") - 1).alias("own"), F.count(F.lit(1)).alias("docs"))
+    groups = groups.select("h", F.expr("a <> z and own").alias("counts"), (F.col("docs") > HOT_ROWS).alias("hot")).where("counts or hot")
+    # hot prefixes are the first ones of a text; its texts are all that share the next one, so ranges of these are ranges of texts
+    step = F.coalesce(F.max(F.when(F.col("hot"), F.col("k"))) + 1, F.lit(0))
+    chosen = each.join(groups, "h").groupBy("b1", "b2").agg(F.min("doc_id").alias("doc_id"), step.alias("step"), F.max("counts").alias("counts"))
+    chosen = stage(chosen.where("counts").drop("counts"), "p8-chosen")
+    may = hash_filter(chosen, "doc_id", DOC_BITS, stored=True)
     texts = docs.where(may(F.col(key))).select(F.col(key).alias("doc_id"), F.regexp_replace(_bare(text), _LINE_BREAK, BREAK).alias("text")).where("text <> ''")
-    texts = stage(texts.join(chosen, "doc_id").select("b1", "b2", "text"), "p8-texts")
-    marks = stage(texts.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
+    texts = stage(texts.join(chosen, "doc_id").select("b1", "b2", "text", "step"), "p8-texts")
+    start = F.left(F.col("text"), F.pow(F.lit(4), F.least("step", F.lit(15))).cast("int"))
+    ordered = texts.withColumn("start", start).repartitionByRange("start").sortWithinPartitions("text")
+    marks = stage(ordered.select("b1", "b2", "text").mapInPandas(_strict_prefixes, MARKS), "p8-prefixes")
     # the last text of a partition against the first one of the next: two rows for each partition
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     edges = marks.where("role in ('head', 'tail')").groupBy("part").agg(of("head", "text").alias("head"), of("tail", "text").alias("tail"), of("tail", "b1").alias("b1"), of("tail", "b2").alias("b2"))
@@ -310,7 +323,8 @@ def prefix_of_longer(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id, by_prefix, by_end) of the texts that were cut off, and what shows it: a longer copy, the end of the text."""
     ends = stage(described(docs), "p8-ends")
-    texts = stage(with_lines_decided(distinct_texts(ends)), "p8-kinds")
+    # read several times, so it is written before: each reading would bring the texts together anew
+    texts = stage(with_lines_decided(stage(distinct_texts(ends), "p8-distinct")), "p8-kinds")
     ids = ends.select("doc_id", *KEY)
     longer = prefix_of_longer(docs).where("inline").select("doc_id").distinct()
     unfinished = ids.join(longer, "doc_id", "left_semi").join(texts.where("kind <> 'closed'"), KEY, "left_semi")
